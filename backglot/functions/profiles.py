@@ -99,7 +99,7 @@ def text_profile(text: Column) -> Column:
         return F.size(F.filter(tokens, lambda t: t.rlike(pattern)))
 
     def build(tokens: Column) -> Column:
-        names, strings, numbers = count(tokens, f"^{NAME}"), count(tokens, "^[\"'].+[\"']$"), count(tokens, "^[0-9]")
+        names, strings, numbers = count(tokens, f"^{NAME}"), count(tokens, "^[\"'].*[\"']$"), count(tokens, "^[0-9]")
         return F.struct(
             ((occurrences("(") == occurrences(")")) & (occurrences('"') % 2 == 0)).alias("valid"),
             found(BEFORE_COMMA, 1).alias("functions"),

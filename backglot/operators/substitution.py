@@ -8,18 +8,20 @@ allows) and regrouped on the same key, which needs no further shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backglot.functions import lexing
 from backglot.functions.lexing import Lexer
-from backglot.operators.lookup import lookup_join
+from backglot.operators.lookup import fits_broadcast, lookup_join
 from backglot.session import shuffle_partitions
 
-INLINE_ROWS = 128  # map lookups scan their keys, so only short dictionaries are inlined
+INLINE_ROWS = 5_000  # larger tables are joined
+INLINE_BYTES = 1 << 20
+INLINE_BUCKETS = 1_024
 
 
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -55,14 +57,20 @@ def substitute_tokens(tokens: DataFrame, dictionary: DataFrame, row_id: list[str
     return joined.withColumn("value", F.coalesce("repl", "value")).drop("word", "repl")
 
 
-def small_map(pairs: DataFrame, key: str, value: str, limit: int = INLINE_ROWS) -> Column | None:
-    """A two-column table as a map literal, or None when it has more than ``limit`` rows."""
-    rows = pairs.select(key, value).limit(limit + 1).collect()
-    if len(rows) > limit:
+def inline_lookup(table: DataFrame, rows: int = INLINE_ROWS) -> Callable[[Column], Column] | None:
+    """A small ``(word, repl)`` table as a literal lookup, or None beyond the measured bound.
+
+    Map lookups scan their keys, so entries are spread over hash buckets: an array of
+    small maps, folded into one literal at planning time.
+    """
+    if not fits_broadcast(table, rows, INLINE_BYTES):
         return None
-    if not rows:
-        return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.create_map(*chain.from_iterable((F.lit(r[0]), F.lit(r[1])) for r in rows))
+    count = F.lit(INLINE_BUCKETS)
+    buckets: list[dict[str, str]] = [{} for _ in range(INLINE_BUCKETS)]
+    for bucket, word, repl in table.select(F.pmod(F.hash("word"), count), "word", "repl").collect():
+        buckets[bucket][word] = repl
+    maps = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
+    return lambda word: F.element_at(F.get(maps, F.pmod(F.hash(word), count)), word)
 
 
 def rewrite_pieces(
@@ -83,12 +91,12 @@ def rewrite_pieces(
     turns piece, key and hit into the new piece.
     """
     pieces = lexing.document_pieces(F.col(text), lexer, tidy_comments)
-    inline = small_map(table, "word", "repl", inline_rows)
-    if inline is not None:
+    lookup = inline_lookup(table, inline_rows)
+    if lookup is not None:
 
         def rewrite(piece: Column) -> Column:
             wanted = piece_key(piece)
-            return piece_value(piece, wanted, F.element_at(inline, wanted))
+            return piece_value(piece, wanted, lookup(wanted))
 
         return df.withColumn(out, F.array_join(F.transform(pieces, rewrite), ""))
 
