@@ -118,16 +118,16 @@ def memory(spark: SparkSession, folder: str) -> DataFrame:
     return distinct.select("phrase", F.concat(F.reverse("phrase"), suffix).alias("translation"))
 
 
-# Few-shot examples: benchmark texts in item order with their substituted text.
+# Few-shot examples: benchmark texts in item order with their reversed text.
 EXAMPLES = """examples AS (
-  SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, text AS src, upper(text) AS tgt FROM benchmark)"""
+  SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, text AS src, reverse(text) AS tgt FROM benchmark)"""
 
 
 def examples(spark: SparkSession, folder: str) -> DataFrame:
     from backglot.operators.positions import with_position
 
     rows = scan(spark, folder, "benchmark").select("item_id", "text")
-    return with_position(rows, "item_id").select("pos", F.col("text").alias("src"), F.upper("text").alias("tgt"))
+    return with_position(rows, "item_id").select("pos", F.col("text").alias("src"), F.reverse("text").alias("tgt"))
 
 
 # Answers: assistant turns, wrapped by turn number in a tagged fence, a bare fence or none.

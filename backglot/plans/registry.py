@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-from backglot.plans import corpus_queries
+from backglot.plans import corpus_queries, fewshot_queries, metric_queries, token_queries
 
-QUERIES = {**corpus_queries.QUERIES}
+QUERIES = {
+    **corpus_queries.QUERIES,
+    **token_queries.QUERIES,
+    **fewshot_queries.QUERIES,
+    **metric_queries.QUERIES,
+}

@@ -124,7 +124,7 @@ def bleu(name: str, src: str, key: str, reference: str, candidate: str) -> str:
         )
         return f"{name}_{side} AS (SELECT {key}, n, g, count(*) AS c FROM ({per_n}) GROUP BY ALL)"
 
-    hits = ", ".join(f"coalesce(sum(least(c.c, r.c)) FILTER (c.n = {n}), 0) AS h{n}" for n in range(1, 5))
+    hits = ", ".join(f"coalesce(sum(least(c.c, coalesce(r.c, 0))) FILTER (c.n = {n}), 0) AS h{n}" for n in range(1, 5))
     logs = " + ".join(
         f"ln(CASE WHEN h{n} > 0 THEN h{n} / greatest(1, cl - {n - 1}) ELSE 2.2250738585072014e-308::DOUBLE END) / 4"
         for n in range(1, 5)

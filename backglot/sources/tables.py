@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backglot.operators.runs import run_key
+from backglot.session import scratch_path
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"'}
 STATS_SCHEMA = (
@@ -45,9 +46,12 @@ def read_report_cells(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_summaries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Evaluation summaries with the run key taken from the file name."""
-    rows = spark.read.schema(SUMMARY_SCHEMA).json(paths, multiLine=True)
+def read_summaries(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
+    """Evaluation summaries with the run key taken from the file name.
+
+    ``multi_line`` reads one indented object per file instead of one object per line.
+    """
+    rows = spark.read.schema(SUMMARY_SCHEMA).json(paths, multiLine=multi_line)
     key = [c for c in run_key(F.col("_metadata.file_name"))][:4]
     return rows.select(*key, *[F.col(c) for c in rows.columns])
 
@@ -60,6 +64,17 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def hand_over(df: DataFrame, name: str) -> DataFrame:
+    """Write a stage result to the shared scratch folder and continue from the table.
+
+    Later stages read it as often as they like without recomputing the earlier ones,
+    and a lost executor costs a re-read, not the lineage.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, partitions: list[str] = ()) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)

@@ -24,6 +24,9 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SPENT: list[float] = []
+
+
 def plain(value):
     if isinstance(value, bool) or value is None:
         return value
@@ -54,7 +57,10 @@ def digest(rows: list[str]) -> str:
 def compare(spark, con, name, query, sql, folder) -> str:
     """Empty text when equal, otherwise what differs."""
     df = query(spark, folder)
-    columns, mine = canonical(df.columns, df.collect())
+    start = time.time()
+    collected = df.collect()
+    SPENT.append(time.time() - start)
+    columns, mine = canonical(df.columns, collected)
     if sql is None:
         return "" if mine else "no rows"
     cursor = con.execute(sql)
@@ -92,7 +98,7 @@ def main(argv: list[str]) -> int:
         except Exception as error:  # noqa: BLE001 - report and go on with the next query
             problem = f"{type(error).__name__}: {str(error)[:1500]}"
         bad += bool(problem)
-        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s (collect {SPENT[-1] if SPENT else 0:.1f}s) {problem}", flush=True)
     spark.stop()
     return bad
 
