@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from backglot.plans import corpus_queries, fewshot_queries, metric_queries, token_queries
+from backglot.plans import corpus_queries, fewshot_queries, metric_queries, report_queries, token_queries
 
 QUERIES = {
     **corpus_queries.QUERIES,
     **token_queries.QUERIES,
     **fewshot_queries.QUERIES,
     **metric_queries.QUERIES,
+    **report_queries.QUERIES,
 }
