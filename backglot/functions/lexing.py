@@ -145,4 +145,4 @@ def document_pieces(document: Column, lexer: Lexer, tidy_comments: bool = True)
 
 
 def is_comment_piece(piece: Column) -> Column:
-    return piece.rlike(rf"(?Us)^#.*[^\s\x1c-\x1f]") & (F.length(piece) > 1)
+    return F.startswith(piece, F.lit("#")) & (F.length(piece) > 1)

@@ -70,12 +70,16 @@ def code_profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([profile_code(c or "") for c in codes], columns=PROFILE_TYPE.names)
 
 
+# Keeps Catalyst from copying the call into every expression that reads the profile.
+code_profile = code_profile.asNondeterministic()
+
+
 # Token kinds of prose, in both the profile below and its SQL twin.
 NAME = "[A-Za-z_À-ÖØ-öø-ÿ][A-Za-z0-9_À-ÖØ-öø-ÿ]*"
 STRING = "\"[^\"\\n]*\"|'[^'\\n]*'"
 NUMBER = "[0-9]+(?:\\.[0-9]+)?"
 OTHER = "[^\\sA-Za-z0-9_À-ÖØ-öø-ÿ]"
-TEXT_TOKEN = f"{STRING}|{NAME}|{NUMBER}|{OTHER}"
+TEXT_TOKEN = f"{NAME}|{NUMBER}|{STRING}|{OTHER}"
 # Name sets of prose: words before a comma, capitalised words, connectives.
 BEFORE_COMMA = f"({NAME}),"
 CAPITALISED = "\\b[A-Z][a-z]+"
@@ -93,13 +97,17 @@ def text_profile(text: Column) -> Column:
         return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
 
     def occurrences(symbols: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, symbols, ""))
+        return F.length(text) - F.length(F.replace(text, F.lit(symbols), F.lit("")))
 
-    def count(tokens: Column, pattern: str) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.rlike(pattern)))
+    def count(tokens: Column, test) -> Column:
+        return F.size(F.filter(tokens, test))
 
     def build(tokens: Column) -> Column:
-        names, strings, numbers = count(tokens, f"^{NAME}"), count(tokens, "^[\"'].*[\"']$"), count(tokens, "^[0-9]")
+        # Plain comparisons first: a regex per token would cost more than the tokens themselves.
+        numbers = count(tokens, lambda t: (t >= "0") & (t < ":"))
+        strings = count(tokens, lambda t: (F.length(t) > 1) & (F.startswith(t, F.lit('"')) | F.startswith(t, F.lit("'"))))
+        ops = count(tokens, lambda t: (F.length(t) == 1) & ((t < "0") | (t >= ":")) & ~t.rlike(f"^{NAME}"))
+        names = F.size(tokens) - numbers - strings - ops
         return F.struct(
             ((occurrences("(") == occurrences(")")) & (occurrences('"') % 2 == 0)).alias("valid"),
             found(BEFORE_COMMA, 1).alias("functions"),
@@ -110,7 +118,7 @@ def text_profile(text: Column) -> Column:
             names.alias("n_names"),
             strings.alias("n_strings"),
             numbers.alias("n_numbers"),
-            (F.size(tokens) - names - strings - numbers).alias("n_ops"),
+            ops.alias("n_ops"),
         )
 
     return bind(text_tokens(text), build)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from backglot.functions.expr import bind
+
 FENCE = "```"
 # A snippet counts as code when it holds one of these.
 CODE_KEYWORDS = ["def ", "class ", "import ", "print", "for", "while"]
@@ -38,26 +40,28 @@ def fenced_block(text: Column) -> Column:
 
 def extract_code(text: Column) -> Column:
     """First fenced Python block that also looks like code; null otherwise."""
-    code = fenced_block(text)
-    return F.when(has_code_keyword(code), code)
+    return bind(fenced_block(text), lambda code: F.when(has_code_keyword(code), code))
 
 
 def clean_number(cell: Column) -> Column:
     """Report cell to double: decimal commas, stray line breaks, repeated dots, junk around digits."""
-    flat = strip(F.regexp_replace(F.regexp_replace(cell, "\n", ""), ",", "."))
-    head = F.substring_index(flat, ".", 1)
-    rest = F.substring(flat, F.length(head) + 2, F.length(flat))
-    text = F.when(F.contains(flat, F.lit(".")), F.concat(head, F.lit("."), F.regexp_replace(rest, r"\.", ""))).otherwise(flat)
-    lowered = F.lower(text)
-    special = (
-        F.when(lowered.rlike(r"^[+-]?nan\z"), F.lit(float("nan")))
-        .when(lowered.rlike(r"^\+?inf(inity)?\z"), F.lit(float("inf")))
-        .when(lowered.rlike(r"^-inf(inity)?\z"), F.lit(float("-inf")))
-    )
-    plain = F.when(text.rlike(_FLOAT), F.regexp_replace(text, "_", "")).otherwise(
-        F.nullif(F.regexp_extract(text, r"(\d+\.?\d*)", 1), F.lit(""))
-    )
-    return F.coalesce(special, plain.try_cast("double"), F.lit(0.0))
+    def single_dot(flat: Column) -> Column:
+        head = F.substring_index(flat, ".", 1)
+        rest = F.replace(F.substring(flat, F.length(head) + 2, F.length(flat)), F.lit("."), F.lit(""))
+        return F.when(F.contains(flat, F.lit(".")), F.concat(head, F.lit("."), rest)).otherwise(flat)
+
+    def number(text: Column) -> Column:
+        plain = F.when(text.rlike(_FLOAT), F.replace(text, F.lit("_"), F.lit(""))).otherwise(
+            F.nullif(F.regexp_extract(text, r"(\d+\.?\d*)", 1), F.lit(""))
+        )
+        return (
+            F.when(text.rlike(r"(?i)^[+-]?nan\z"), F.lit(float("nan")))
+            .when(text.rlike(r"(?i)^\+?inf(inity)?\z"), F.lit(float("inf")))
+            .when(text.rlike(r"(?i)^-inf(inity)?\z"), F.lit(float("-inf")))
+            .otherwise(F.coalesce(plain.try_cast("double"), F.lit(0.0)))
+        )
+
+    return bind(bind(strip(F.translate(cell, ",\n", ".")), single_dot), number)
 
 
 def display_name(name: Column) -> Column:
@@ -71,10 +75,15 @@ def clean_response(response: Column, bare_fences: bool) -> Column:
     The first ``python`` fence wins. ``bare_fences`` also accepts an untagged fence
     (and lets an empty answer through as it is).
     """
-    text = strip(response)
-    tagged_rest = F.get(F.split(text, "```python", -1), F.lit(1))
-    tagged = strip(F.get(F.split(tagged_rest, FENCE, -1), F.lit(0)))
-    cleaned = F.when(F.contains(text, F.lit("```python")), tagged)
-    if bare_fences:
-        cleaned = cleaned.when(F.contains(text, F.lit(FENCE)), strip(F.get(F.split(text, FENCE, -1), F.lit(1))))
-    return cleaned.otherwise(text)
+
+    def after(text: Column, mark: str) -> Column:
+        return F.get(F.split(text, mark, -1), F.lit(1))
+
+    def pick(text: Column) -> Column:
+        tagged = strip(F.get(F.split(after(text, "```python"), FENCE, -1), F.lit(0)))
+        cleaned = F.when(F.contains(text, F.lit("```python")), tagged)
+        if bare_fences:
+            cleaned = cleaned.when(F.contains(text, F.lit(FENCE)), strip(after(text, FENCE)))
+        return cleaned.otherwise(text)
+
+    return bind(strip(response), pick)

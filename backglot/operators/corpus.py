@@ -9,8 +9,13 @@ from backglot.functions.text import extract_code
 
 
 def extract_snippets(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows whose text holds a fenced Python block that looks like code."""
-    return corpus.select(key, extract_code(F.col(text)).alias("code")).where(F.col("code").isNotNull())
+    """Rows whose text holds a fenced Python block that looks like code.
+
+    Exploding the zero-or-one result drops the nulls without a filter, which Catalyst
+    would push down and thereby run the extraction twice.
+    """
+    found = F.array_compact(F.array(extract_code(F.col(text))))
+    return corpus.select(key, F.explode(found).alias("code"))
 
 
 def dedup_first(snippets: DataFrame, key: str, code: str = "code") -> DataFrame:

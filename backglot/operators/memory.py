@@ -12,13 +12,13 @@ from backglot.operators.lookup import lookup_join
 from backglot.operators.substitution import INLINE_ROWS, rewrite_pieces, token_table
 
 PHRASE_LIMIT = 5000  # fixed value: longest phrase a translator takes
-_BLANK = r"(?U)^[\s\x1c-\x1f]*\z"
+_BLANK = r"(?U)^[\s\x1c-\x1f_]*\z"
 
 
 def phrase_of(text: Column) -> Column:
     """What the translator is asked for; null for blank text, which passes through."""
     phrase = F.replace(text, F.lit("_"), F.lit(" "))
-    return F.when(~phrase.rlike(_BLANK), F.substring(phrase, 1, PHRASE_LIMIT))
+    return F.when(~text.rlike(_BLANK), F.substring(phrase, 1, PHRASE_LIMIT))
 
 
 def answer_of(phrase: Column, hit: Column) -> Column:
@@ -28,8 +28,8 @@ def answer_of(phrase: Column, hit: Column) -> Column:
 
 def identifier_of(word: Column, phrase: Column, hit: Column) -> Column:
     """Answer as an identifier; empty answers and blank phrases keep the word."""
-    answer = answer_of(phrase, hit)
-    return F.when(answer != "", F.replace(answer, F.lit(" "), F.lit("_"))).otherwise(word)
+    name = F.replace(answer_of(phrase, hit), F.lit(" "), F.lit("_"))
+    return F.coalesce(F.nullif(name, F.lit("")), word)
 
 
 def comment_phrase(comment: Column, target: str) -> Column:
@@ -76,14 +76,15 @@ def translate_documents(
     target = lexer.target
 
     def wanted(piece: Column) -> Column:
-        return F.when(is_comment_piece(piece), comment_phrase(piece, target)).when(
-            lexer.is_word(piece) & is_translatable(piece, target), phrase_of(piece)
+        return F.when(lexer.is_word(piece), F.when(is_translatable(piece, target), phrase_of(piece))).when(
+            is_comment_piece(piece), comment_phrase(piece, target)
         )
 
     def value(piece: Column, phrase: Column, hit: Column) -> Column:
-        return F.when(is_comment_piece(piece), comment_answer(piece, phrase, hit)).otherwise(
-            F.when(phrase.isNull(), piece).otherwise(identifier_of(piece, phrase, hit))
+        done = F.when(is_comment_piece(piece), comment_answer(piece, phrase, hit)).otherwise(
+            identifier_of(piece, phrase, hit)
         )
+        return F.when(phrase.isNull(), piece).otherwise(done)
 
     table = memory.select(F.col("phrase").alias("word"), F.col("translation").alias("repl"))
     done = rewrite_pieces(df, key, text, out, lexer, table, wanted, value, tidy_comments=False, inline_rows=inline_rows)

@@ -5,100 +5,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backglot.session import shuffle_partitions
+from backglot.functions.expr import bind
 
 MAX_N = 4
 SMALLEST = 2.2250738585072014e-308  # fixed value: smallest normal double stands in for zero precision
 _SEP = "\x01"
 
 
-def _grams(tokens: str) -> Column:
-    """Array of (t0, t1, t2, t3) per token position; missing tail entries are null."""
-    column = F.col(tokens)
-    shifted = [F.slice(column, F.lit(k + 1), F.size(column)).alias(f"t{k}") for k in range(1, MAX_N)]
-    return F.arrays_zip(column.alias("t0"), *shifted)
+def _gram_structs(tokens: Column) -> Column:
+    """Array of (g1, g2, g3, g4) per token position; grams past the end are null."""
+    shifted = [F.slice(tokens, F.lit(k + 1), F.size(tokens)).alias(f"t{k}") for k in range(1, MAX_N)]
 
+    def grams(t: Column) -> Column:
+        parts = [t[f"t{k}"] for k in range(MAX_N)]
+        joined = [F.concat(*[x for p in parts[:n] for x in (F.lit(_SEP), p)][1:]) for n in range(2, MAX_N + 1)]
+        return F.struct(parts[0].alias("g1"), *[g.alias(f"g{n}") for n, g in enumerate(joined, 2)])
 
-def ngram_hits(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
-    """Per key: token counts of both sides and clipped n-gram hits for n = 1..4.
+    return F.transform(F.arrays_zip(tokens.alias("t0"), *shifted), grams)
 
-    Input must be hash-partitioned on ``key``: then both aggregations run without a
-    shuffle, as every n-gram of a pair is already in one partition.
+
+def _numbered(repeats: Column) -> Column:
+    """Sorted array to distinct texts: each value with its rank among its equals."""
+
+    def number(starts: Column) -> Column:
+        def run(start: Column, index: Column) -> Column:
+            end = F.coalesce(F.get(starts, index + 1), F.size(repeats))
+            copies = F.slice(repeats, start + 1, end - start)
+            return F.transform(copies, lambda x, i: F.concat(x, F.lit(_SEP), i.cast("string")))
+
+        return F.flatten(F.transform(starts, run))
+
+    is_start = lambda i: (i == 0) | (F.get(repeats, i) != F.get(repeats, i - 1))
+    return bind(F.filter(F.sequence(F.lit(0), F.size(repeats) - 1), is_start), number)
+
+
+def _shared(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two sorted arrays.
+
+    ``array_intersect`` counts every shared value once. Further copies are looked at
+    only where both sides repeat something.
     """
-    side = lambda flag, tokens: F.struct(F.lit(flag).alias("cand"), _grams(tokens).alias("grams"))
-    grams = (
-        pairs.select(key, F.explode(F.array(side(0, reference), side(1, candidate))).alias("s"))
-        .select(key, "s.cand", F.inline("s.grams").alias("t0", "t1", "t2", "t3"))
-        .select(
-            key,
-            "cand",
-            F.posexplode(
-                F.array(
-                    F.col("t0"),
-                    *[
-                        F.concat(*[x for i in range(n) for x in (F.lit(_SEP), F.col(f"t{i}"))][1:])
-                        for n in range(2, MAX_N + 1)
-                    ],
-                )
-            ).alias("n", "gram"),
-        )
-        .where(F.col("gram").isNotNull())
-    )
-    per_gram = grams.groupBy(key, "n", "gram").agg(
-        F.sum(F.col("cand")).alias("c"), F.sum(1 - F.col("cand")).alias("r")
-    )
-    hits = [
-        F.sum(F.when(F.col("n") == n - 1, F.least("c", "r")).otherwise(0)).alias(f"hit{n}") for n in range(1, MAX_N + 1)
-    ]
-    unigram = F.col("n") == 0
-    return per_gram.groupBy(key).agg(
-        F.sum(F.when(unigram, F.col("c")).otherwise(0)).alias("c_len"),
-        F.sum(F.when(unigram, F.col("r")).otherwise(0)).alias("r_len"),
-        *hits,
-    )
 
+    def repeats(values: Column) -> Column:
+        return F.filter(values, lambda x, i: (i > 0) & (x == F.get(values, i - 1)))
 
-def bleu_score() -> Column:
-    """BLEU-4 from the columns of :func:`ngram_hits`.
+    def more(ra: Column, rb: Column) -> Column:
+        both = (F.size(ra) > 0) & (F.size(rb) > 0)
+        return F.when(both, F.size(F.array_intersect(_numbered(ra), _numbered(rb)))).otherwise(F.lit(0))
 
-    No unigram hit scores 0; other zero counts use the smallest double.
+    once = F.size(F.array_intersect(a, b))
+    return once + bind(repeats(a), lambda ra: bind(repeats(b), lambda rb: more(ra, rb)))
+
+
+def ngram_hits(reference: Column, candidate: Column) -> Column:
+    """Struct of token counts and clipped n-gram hits (n = 1..4) of two token arrays.
+
+    Everything stays inside the row: no n-gram is ever shuffled, and a pair costs
+    sorting its own n-grams.
     """
-    logs = F.lit(0.0)
-    for n in range(1, MAX_N + 1):
-        possible = F.greatest(F.lit(1).cast("long"), F.col("c_len") - (n - 1))
-        precision = F.when(F.col(f"hit{n}") > 0, F.col(f"hit{n}") / possible).otherwise(F.lit(SMALLEST))
-        logs = logs + F.log(precision) / MAX_N
-    penalty = F.when(F.col("c_len") > F.col("r_len"), F.lit(1.0)).otherwise(
-        F.exp(1 - F.try_divide(F.col("r_len"), F.col("c_len")))
-    )
-    return F.when(F.col("hit1") > 0, penalty * F.exp(logs)).otherwise(F.lit(0.0))
 
+    def hits(r: Column, c: Column) -> Column:
+        def hit(n: int) -> Column:
+            a, b = (F.array_sort(F.array_compact(x[f"g{n}"])) for x in (r, c))
+            return bind(a, lambda x: bind(b, lambda y: _shared(x, y)))
 
-def key_partitioned(df: DataFrame, key: str) -> DataFrame:
-    return df.repartition(shuffle_partitions(df.sparkSession), key)
+        return F.struct(
+            F.size(r).alias("r_len"), F.size(c).alias("c_len"), *[hit(n).alias(f"hit{n}") for n in range(1, MAX_N + 1)]
+        )
+
+    return bind(_gram_structs(reference), lambda r: bind(_gram_structs(candidate), lambda c: hits(r, c)))
 
 
-def bleu(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataFrame:
-    """``(key, bleu_score)`` from two token-array columns.
+def bleu_score(reference: Column, candidate: Column) -> Column:
+    """BLEU-4 of two token arrays, one reference, equal weights, no smoothing.
 
-    One shuffle moves the compact rows; the exploded n-grams (about eight per token)
-    never cross the network.
+    No unigram hit scores 0; other zero counts use the smallest double.
     """
-    hits = ngram_hits(key_partitioned(pairs.select(key, reference, candidate), key), key, reference, candidate)
-    return hits.select(key, bleu_score().alias("bleu_score"))
+
+    def score(h: Column) -> Column:
+        logs = F.lit(0.0)
+        for n in range(1, MAX_N + 1):
+            possible = F.greatest(F.lit(1), h["c_len"] - (n - 1))
+            precision = F.when(h[f"hit{n}"] > 0, h[f"hit{n}"] / possible).otherwise(F.lit(SMALLEST))
+            logs = logs + F.log(precision) / MAX_N
+        penalty = F.when(h["c_len"] > h["r_len"], F.lit(1.0)).otherwise(
+            F.exp(1 - F.try_divide(h["r_len"], h["c_len"]))
+        )
+        return F.when(h["hit1"] > 0, penalty * F.exp(logs)).otherwise(F.lit(0.0))
+
+    return bind(ngram_hits(reference, candidate), score)
 
 
 def mean_present(values: list[Column]) -> Column:
     """Mean of the non-null values, 0 when all are null."""
-    present = F.filter(F.array(*values), lambda v: v.isNotNull())
-    total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
-    return F.coalesce(F.try_divide(total, F.size(present)), F.lit(0.0))
+
+    def mean(present: Column) -> Column:
+        total = F.aggregate(present, F.lit(0.0), lambda acc, v: acc + v)
+        return F.coalesce(F.try_divide(total, F.size(present)), F.lit(0.0))
+
+    return bind(F.array_compact(F.array(*values)), mean)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Set overlap of two arrays; null when both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union)
+    return F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)))
 
 
 def structure_score(a: str, b: str) -> Column:
@@ -138,28 +148,25 @@ def overall_score() -> Column:
     return sum(parts[1:], parts[0]) / len(parts)
 
 
-def evaluate_pairs(pairs: DataFrame, key: str, profile, embeddings: tuple[str, str] | None = None) -> DataFrame:
-    """Detail table of a run: all scores of every ``(key, original, back)`` row.
+def evaluate_pairs(pairs: DataFrame, profile, embeddings: tuple[str, str] | None = None) -> DataFrame:
+    """Detail table of a run: all scores of every ``(original, back)`` row.
 
     Rows without an original or a back-translation are skipped. ``profile`` maps a
     text column to the profile struct of :mod:`backglot.functions.profiles`. Scores
-    that cannot be computed count as zero.
+    that cannot be computed count as zero. One pass over the pairs, without a shuffle.
+    A Python profile needs both texts as stored columns (a table from ``hand_over``), as
+    Spark cannot feed a Python function from an expression with lambdas.
     """
-    whole = key_partitioned(pairs.where(F.col("original").isNotNull() & F.col("back").isNotNull()), key)
+    whole = pairs.where(F.col("original").isNotNull() & F.col("back").isNotNull())
     profiled = whole.select("*", profile(F.col("original")).alias("po"), profile(F.col("back")).alias("pb"))
-    tokens = profiled.select(key, F.col("po.tokens").alias("ref"), F.col("pb.tokens").alias("cand"))
-    scores = ngram_hits(tokens, key, "ref", "cand").select(key, bleu_score().alias("bleu_score"))
     semantic = cosine(F.col(embeddings[0]), F.col(embeddings[1])) if embeddings else F.lit(0.0)
     kept = [c for c in whole.columns if not embeddings or c not in embeddings]
-    return (
-        profiled.select(
-            *kept,
-            F.coalesce(F.col("pb.valid"), F.lit(False)).alias("syntax_valid"),
-            F.coalesce(structure_score("po", "pb"), F.lit(0.0)).alias("structure_score"),
-            semantic.alias("semantic_score"),
-            F.coalesce(token_match("po", "pb"), F.lit(0.0)).alias("token_match"),
-        )
-        .join(scores, key, "left")
-        .withColumn("bleu_score", F.coalesce("bleu_score", F.lit(0.0)))
-        .withColumn("overall_score", overall_score())
+    scored = profiled.select(
+        *kept,
+        F.coalesce(bleu_score(F.col("po.tokens"), F.col("pb.tokens")), F.lit(0.0)).alias("bleu_score"),
+        F.coalesce(F.col("pb.valid"), F.lit(False)).alias("syntax_valid"),
+        F.coalesce(structure_score("po", "pb"), F.lit(0.0)).alias("structure_score"),
+        semantic.alias("semantic_score"),
+        F.coalesce(token_match("po", "pb"), F.lit(0.0)).alias("token_match"),
     )
+    return scored.withColumn("overall_score", overall_score())

@@ -23,8 +23,12 @@ def existing_cells(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
 
 
 def write_cells(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Write a result table by run key, replacing exactly the cells present in ``df``."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Write a result table by run key, replacing exactly the cells present in ``df``.
+
+    Rebalancing gathers a cell's rows into few files, yet splits a cell that holds a
+    large share of all rows.
+    """
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def skip_done(grid: DataFrame, path: str, keys: list[str], force: bool = False) -> DataFrame:

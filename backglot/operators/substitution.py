@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backglot.functions import lexing
+from backglot.functions.expr import bind
 from backglot.functions.lexing import Lexer
 from backglot.operators.lookup import fits_broadcast, lookup_join
 from backglot.session import shuffle_partitions
@@ -80,14 +81,14 @@ def rewrite_pieces(
     out: str,
     lexer: Lexer,
     table: DataFrame,
-    piece_key: Callable[[Column], Column],
+    piece_key: Callable[[Column], Column] | None,
     piece_value: Callable[[Column, Column, Column], Column],
     tidy_comments: bool,
     inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
     """Add column ``out``: ``text`` with every piece looked up in ``table(word, repl)``.
 
-    ``piece_key`` names what to look up for a piece (null for nothing), ``piece_value``
+    ``piece_key`` names what to look up for a piece (null for nothing; None: the piece itself), ``piece_value``
     turns piece, key and hit into the new piece.
     """
     pieces = lexing.document_pieces(F.col(text), lexer, tidy_comments)
@@ -95,13 +96,15 @@ def rewrite_pieces(
     if lookup is not None:
 
         def rewrite(piece: Column) -> Column:
-            wanted = piece_key(piece)
-            return piece_value(piece, wanted, lookup(wanted))
+            if piece_key is None:
+                return piece_value(piece, piece, lookup(piece))
+            return bind(piece_key(piece), lambda wanted: piece_value(piece, wanted, lookup(wanted)))
 
         return df.withColumn(out, F.array_join(F.transform(pieces, rewrite), ""))
 
     keyed = df.repartition(shuffle_partitions(df.sparkSession), key)
-    exploded = keyed.select(key, F.posexplode(pieces).alias("p", "piece")).withColumn("word", piece_key(F.col("piece")))
+    exploded = keyed.select(key, F.posexplode(pieces).alias("p", "piece"))
+    exploded = exploded.withColumn("word", piece_key(F.col("piece")) if piece_key else F.col("piece"))
     joined = lookup_join(exploded, table, "word", [key, "p"])
     value = piece_value(F.col("piece"), F.col("word"), F.col("repl"))
     ordered = F.array_sort(F.collect_list(F.struct("p", value.alias("piece"))))
@@ -125,7 +128,7 @@ def substitute_documents(
         out,
         lexer,
         usable,
-        piece_key=lambda piece: piece,
+        piece_key=None,
         piece_value=lambda piece, wanted, hit: F.coalesce(hit, piece),
         tidy_comments=True,
         inline_rows=inline_rows,

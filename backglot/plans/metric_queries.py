@@ -19,7 +19,7 @@ from backglot.functions.text import extract_code
 from backglot.operators import metrics, reports
 from backglot.plans import inputs
 from backglot.plans import sqltext as q
-from backglot.sources.tables import read_summaries, scan, write_json
+from backglot.sources.tables import hand_over, read_summaries, scan, write_json
 from backglot.session import scratch_path
 
 
@@ -32,7 +32,7 @@ def bleu4(spark: SparkSession, folder: str) -> DataFrame:
     pairs = inputs.pairs(spark, folder).select(
         "doc_id", text_tokens(F.col("original")).alias("ref"), text_tokens(F.col("back")).alias("cand")
     )
-    return metrics.bleu(pairs, "doc_id", "ref", "cand").withColumn("bleu_score", F.round("bleu_score", 6))
+    return pairs.select("doc_id", F.round(metrics.bleu_score(F.col("ref"), F.col("cand")), 6).alias("bleu_score"))
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _details(spark: SparkSession, folder: str) -> DataFrame:
         .join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("ea")), "doc_id", "left")
         .join(vectors.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("eb")), "doc_id", "left")
     )
-    return metrics.evaluate_pairs(pairs, "doc_id", text_profile, ("ea", "eb"))
+    return metrics.evaluate_pairs(pairs, text_profile, ("ea", "eb"))
 
 
 SCORES = ["bleu_score", "structure_score", "semantic_score", "token_match", "overall_score"]
@@ -113,8 +113,8 @@ def validity_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def evaluation_details_code(spark: SparkSession, folder: str) -> DataFrame:
     """Code variant: Python's own grammar and tokenizer profile both sides."""
-    pairs = inputs.pairs(spark, folder)
-    return metrics.evaluate_pairs(pairs, "doc_id", code_profile).select("doc_id", "syntax_valid", *SCORES)
+    pairs = hand_over(inputs.pairs(spark, folder), "pairs")
+    return metrics.evaluate_pairs(pairs, code_profile).select("doc_id", "syntax_valid", *SCORES)
 
 
 # SQL twins.

@@ -9,11 +9,11 @@ from backglot.operators import metrics, reports
 from backglot.plans import inputs
 
 
-def round_trip(pairs: DataFrame, key: str, profile, run_key: list[str]) -> DataFrame:
-    """Score ``(key, run key, original, back)`` rows and average them per run."""
-    return reports.evaluation_summary(metrics.evaluate_pairs(pairs, key, profile), run_key)
+def round_trip(pairs: DataFrame, profile, run_key: list[str]) -> DataFrame:
+    """Score ``(run key, original, back)`` rows and average them per run."""
+    return reports.evaluation_summary(metrics.evaluate_pairs(pairs, profile), run_key)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Documents through a colliding dictionary and back, scored, averaged by language."""
-    return round_trip(inputs.pairs(spark, folder, "lang"), "doc_id", text_profile, ["lang"])
+    return round_trip(inputs.pairs(spark, folder, "lang"), text_profile, ["lang"])

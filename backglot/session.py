@@ -57,4 +57,4 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *keys)
+    return df.repartition(4 * cores, *keys)  # several tasks per core even out long documents
