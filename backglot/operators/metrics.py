@@ -12,88 +12,74 @@ SMALLEST = 2.2250738585072014e-308  # fixed value: smallest normal double stands
 _SEP = "\x01"
 
 
-def _gram_structs(tokens: Column) -> Column:
-    """Array of (g1, g2, g3, g4) per token position; grams past the end are null."""
-    shifted = [F.slice(tokens, F.lit(k + 1), F.size(tokens)).alias(f"t{k}") for k in range(1, MAX_N)]
+def _let(name: str, value: str, body: str) -> str:
+    """SQL twin of :func:`backglot.functions.expr.bind`."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    def grams(t: Column) -> Column:
-        parts = [t[f"t{k}"] for k in range(MAX_N)]
-        joined = [F.concat(*[x for p in parts[:n] for x in (F.lit(_SEP), p)][1:]) for n in range(2, MAX_N + 1)]
-        return F.struct(parts[0].alias("g1"), *[g.alias(f"g{n}") for n, g in enumerate(joined, 2)])
 
-    return F.transform(F.arrays_zip(tokens.alias("t0"), *shifted), grams)
+def _gram_structs(tokens: str) -> str:
+    """Array of (g1, g2, g3, g4) per token position; grams past the end are null."""
+    shifted = ", ".join(f"slice({tokens}, {k}, size({tokens}))" for k in range(1, MAX_N + 1))
+    fields = []
+    for n in range(1, MAX_N + 1):
+        parts = f", '{_SEP}', ".join(f"t.`{k}`" for k in range(n))
+        fields.append(f"'g{n}', concat({parts})")
+    return f"transform(arrays_zip({shifted}), t -> named_struct({', '.join(fields)}))"
 
 
-def _numbered(repeats: Column) -> Column:
+def _numbered(repeats: str) -> str:
     """Sorted array to distinct texts: each value with its rank among its equals."""
-
-    def number(starts: Column) -> Column:
-        def run(start: Column, index: Column) -> Column:
-            end = F.coalesce(F.get(starts, index + 1), F.size(repeats))
-            copies = F.slice(repeats, start + 1, end - start)
-            return F.transform(copies, lambda x, i: F.concat(x, F.lit(_SEP), i.cast("string")))
-
-        return F.flatten(F.transform(starts, run))
-
-    is_start = lambda i: (i == 0) | (F.get(repeats, i) != F.get(repeats, i - 1))
-    return bind(F.filter(F.sequence(F.lit(0), F.size(repeats) - 1), is_start), number)
+    starts = f"filter(sequence(0, size({repeats}) - 1), i -> i = 0 OR get({repeats}, i) <> get({repeats}, i - 1))"
+    copies = f"slice({repeats}, start + 1, coalesce(get(starts, j + 1), size({repeats})) - start)"
+    ranked = f"transform({copies}, (v, i) -> concat(v, '{_SEP}', string(i)))"
+    return _let("starts", starts, f"flatten(transform(starts, (start, j) -> {ranked}))")
 
 
-def _shared(a: Column, b: Column) -> Column:
+def _shared(a: str, b: str) -> str:
     """Size of the multiset intersection of two sorted arrays.
 
     ``array_intersect`` counts every shared value once. Further copies are looked at
     only where both sides repeat something.
     """
+    more = f"""CASE WHEN size(ra) > 0 AND size(rb) > 0
+        THEN size(array_intersect({_numbered("ra")}, {_numbered("rb")})) ELSE 0 END"""
 
-    def repeats(values: Column) -> Column:
-        return F.filter(values, lambda x, i: (i > 0) & (x == F.get(values, i - 1)))
+    def repeats(values: str) -> str:
+        return f"filter({values}, (v, i) -> i > 0 AND v = get({values}, i - 1))"
 
-    def more(ra: Column, rb: Column) -> Column:
-        both = (F.size(ra) > 0) & (F.size(rb) > 0)
-        return F.when(both, F.size(F.array_intersect(_numbered(ra), _numbered(rb)))).otherwise(F.lit(0))
+    extra = _let("ra", repeats(a), _let("rb", repeats(b), more))
+    return f"size(array_intersect({a}, {b})) + {extra}"
 
-    once = F.size(F.array_intersect(a, b))
-    return once + bind(repeats(a), lambda ra: bind(repeats(b), lambda rb: more(ra, rb)))
 
-
-def ngram_hits(reference: Column, candidate: Column) -> Column:
-    """Struct of token counts and clipped n-gram hits (n = 1..4) of two token arrays.
+def ngram_hits(reference: str, candidate: str) -> str:
+    """SQL struct of token counts and clipped n-gram hits (n = 1..4) of two token arrays.
 
     Everything stays inside the row: no n-gram is ever shuffled, and a pair costs
-    sorting its own n-grams.
+    sorting its own n-grams. Written as SQL text because a tree this size takes
+    thousands of Python calls to build from column objects.
     """
 
-    def hits(r: Column, c: Column) -> Column:
-        def hit(n: int) -> Column:
-            a, b = (F.array_sort(F.array_compact(x[f"g{n}"])) for x in (r, c))
-            return bind(a, lambda x: bind(b, lambda y: _shared(x, y)))
-
-        return F.struct(
-            F.size(r).alias("r_len"), F.size(c).alias("c_len"), *[hit(n).alias(f"hit{n}") for n in range(1, MAX_N + 1)]
-        )
+    def hit(n: int) -> str:
+        shared = _let("b", f"array_sort(array_compact(c.g{n}))", _shared("a", "b"))
+        return f"'hit{n}', {_let('a', f'array_sort(array_compact(r.g{n}))', shared)}"
 
-    return bind(_gram_structs(reference), lambda r: bind(_gram_structs(candidate), lambda c: hits(r, c)))
+    hits = ", ".join(hit(n) for n in range(1, MAX_N + 1))
+    counts = f"named_struct('r_len', size(r), 'c_len', size(c), {hits})"
+    return _let("r", _gram_structs(reference), _let("c", _gram_structs(candidate), counts))
 
 
-def bleu_score(reference: Column, candidate: Column) -> Column:
-    """BLEU-4 of two token arrays, one reference, equal weights, no smoothing.
+def bleu_score(reference: str, candidate: str) -> Column:
+    """BLEU-4 of two token-array columns, one reference, equal weights, no smoothing.
 
     No unigram hit scores 0; other zero counts use the smallest double.
     """
-
-    def score(h: Column) -> Column:
-        logs = F.lit(0.0)
-        for n in range(1, MAX_N + 1):
-            possible = F.greatest(F.lit(1), h["c_len"] - (n - 1))
-            precision = F.when(h[f"hit{n}"] > 0, h[f"hit{n}"] / possible).otherwise(F.lit(SMALLEST))
-            logs = logs + F.log(precision) / MAX_N
-        penalty = F.when(h["c_len"] > h["r_len"], F.lit(1.0)).otherwise(
-            F.exp(1 - F.try_divide(h["r_len"], h["c_len"]))
-        )
-        return F.when(h["hit1"] > 0, penalty * F.exp(logs)).otherwise(F.lit(0.0))
-
-    return bind(ngram_hits(reference, candidate), score)
+    logs = " + ".join(
+        f"ln(CASE WHEN h.hit{n} > 0 THEN h.hit{n} / greatest(1, h.c_len - {n - 1}) ELSE {SMALLEST!r}D END) / {MAX_N}"
+        for n in range(1, MAX_N + 1)
+    )
+    penalty = "CASE WHEN h.c_len > h.r_len THEN 1D ELSE exp(1 - try_divide(h.r_len, h.c_len)) END"
+    score = f"CASE WHEN h.hit1 > 0 THEN {penalty} * exp({logs}) ELSE 0D END"
+    return F.expr(_let("h", ngram_hits(reference, candidate), score))
 
 
 def mean_present(values: list[Column]) -> Column:
@@ -163,7 +149,7 @@ def evaluate_pairs(pairs: DataFrame, profile, embeddings: tuple[str, str] | None
     kept = [c for c in whole.columns if not embeddings or c not in embeddings]
     scored = profiled.select(
         *kept,
-        F.coalesce(bleu_score(F.col("po.tokens"), F.col("pb.tokens")), F.lit(0.0)).alias("bleu_score"),
+        F.coalesce(bleu_score("po.tokens", "pb.tokens"), F.lit(0.0)).alias("bleu_score"),
         F.coalesce(F.col("pb.valid"), F.lit(False)).alias("syntax_valid"),
         F.coalesce(structure_score("po", "pb"), F.lit(0.0)).alias("structure_score"),
         semantic.alias("semantic_score"),

@@ -149,10 +149,8 @@ def metrics_long(rows: DataFrame, ids: list[str]) -> DataFrame:
 def learning_curve(rows: DataFrame, metric: str = "overall") -> DataFrame:
     """Mean metric by language, example count and model, for languages with several counts.
 
-    Rows are aggregated first; the count per language looks at the small result only.
+    Rows are aggregated first; the window only sees the result, a row per sweep cell.
     """
     points = rows.groupBy("language", "examples", "model").agg(F.avg(metric).alias(metric))
-    several = points.groupBy("language").agg(F.countDistinct("examples").alias("n")).where("n > 1").select("language")
-    return points.join(several, "language", "left_semi")
-
-
+    counts = F.size(F.collect_set("examples").over(Window.partitionBy("language")))
+    return points.withColumn("_counts", counts).where("_counts > 1").drop("_counts")

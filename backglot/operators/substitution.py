@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from backglot.functions import lexing
 from backglot.functions.expr import bind
 from backglot.functions.lexing import Lexer
-from backglot.operators.lookup import fits_broadcast, lookup_join
+from backglot.operators.lookup import lookup_join
 from backglot.session import shuffle_partitions
 
 INLINE_ROWS = 5_000  # larger tables are joined
-INLINE_BYTES = 1 << 20
+INLINE_ENTRY_BYTES = 2_048
 INLINE_BUCKETS = 1_024
 
+Lookup = Callable[[Column], Column]
+
 
 def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, ln, indent, body)``: one row per line, blank lines kept verbatim as indent."""
@@ -58,29 +60,40 @@ def substitute_tokens(tokens: DataFrame, dictionary: DataFrame, row_id: list[str
     return joined.withColumn("value", F.coalesce("repl", "value")).drop("word", "repl")
 
 
-def inline_lookup(table: DataFrame, rows: int = INLINE_ROWS) -> Callable[[Column], Column] | None:
-    """A small ``(word, repl)`` table as a literal lookup, or None beyond the measured bound.
+def inline_lookup(table: DataFrame, rows: int = INLINE_ROWS) -> Lookup | None:
+    """A small ``(word, repl)`` table as a literal lookup, or None beyond the bound.
 
     Map lookups scan their keys, so entries are spread over hash buckets: an array of
-    small maps, folded into one literal at planning time.
+    small maps, folded into one literal at planning time. What reaches the driver is
+    bounded by ``rows`` and ``INLINE_ENTRY_BYTES``; a table over either bound is joined.
     """
-    if not fits_broadcast(table, rows, INLINE_BYTES):
-        return None
     count = F.lit(INLINE_BUCKETS)
+    fits = F.octet_length("word") + F.octet_length("repl") <= INLINE_ENTRY_BYTES
+    sized = table.select(
+        F.when(fits, F.pmod(F.hash("word"), count)), F.when(fits, F.col("word")), F.when(fits, F.col("repl"))
+    )
+    entries = sized.limit(rows + 1).collect()
+    if len(entries) > rows or any(bucket is None for bucket, _, _ in entries):
+        return None
     buckets: list[dict[str, str]] = [{} for _ in range(INLINE_BUCKETS)]
-    for bucket, word, repl in table.select(F.pmod(F.hash("word"), count), "word", "repl").collect():
+    for bucket, word, repl in entries:
         buckets[bucket][word] = repl
     maps = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,string>>")
     return lambda word: F.element_at(F.get(maps, F.pmod(F.hash(word), count)), word)
 
 
+def usable_entries(dictionary: DataFrame, lexer: Lexer) -> DataFrame:
+    """Entries made of word characters: they can only ever match word tokens."""
+    return dictionary.where(lexer.is_only_word(F.col("word"))).select("word", "repl")
+
+
 def rewrite_pieces(
     df: DataFrame,
     key: str,
     text: str,
     out: str,
     lexer: Lexer,
-    table: DataFrame,
+    table: DataFrame | Lookup,
     piece_key: Callable[[Column], Column] | None,
     piece_value: Callable[[Column, Column, Column], Column],
     tidy_comments: bool,
@@ -88,11 +101,13 @@ def rewrite_pieces(
 ) -> DataFrame:
     """Add column ``out``: ``text`` with every piece looked up in ``table(word, repl)``.
 
+    ``table`` may also be the result of :func:`inline_lookup`, to use it several times.
+
     ``piece_key`` names what to look up for a piece (null for nothing; None: the piece itself), ``piece_value``
     turns piece, key and hit into the new piece.
     """
     pieces = lexing.document_pieces(F.col(text), lexer, tidy_comments)
-    lookup = inline_lookup(table, inline_rows)
+    lookup = inline_lookup(table, inline_rows) if isinstance(table, DataFrame) else table
     if lookup is not None:
 
         def rewrite(piece: Column) -> Column:
@@ -113,14 +128,16 @@ def rewrite_pieces(
 
 
 def substitute_documents(
-    df: DataFrame, key: str, text: str, out: str, dictionary: DataFrame, lexer: Lexer, inline_rows: int = INLINE_ROWS
+    df: DataFrame,
+    key: str,
+    text: str,
+    out: str,
+    dictionary: DataFrame | Lookup,
+    lexer: Lexer,
+    inline_rows: int = INLINE_ROWS,
 ) -> DataFrame:
-    """Partial translation of whole documents: comments tidied, word tokens replaced.
-
-    The dictionary is cut down to entries made of word characters, which can only
-    ever match word tokens.
-    """
-    usable = dictionary.where(lexer.is_only_word(F.col("word"))).select("word", "repl")
+    """Partial translation of whole documents: comments tidied, word tokens replaced."""
+    usable = usable_entries(dictionary, lexer) if isinstance(dictionary, DataFrame) else dictionary
     return rewrite_pieces(
         df,
         key,

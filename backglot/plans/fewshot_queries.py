@@ -77,13 +77,13 @@ def response_fallback(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, folder: str, prompts: DataFrame) -> DataFrame:
-    """One answer per request: the first caller's conversation, one turn per few-shot size."""
+    """Responses table, one answer per request: the first caller's conversation, one turn per few-shot size."""
     manifest = fs.request_manifest(prompts, "doc_id")
     asked = manifest.select(
         "request_id", F.col("first_caller").alias("conv_id"), F.floor(F.col("chunk_size") / 5).alias("turn")
     )
     answers = inputs.responses(spark, folder).select("conv_id", "turn", "response")
-    return asked.join(answers, ["conv_id", "turn"]).select("request_id", "response")
+    return hand_over(asked.join(answers, ["conv_id", "turn"]).select("request_id", "response"), "responses")
 
 
 def _stage2(spark: SparkSession, folder: str, rows: DataFrame, code: str, source: str, target: str) -> DataFrame:
@@ -98,7 +98,7 @@ def _stage2(spark: SparkSession, folder: str, rows: DataFrame, code: str, source
 
 def _forward(spark: SparkSession, folder: str) -> DataFrame:
     docs = inputs.documents(spark, folder)
-    words = inputs.dictionary(spark, folder)
+    words = inputs.words_for(spark, folder)
     partial = substitute_documents(docs, "doc_id", "text", "partial", words, inputs.FORWARD)
     sized = partial.withColumn("chunk_size", F.explode(_sizes()))
     return _stage2(spark, folder, sized, "partial", ENGLISH, SPANISH)
@@ -114,7 +114,7 @@ def stage2_backward(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("doc_id") * 100 + F.col("chunk_size")).alias("row_id"), "doc_id", "chunk_size", "translated"
     )
     forward = hand_over(rows, "stage2")
-    words = inputs.dictionary(spark, folder)
+    words = inputs.words_for(spark, folder)
     partial = substitute_documents(forward, "row_id", "translated", "partial_back", words, inputs.BACKWARD)
     done = _stage2(spark, folder, partial.drop("translated"), "partial_back", SPANISH, ENGLISH)
     return done.select("doc_id", "chunk_size", "partial_back", F.col("translated").alias("back"), "status")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from backglot.functions.lexing import Lexer, stage0_lexer, stage1_lexer
 from backglot.operators.dictionary import keyword_dictionary
 from backglot.operators.reports import REPORT_HEADERS
-from backglot.operators.substitution import substitute_documents
+from backglot.operators.substitution import Lookup, inline_lookup, substitute_documents, usable_entries
 from backglot.session import spread
 from backglot.sources.tables import scan
 
@@ -34,14 +34,14 @@ FENCED = """fenced AS (
   FROM documents)"""
 
 
-def fenced(spark: SparkSession, folder: str) -> DataFrame:
+def fenced(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     text, lang = F.col("text"), F.col("lang")
     output = (
         F.when(lang == "en", F.concat(F.lit("x ```python\n"), text, F.lit("\n``` y")))
         .when(lang == "fr", F.concat(F.lit("```\n"), text, F.lit("```")))
         .otherwise(text)
     )
-    return documents(spark, folder, "lang").select("doc_id", output.alias("output"))
+    return documents(spark, folder, "lang").select("doc_id", *columns, output.alias("output"))
 
 
 # Keyword rows: every word occurrence of the benchmark, mapped many to one. Short words
@@ -93,8 +93,14 @@ def pairs_sql() -> str:
     )
 
 
+def words_for(spark: SparkSession, folder: str) -> DataFrame | Lookup:
+    """The small dictionary, resolved once for both directions (they share their word characters)."""
+    table = usable_entries(dictionary(spark, folder), FORWARD)
+    return inline_lookup(table) or table
+
+
 def pairs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    words = dictionary(spark, folder)
+    words = words_for(spark, folder)
     rows = documents(spark, folder, *columns).withColumnRenamed("text", "original")
     forward = substitute_documents(rows, "doc_id", "original", "translated", words, FORWARD)
     return substitute_documents(forward, "doc_id", "translated", "back", words, BACKWARD)

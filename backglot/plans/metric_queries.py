@@ -32,7 +32,7 @@ def bleu4(spark: SparkSession, folder: str) -> DataFrame:
     pairs = inputs.pairs(spark, folder).select(
         "doc_id", text_tokens(F.col("original")).alias("ref"), text_tokens(F.col("back")).alias("cand")
     )
-    return pairs.select("doc_id", F.round(metrics.bleu_score(F.col("ref"), F.col("cand")), 6).alias("bleu_score"))
+    return pairs.select("doc_id", F.round(metrics.bleu_score("ref", "cand"), 6).alias("bleu_score"))
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,8 +101,7 @@ def summary_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def validity_rate(spark: SparkSession, folder: str) -> DataFrame:
     """Share of extracted codes that parse, per language; each distinct code is parsed once."""
-    fenced = inputs.fenced(spark, folder).join(scan(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
-    codes = fenced.select("lang", F.coalesce(extract_code(F.col("output")), F.col("output")).alias("code"))
+    codes = inputs.fenced(spark, folder, "lang").select("lang", F.coalesce(extract_code(F.col("output")), F.col("output")).alias("code"))
     distinct = codes.groupBy("lang", "code").agg(F.count(F.lit(1)).alias("copies"))
     flagged = distinct.select("lang", "copies", code_profile(F.col("code"))["valid"].alias("valid"))
     return flagged.groupBy("lang").agg(

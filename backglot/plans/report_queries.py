@@ -101,14 +101,14 @@ def missing_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 def resume_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Write the done cells, compute the missing ones, then force the size-0 cells again."""
-    path = scratch_path(spark, "cells")
-    grid = _grid(spark, folder)
-    runs.write_cells(_done(spark, folder).distinct().withColumn("state", F.lit("done")), path, KEYS)
-    runs.write_cells(runs.skip_done(grid, path, KEYS).withColumn("state", F.lit("new")), path, KEYS)
-    zero = runs.skip_done(grid, path, KEYS, force=True).where(F.col("chunk_size") == 0)
-    runs.write_cells(zero.withColumn("state", F.lit("forced")), path, KEYS)
+    path, keys = scratch_path(spark, "cells"), ["lang", "chunk_size"]
+    grid, done = (df.select(*keys).distinct() for df in (_grid(spark, folder), _done(spark, folder)))
+    runs.write_cells(done.withColumn("state", F.lit("done")), path, keys)
+    runs.write_cells(runs.skip_done(grid, path, keys).withColumn("state", F.lit("new")), path, keys)
+    zero = runs.skip_done(grid, path, keys, force=True).where(F.col("chunk_size") == 0)
+    runs.write_cells(zero.withColumn("state", F.lit("forced")), path, keys)
     table = spark.read.parquet(path)
-    return table.select("source", "lang", F.col("chunk_size").cast("long").alias("chunk_size"), "state")
+    return table.select("lang", F.col("chunk_size").cast("long").alias("chunk_size"), "state")
 
 
 R6 = ", ".join(f"round({m}, 6) AS {m}" for m in METRICS)
@@ -187,8 +187,9 @@ GROUP BY language, examples, model""",
     ),
     "resume_cells": (
         resume_cells,
-        f"""WITH {GRID_SQL} SELECT source, lang, chunk_size,
+        f"""WITH {GRID_SQL} SELECT lang, chunk_size,
   CASE WHEN chunk_size = 0 AND g IS NOT NULL THEN 'forced' WHEN d IS NOT NULL THEN 'done' ELSE 'new' END AS state
-FROM (SELECT *, 1 AS d FROM done) FULL JOIN (SELECT *, 1 AS g FROM grid) USING (source, lang, chunk_size)""",
+FROM (SELECT DISTINCT lang, chunk_size, 1 AS d FROM done) FULL JOIN (SELECT DISTINCT lang, chunk_size, 1 AS g FROM grid)
+  USING (lang, chunk_size)""",
     ),
 }

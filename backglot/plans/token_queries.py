@@ -65,7 +65,7 @@ def substitute_document(spark: SparkSession, folder: str) -> DataFrame:
 
 def partial_forward(spark: SparkSession, folder: str) -> DataFrame:
     docs = inputs.documents(spark, folder)
-    words = inputs.dictionary(spark, folder)
+    words = inputs.words_for(spark, folder)
     return sub.substitute_documents(docs, "doc_id", "text", "partial", words, inputs.FORWARD).drop("text")
 
 
@@ -110,7 +110,7 @@ def tm_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def comment_translate(spark: SparkSession, folder: str) -> DataFrame:
-    """Comments of all lines; the memory knows each comment by its reversed text."""
+    """Comments of all lines; the memory answers those with an "a" by their reversed text."""
     lines = sub.comment_split(sub.line_table(inputs.documents(spark, folder), "doc_id", "text"))
     comments = lines.where(F.col("comment") != "").select(
         "doc_id", "ln", "comment", mem.comment_phrase(F.col("comment"), TARGET).alias("phrase")
@@ -119,7 +119,7 @@ def comment_translate(spark: SparkSession, folder: str) -> DataFrame:
         F.explode(F.split("text", "\n", -1)).alias("line")
     )
     texts = known.select(mem.comment_phrase(comment_part(F.ltrim("line")), TARGET).alias("phrase"))
-    answers = texts.where(F.col("phrase").isNotNull() & (F.length("phrase") % 2 == 0)).distinct()
+    answers = texts.where(F.col("phrase").isNotNull() & F.contains("phrase", F.lit("a"))).distinct()
     answers = answers.select("phrase", F.concat(F.reverse("phrase"), F.lit("-x")).alias("translation"))
     joined = lookup_join(comments, answers, "phrase", ["doc_id", "ln"])
     done = mem.comment_answer(F.col("comment"), F.col("phrase"), F.col("translation"))
@@ -253,7 +253,7 @@ FROM phrases LEFT JOIN memory USING (phrase)""",
     "comment_translate": (
         comment_translate,
         f"""WITH {PARTS}, keyed AS (SELECT doc_id, ln, comment, {comment_phrase_sql(TARGET)} AS phrase FROM d_parts WHERE comment <> '')
-SELECT doc_id, ln, CASE WHEN phrase IS NULL THEN comment WHEN length(phrase) % 2 = 0
+SELECT doc_id, ln, CASE WHEN phrase IS NULL THEN comment WHEN contains(phrase, 'a')
   THEN '# ' || replace(reverse(phrase) || '-x', '-', '_') ELSE '# ' || phrase END AS translated FROM keyed""",
     ),
     "stage1_forward": (stage1_forward, f"WITH {FORWARD1} SELECT doc_id, out AS translated FROM d_doc"),
