@@ -140,8 +140,9 @@ def evaluate_pairs(pairs: DataFrame, profile, embeddings: tuple[str, str] | None
     Rows without an original or a back-translation are skipped. ``profile`` maps a
     text column to the profile struct of :mod:`backglot.functions.profiles`. Scores
     that cannot be computed count as zero. One pass over the pairs, without a shuffle.
-    A Python profile needs both texts as stored columns (a table from ``hand_over``), as
-    Spark cannot feed a Python function from an expression with lambdas.
+    Both texts should be stored columns (a table from ``hand_over``): the null filter
+    would otherwise be pushed into the plan that makes them and run it twice, and Spark
+    cannot feed a Python profile from an expression with lambdas.
     """
     whole = pairs.where(F.col("original").isNotNull() & F.col("back").isNotNull())
     profiled = whole.select("*", profile(F.col("original")).alias("po"), profile(F.col("back")).alias("pb"))

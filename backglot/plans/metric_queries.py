@@ -60,9 +60,9 @@ def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def _details(spark: SparkSession, folder: str) -> DataFrame:
     """Text variant: the vectors of a document and of its successor stand in for both texts."""
     vectors = scan(spark, folder, "embeddings")
+    stored = hand_over(inputs.pairs(spark, folder, "lang", "source"), "pairs")
     pairs = (
-        inputs.pairs(spark, folder, "lang", "source")
-        .join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("ea")), "doc_id", "left")
+        stored.join(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("ea")), "doc_id", "left")
         .join(vectors.select((F.col("vec_id") - 1).alias("doc_id"), F.col("embedding").alias("eb")), "doc_id", "left")
     )
     return metrics.evaluate_pairs(pairs, text_profile, ("ea", "eb"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from backglot.functions.profiles import text_profile
 from backglot.operators import metrics, reports
 from backglot.plans import inputs
+from backglot.sources.tables import hand_over
 
 
 def round_trip(pairs: DataFrame, profile, run_key: list[str]) -> DataFrame:
@@ -16,4 +17,5 @@ def round_trip(pairs: DataFrame, profile, run_key: list[str]) -> DataFrame:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Documents through a colliding dictionary and back, scored, averaged by language."""
-    return round_trip(inputs.pairs(spark, folder, "lang"), text_profile, ["lang"])
+    pairs = hand_over(inputs.pairs(spark, folder, "lang"), "pairs")
+    return round_trip(pairs, text_profile, ["lang"])
