@@ -20,7 +20,7 @@ from backglot.operators import metrics, reports
 from backglot.plans import inputs
 from backglot.plans import sqltext as q
 from backglot.sources.tables import hand_over, read_summaries, scan, write_json
-from backglot.session import scratch_path
+from backglot.session import scratch_path, ship_package
 
 
 def metric_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,6 +101,7 @@ def summary_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 def validity_rate(spark: SparkSession, folder: str) -> DataFrame:
     """Share of extracted codes that parse, per language; each distinct code is parsed once."""
+    ship_package(spark)
     codes = inputs.fenced(spark, folder, "lang").select("lang", F.coalesce(extract_code(F.col("output")), F.col("output")).alias("code"))
     distinct = codes.groupBy("lang", "code").agg(F.count(F.lit(1)).alias("copies"))
     flagged = distinct.select("lang", "copies", code_profile(F.col("code"))["valid"].alias("valid"))
@@ -112,6 +113,7 @@ def validity_rate(spark: SparkSession, folder: str) -> DataFrame:
 
 def evaluation_details_code(spark: SparkSession, folder: str) -> DataFrame:
     """Code variant: Python's own grammar and tokenizer profile both sides."""
+    ship_package(spark)
     pairs = hand_over(inputs.pairs(spark, folder), "pairs")
     return metrics.evaluate_pairs(pairs, code_profile).select("doc_id", "syntax_valid", *SCORES)
 
