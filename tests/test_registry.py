@@ -7,11 +7,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from backglot.plans import registry
 from tests.oracle import compare, connect
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: query for name, (query, _) in registry.QUERIES.items()}
+ORACLES = {name: sql for name, (_, sql) in registry.QUERIES.items() if sql}
 ROWS_ONLY = {"validity_rate", "evaluation_details_code"}
 
 
