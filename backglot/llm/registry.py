@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from backglot.llm import chat
+from backglot.llm import chat, counts
 
 QUERIES = {
+    "op3_token_counts": (counts.op3_token_counts, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
 }
