@@ -28,6 +28,7 @@ from backglot.sources.tables import scan
 
 VOCABULARY = "byte_bpe_50k.json"
 TABLE_ENTRIES = 300_000  # units whose piece counts a task keeps; beyond, it starts afresh
+BATCH = 4096  # pre-tokens encoded at once
 LONG_UNIT = 200  # longer units are counted, but not kept
 
 # The library's pattern with its meaning of white space spelled out.
@@ -76,7 +77,10 @@ class PieceCounter:
         """Piece counts of units not seen before, each distinct pre-token encoded once."""
         split = {u: _PRE_TOKEN.findall(u) for u in units}
         distinct = list({p for parts in split.values() for p in parts})
-        sizes = dict(zip(distinct, (len(e) for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False))))
+        sizes = {}
+        for i in range(0, len(distinct), BATCH):
+            part = distinct[i : i + BATCH]
+            sizes.update(zip(part, map(len, self.tokenizer.encode_batch_fast(part, add_special_tokens=False))))
         return {u: sum(sizes[p] for p in parts) for u, parts in split.items()}
 
     def count(self, texts: list[str]) -> list[int]:

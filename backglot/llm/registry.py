@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from backglot.llm import chat, counts
+from backglot.llm import bpe, chat, counts, quality, toxicity
 
 QUERIES = {
+    "op2_byte_bpe": (bpe.op2_byte_bpe, None),
     "op3_token_counts": (counts.op3_token_counts, None),
+    "op5_toxicity": (toxicity.op5_toxicity, None),
+    "op7_quality": (quality.op7_quality, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
 }
