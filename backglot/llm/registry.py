@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from backglot.llm import bpe, chat, counts, quality, toxicity
+from backglot.llm import bpe, chat, counts, neardup, quality, toxicity
 
 QUERIES = {
+    "op1_minhash_near_dedup": (neardup.op1_minhash_near_dedup, None),
     "op2_byte_bpe": (bpe.op2_byte_bpe, None),
     "op3_token_counts": (counts.op3_token_counts, None),
     "op5_toxicity": (toxicity.op5_toxicity, None),
