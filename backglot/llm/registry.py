@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from backglot.llm import bpe, chat, counts, neardup, quality, toxicity
+from backglot.llm import bpe, chat, counts, neardup, quality, substrings, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": (neardup.op1_minhash_near_dedup, None),
     "op2_byte_bpe": (bpe.op2_byte_bpe, None),
     "op3_token_counts": (counts.op3_token_counts, None),
     "op5_toxicity": (toxicity.op5_toxicity, None),
+    "op6_substring_dedup": (substrings.op6_substring_dedup, substrings.OP6_SQL),
     "op7_quality": (quality.op7_quality, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
 }
