@@ -30,7 +30,7 @@ def _index(hashes: np.ndarray, kind: int) -> np.ndarray:
     return (mix(hashes + _U(kind * 0x9E3779B97F4A7C15 % (1 << 64))) >> _U(64 - BITS)).astype(np.int64)
 
 
-def _bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def bare_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Spans without up to ``most`` signs at either side."""
     starts, ends = starts.copy(), ends.copy()
     for _ in range(most):
@@ -46,7 +46,7 @@ def word_features(column: pa.Array, prefixes: tuple[int, ...] = (4, 5, 6)) -> Fe
     data, at = text_bytes(pc.utf8_lower(column))
     starts, ends, first = word_spans(data, at)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    starts, ends = _bare(data, starts, ends)
+    starts, ends = bare_spans(data, starts, ends)
     owners, found = [owner], [_index(word_hashes(data, starts, ends, True), 1)]
     for k in prefixes:
         longer = np.flatnonzero(ends - starts > k)
@@ -60,7 +60,7 @@ def ngram_features(column: pa.Array) -> Features:
     data, at = text_bytes(column)
     starts, ends, first = word_spans(data, at)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    words = word_hashes(data, *_bare(data, starts, ends), True)
+    words = word_hashes(data, *bare_spans(data, starts, ends), True)
     classes = _CLASS[data]
     tail = word_hashes(classes, np.maximum(starts, ends - 3), ends, False)
     head = word_hashes(classes, starts, np.minimum(ends, starts + 2), False)

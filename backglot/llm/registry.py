@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from backglot.llm import ann, bpe, chat, counts, neardup, quality, substrings, toxicity
+from backglot.llm import ann, bpe, chat, counts, decontaminate, neardup, quality, substrings, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": (neardup.op1_minhash_near_dedup, None),
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_substring_dedup": (substrings.op6_substring_dedup, substrings.OP6_SQL),
     "op7_quality": (quality.op7_quality, None),
+    "op8_decontaminate": (decontaminate.op8_decontaminate, None),
     "op9_nearest_neighbours": (ann.op9_nearest_neighbours, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
 }
