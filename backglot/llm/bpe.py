@@ -256,6 +256,18 @@ def encode_digests(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", te
     return _joined(docs, pieces, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", build, names)
 
 
+def encode_round_trip(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row its ids, their number, and the digest of the bytes decoded from them."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+
+    def build(ids: list[list[int]]) -> list[pa.Array]:
+        table = shared.value
+        digests = (hashlib.sha256(decode(x, table)).hexdigest() for x in ids)
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string())]
+
+    return _joined(docs, pieces, key, text, "ids array<int>, n_tokens long, decoded_sha256 string", build, ["ids", "n_tokens", "decoded_sha256"])
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     pieces = read_ranks(public_tokenizers.path(VOCABULARY))
     return encode_digests(scan(spark, folder, "documents"), pieces)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from backglot.llm import ann, bpe, chat, counts, decontaminate, neardup, quality, substrings, toxicity
+from backglot.llm import ann, bpe, chat, counts, decontaminate, idfiles, neardup, quality, substrings, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": (neardup.op1_minhash_near_dedup, None),
     "op2_byte_bpe": (bpe.op2_byte_bpe, None),
     "op3_token_counts": (counts.op3_token_counts, None),
+    "op4_id_files": (idfiles.op4_id_files, None),
     "op5_toxicity": (toxicity.op5_toxicity, None),
     "op6_substring_dedup": (substrings.op6_substring_dedup, substrings.OP6_SQL),
     "op7_quality": (quality.op7_quality, None),
