@@ -1,13 +1,13 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-A task reads its documents in order. Texts are cut into pre-tokens; each pre-token that the task meets
-for the first time is handed on once, documents are codes into the list of distinct words. The fold
-(``fold_merges``) runs in the JVM over those distinct words, with the ranks as a literal: two slots per
-byte string, so a look-up reads two array cells. Then the task joins codes and folded words to ids. All
-steps are narrow, so nothing is shuffled and no key can be hot.
+A task reads its documents in order. Texts are cut into pre-tokens ("words"); a word that the task meets for the first
+time is handed on once, documents are codes into the list of distinct words. A word starts as the array of its bytes'
+ranks; ``fold_merges`` runs in the JVM and merges its pair of least rank again and again. The ranks of pairs are one
+literal array, in which each pair lies in one of two slots, so a look-up reads at most two cells. Then the task joins
+codes and folded words to ids. All steps are narrow, so nothing is shuffled and no key can be hot.
 
-Words above ``LONG_WORD`` bytes take the same merges in the same order from a heap in Python, because an
-array fold needs quadratic time in the word's length.
+Words that are pieces themselves need no fold. Words above ``LONG_WORD`` bytes take the same merges in the same order
+from a heap, because an array fold needs quadratic time in the word's length.
 
 Defined results for odd inputs: a null or empty text has no ids and decodes to no bytes; repeated rows give
 repeated results; an empty table gives an empty result; other columns are not read. Bytes that are not UTF-8
@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backglot.functions.expr import bind
-from backglot.llm.arrow import text_slices
+from backglot.llm.arrow import ragged, text_slices
 from backglot.session import ship_package
 from backglot.sources.tables import scan
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 40  # bytes; longer words are merged by the heap
-TABLE_WORDS = 600_000  # distinct words a task keeps before it starts afresh
-SLOTS = 1 << 18
+TABLE_WORDS = 400_000  # distinct words a task keeps before it starts afresh
+LONG_UNIT = 200  # longer stretches of text are coded, but not kept
 
 PATTERN = (
     public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}")
@@ -56,68 +57,71 @@ def read_ranks(path: str) -> list[bytes]:
     return pieces
 
 
-class RankMap:
-    """Literal map from byte strings to ranks: each string lies in one of its two slots."""
+class PairRanks:
+    """Rank of two adjacent pieces' concatenation, as one literal: each pair lies in one of its two slots.
 
-    def __init__(self, spark: SparkSession, pieces: list[bytes], slots: int = SLOTS):
-        self.slots = slots
-        table = spark.createDataFrame(list(enumerate(map(bytearray, pieces))), "rank int, piece binary")
-        homes = {r[0]: (r[1], r[2]) for r in table.select("rank", *self._homes(F.col("piece"))).collect()}
-        held: list[int | None] = [None] * slots
-        for rank in range(len(pieces)):
-            at = homes[rank][0] if held[homes[rank][0]] is None else homes[rank][1]
-            moving = rank
+    A cell holds ``left << 32 | right << 16 | rank``, or -1.
+    """
+
+    def __init__(self, spark: SparkSession, pieces: list[bytes]):
+        rank = {p: i for i, p in enumerate(pieces)}
+        pairs = [(rank[p[:k]] << 16 | rank[p[k:]], i) for p, i in rank.items() for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank]
+        self.slots = 1 << max(8, (3 * len(pairs)).bit_length())
+        table = spark.createDataFrame([(k,) for k, _ in pairs], "pair long")
+        homes = {r[0]: (r[1], r[2]) for r in table.select("pair", *self._homes(F.col("pair"))).collect()}
+        held: list = [None] * self.slots
+        for moving in pairs:
+            at = homes[moving[0]][0]
             for _ in range(500):
                 moving, held[at] = held[at], moving
                 if moving is None:
                     break
-                a, b = homes[moving]
+                a, b = homes[moving[0]]
                 at = b if at == a else a
             else:
-                raise ValueError("the rank table needs more slots")
-        keys = [None if r is None else base64.b64encode(pieces[r]).decode() for r in held]
-        self.keys = F.from_json(F.lit(json.dumps(keys)), "array<binary>")
-        self.ranks = F.from_json(F.lit(json.dumps(held)), "array<int>")
+                raise ValueError("the pair table needs more slots")
+        self.table = F.from_json(F.lit(json.dumps([-1 if c is None else c[0] << 16 | c[1] for c in held])), "array<bigint>")
+
+    def _homes(self, pair: Column) -> tuple[Column, Column]:
+        mask = F.lit(self.slots - 1)
+        return F.hash(pair).bitwiseAND(mask), F.hash(pair, F.lit(7)).bitwiseAND(mask)
 
-    def _homes(self, piece: Column) -> tuple[Column, Column]:
-        size = F.lit(self.slots)
-        return F.pmod(F.hash(piece), size), F.pmod(F.hash(piece, F.lit(7)), size)
+    def rank(self, table: Column, left: Column, right: Column) -> Column:
+        """Rank of the pair, or null; ``table`` stands for the literal, which so occurs once in a plan."""
 
-    def rank(self, piece: Column) -> Column:
-        """Rank of a byte string, or null."""
+        def look(pair: Column) -> Column:
+            def cell(at: Column, rest: Column) -> Column:
+                return bind(F.get(table, at), lambda c: F.when(F.shiftright(c, 16) == pair, c.bitwiseAND(F.lit(65535))).otherwise(rest))
 
-        def look(p: Column) -> Column:
-            first, second = self._homes(p)
-            probe = lambda at, rest: bind(at, lambda i: F.when(F.get(self.keys, i) == p, F.get(self.ranks, i)).otherwise(rest))
-            return probe(first, probe(second, F.lit(None).cast("int")))
+            first, second = self._homes(pair)
+            return cell(first, cell(second, F.lit(None).cast("bigint")))
 
-        return bind(piece, look)
+        return bind(left * F.lit(65536).cast("bigint") + right, look)
 
 
-def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """Ids of one word: its bytes, with the pair of the least rank merged again and again, leftmost first."""
+def fold_merges(words: Column, unfinished: Column, ranks: PairRanks) -> Column:
+    """Ids of words given as arrays of their bytes' ranks: the pair of the least rank is merged, leftmost first, until none is left."""
 
-    def merge_once(parts: Column, _: Column) -> Column:
-        pair = lambda i: ranks.rank(F.concat(F.get(parts, i), F.get(parts, i + 1)))
+    def merge_once(table: Column, parts: Column) -> Column:
+        pair = lambda i: ranks.rank(table, F.get(parts, i), F.get(parts, i + 1))
         pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), pair)
 
-        def joined(at: Column) -> Column:
-            new = F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))
-            return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(new), F.slice(parts, at + 2, F.size(parts)))
+        def joined(least: Column, at: Column) -> Column:
+            return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(least), F.slice(parts, at + 2, F.size(parts)))
 
         def best(found: Column) -> Column:
-            at = F.array_position(found, F.array_min(found)).cast("int")
-            return bind(at, lambda i: F.when(i.isNull() | (i == 0), parts).otherwise(joined(i)))
+            place = lambda least: bind(F.array_position(found, least).cast("int"), lambda at: joined(least, at))
+            return bind(F.array_min(found), lambda least: F.when(least.isNull(), parts).otherwise(place(least)))
 
         return F.when(F.size(parts) < 2, parts).otherwise(bind(pairs, best))
 
-    def folded(w: Column) -> Column:
-        singles = F.transform(F.sequence(F.lit(1), F.octet_length(w)), lambda i: F.substring(w, i, F.lit(1)))
-        steps = F.sequence(F.lit(2), F.octet_length(w))
-        parts = F.when(F.octet_length(w) < 2, singles).otherwise(F.aggregate(steps, singles, merge_once))
-        return F.transform(parts, lambda p: ranks.rank(p))
+    def fold(table: Column, word: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(2), F.size(word)), word, lambda parts, _: merge_once(table, parts))
+
+    def each(table: Column) -> Column:
+        return F.zip_with(words, unfinished, lambda w, open_: F.when(open_ & (F.size(w) > 1), fold(table, w)).otherwise(w))
 
-    return bind(word, lambda w: F.coalesce(bind(ranks.rank(w), lambda r: F.when(r.isNotNull(), F.array(r))), folded(w)))
+    return bind(ranks.table, each)
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -152,48 +156,90 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_BLOCK = "docs array<struct<key:{key},n:int>>, codes array<int>, words array<binary>, fresh boolean"
-
-
-def word_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+_BLOCK = "docs array<struct<key:{key},n:int>>, codes array<int>, words array<array<bigint>>, unfinished array<boolean>, fresh boolean"
+_UNEVEN = re.compile(r" (?=\s|\Z)")
+_CUT = re.compile(r"(?= \S)")
+
+
+class Coder:
+    """Codes of a task's words, and the words that are new."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.ranks = {p: i for i, p in enumerate(pieces)}
+        self.bytes = [self.ranks[bytes([i])] for i in range(256)]
+        self.find = regex.compile(PATTERN).findall
+        self.clear()
+
+    def clear(self) -> None:
+        self.words: dict[str, int] = {}
+        self.units: dict[str, bytes] = {}
+
+    def unit(self, unit: str) -> bytes:
+        """Codes of the words of one unit: a stretch of text that ends before a single space, which no word spans."""
+        words = self.words
+        for w in (found := self.find(unit)):
+            if w not in words:
+                words[w] = len(words)
+                coded = w.encode()
+                own = self.ranks.get(coded)
+                if own is not None:
+                    self.ready([own], False)
+                elif len(coded) > LONG_WORD:
+                    self.ready(heap_merges(coded, self.ranks), False)
+                else:
+                    self.ready([self.bytes[b] for b in coded], True)
+        coded = np.array([words[w] for w in found], "<i4").tobytes()
+        if len(unit) <= LONG_UNIT:
+            self.units[unit] = coded
+        return coded
+
+    def ready(self, ids: list[int], open_: bool) -> None:
+        self.new.append(ids)
+        self.open.append(open_)
+
+    def codes(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if _UNEVEN.search(text):
+            units = [u for u in _CUT.split(text) if u]
+        else:
+            head, *rest = text.split(" ")
+            units = [" " + u for u in rest]
+            if head:
+                units.insert(0, head)
+        known = self.units
+        return b"".join([known[u] if u in known else self.unit(u) for u in units])
+
+
+def word_blocks(docs: DataFrame, pieces, key: str, text: str) -> DataFrame:
     """Documents as codes into the distinct words of their task; a block brings the words not met before."""
-    pattern_text = PATTERN
     kind = dict(docs.dtypes)[key]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern_text).findall
-        known: dict[str, int] = {}
+        coder = None
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for batch in batches:
             for part in text_slices(batch):
-                fresh = not known or len(known) > TABLE_WORDS
+                coder = coder or Coder(pieces.value)
+                fresh = not coder.words or len(coder.words) > TABLE_WORDS
                 if fresh:
-                    known = {}
-                before = len(known)
-                codes: list[int] = []
-                sizes = []
-                for value in part.column("text").to_pylist():
-                    found = find(value)
-                    for w in found:
-                        if w not in known:
-                            known[w] = len(known)
-                    codes.extend(map(known.__getitem__, found))
-                    sizes.append(len(found))
-                words = [w.encode() for w in list(known)[before:]]
-                rows = pa.StructArray.from_arrays([part.column("key"), pa.array(sizes, pa.int32())], ["key", "n"])
-                one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                    coder.clear()
+                coder.new, coder.open = [], []
+                coded = [coder.codes(value) for value in part.column("text").to_pylist()]
+                rows = pa.StructArray.from_arrays([part.column("key"), pa.array([len(c) // 4 for c in coded], pa.int32())], ["key", "n"])
+                codes = pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [one(rows), one(pa.array(codes, pa.int32())), one(pa.array(words, pa.binary())), pa.array([fresh])],
-                    ["docs", "codes", "words", "fresh"],
+                    [one(rows), one(codes), one(pa.array(coder.new, pa.list_(pa.int64()))), one(pa.array(coder.open, pa.bool_())), pa.array([fresh])],
+                    ["docs", "codes", "words", "unfinished", "fresh"],
                 )
 
-    ship_package(docs.sparkSession)
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     return given.mapInArrow(work, _BLOCK.format(key=kind))
 
 
 def encode(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, ids array<int>)`` per row of ``docs``, as the rank table's tokenizer gives them."""
-    return _joined(docs, pieces, key, text, "ids array<int>", lambda ids: pa.array(ids, pa.list_(pa.int32())), ["ids"])
+    return _joined(docs, pieces, key, text, "ids array<int>", lambda ids: [_lists(ids)], ["ids"])
 
 
 def decode(ids: Iterator[int] | np.ndarray, pieces: list[bytes]) -> bytes:
@@ -202,55 +248,52 @@ def decode(ids: Iterator[int] | np.ndarray, pieces: list[bytes]) -> bytes:
 
 
 def _joined(docs, pieces, key, text, schema, build, names) -> DataFrame:
+    """Per row what ``build`` makes of the ids (numpy arrays) of a block's documents."""
     spark = docs.sparkSession
-    ranks = RankMap(spark, pieces)
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(pieces)
     kind = dict(docs.dtypes)[key]
-    fold = lambda w: F.when(F.octet_length(w) <= LONG_WORD, fold_merges(w, ranks))
-    blocks = word_blocks(docs, key, text).select(
-        "docs", "codes", "fresh", F.transform("words", fold).alias("folded"),
-        F.filter("words", lambda w: F.octet_length(w) > LONG_WORD).alias("long"),
-    )
+    blocks = word_blocks(docs, shared, key, text)
+    folded = fold_merges(F.col("words"), F.col("unfinished"), PairRanks(spark, pieces))
+    blocks = blocks.select("docs", "codes", "fresh", folded.alias("folded"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        by_piece = {p: i for i, p in enumerate(table)}
-        words: list = []
+        words: list[bytes] = []
         for batch in batches:
             for i in range(batch.num_rows):
                 block = batch.slice(i, 1)
                 if block.column("fresh")[0].as_py():
                     words = []
-                long = iter(block.column("long")[0].as_py())
-                words += [heap_merges(next(long), by_piece) if w is None else w for w in block.column("folded")[0].as_py()]
-                codes = block.column("codes").flatten().to_pylist()
+                new = block.column("folded").flatten()
+                raw = new.flatten().to_numpy().astype("<i4").tobytes()
+                ends = np.cumsum(new.value_lengths().to_numpy(zero_copy_only=False)).tolist() if len(new) else []
+                words += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+                codes = block.column("codes").flatten().to_numpy()
                 rows = block.column("docs").flatten()
-                sizes = rows.field("n").to_pylist()
-                at, ids = 0, []
-                for n in sizes:
-                    ids.append([t for c in codes[at : at + n] for t in words[c]])
-                    at += n
-                made = build(ids)
-                made = made if isinstance(made, list) else [made]
-                yield pa.RecordBatch.from_arrays([rows.field("key"), *made], ["key", *names])
+                edge = np.concatenate([[0], np.cumsum(rows.field("n").to_numpy())]).astype(np.int64)
+                ids = [np.frombuffer(b"".join(map(words.__getitem__, codes[a:b].tolist())), "<i4") for a, b in zip(edge, edge[1:])]
+                yield pa.RecordBatch.from_arrays([rows.field("key"), *build(ids)], ["key", *names])
 
     return blocks.mapInArrow(work, f"key {kind}, {schema}").withColumnRenamed("key", key)
 
 
+def _shas(ids: list[np.ndarray], pieces: list[bytes]) -> pa.Array:
+    return pa.array((hashlib.sha256(decode(x.tolist(), pieces)).hexdigest() for x in ids), pa.string())
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    return ragged(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32), np.array([len(x) for x in ids]), pa.int32())
+
+
 def encode_digests(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row the number of ids, the digest of the decimal ids, and that of the bytes decoded from the ids."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
 
-    def build(ids: list[list[int]]) -> list[pa.Array]:
-        table = shared.value
-        shown = list(map(str, range(len(table))))
-        sha = lambda data: hashlib.sha256(data).hexdigest()
-        return [
-            pa.array(map(len, ids), pa.int64()),
-            pa.array((sha(",".join(map(shown.__getitem__, x)).encode()) for x in ids), pa.string()),
-            pa.array((sha(decode(x, table)) for x in ids), pa.string()),
-        ]
+    def build(ids: list[np.ndarray]) -> list[pa.Array]:
+        shown = list(map(str, range(len(shared.value))))
+        listed = (hashlib.sha256(",".join(map(shown.__getitem__, x.tolist())).encode()).hexdigest() for x in ids)
+        return [pa.array(map(len, ids), pa.int64()), pa.array(listed, pa.string()), _shas(ids, shared.value)]
 
     names = ["n_tokens", "ids_sha256", "decoded_sha256"]
     return _joined(docs, pieces, key, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", build, names)
@@ -260,10 +303,8 @@ def encode_round_trip(docs: DataFrame, pieces: list[bytes], key: str = "doc_id",
     """Per row its ids, their number, and the digest of the bytes decoded from them."""
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    def build(ids: list[list[int]]) -> list[pa.Array]:
-        table = shared.value
-        digests = (hashlib.sha256(decode(x, table)).hexdigest() for x in ids)
-        return [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string())]
+    def build(ids: list[np.ndarray]) -> list[pa.Array]:
+        return [_lists(ids), pa.array(map(len, ids), pa.int64()), _shas(ids, shared.value)]
 
     return _joined(docs, pieces, key, text, "ids array<int>, n_tokens long, decoded_sha256 string", build, ["ids", "n_tokens", "decoded_sha256"])
 
