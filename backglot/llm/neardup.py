@@ -3,8 +3,9 @@
 * Every document's shingle set gets minwise tokens. In each of ``trees`` independent trees documents branch by the
   token of the next depth, recursively, until a node holds at most ``small`` documents or ``depth`` is reached.
 * In small nodes all pairs are candidates. A node that no branching makes small holds near copies: there, each
-  document is compared with the node's least one, and those that did not join it are then compared with all others
-  of the node, so no link is lost and no group is expanded into all its pairs.
+  document is compared with the node's least one and, for a few rounds, with two drawn ones. Those that did not join
+  the least one's component by then are compared with all others of the node that are in other components, so no link
+  is lost and no group is expanded into all its pairs.
 * Candidates pass an exact size filter and a sketch (a pair at the threshold fails it once in ten billion times),
   and are confirmed on full sets. Components are taken over the confirmed links; pairs that are in one component
   already are not confirmed again.
@@ -32,6 +33,7 @@ from backglot.session import ship_package
 from backglot.sources.tables import hand_over, scan
 
 TREES, DEPTH, SMALL = 20, 4, 8
+LEADER_ROUNDS = 3
 SKETCH_DIFFERENCE = 40  # of 128 bits; at similarity 0.8 the mean is 13 and the deviation 4
 
 
@@ -121,9 +123,18 @@ def near_duplicates(
 
     links = hand_over(confirm(pairs.where("star"), sets, percent), "links")
     members = hand_over(connected_components(links), "members")
-    links = links.union(hand_over(confirm(apart(pairs.where("NOT star"), members), sets, percent), "links"))
-    members = hand_over(connected_components(links), "members")
-    links = links.union(hand_over(confirm(strays(crowded, members, percent), sets, percent), "links"))
+    for turn in range(LEADER_ROUNDS):
+        both = placed(crowded, members)
+        if both.where("own != main").isEmpty():
+            break
+        links = links.union(hand_over(confirm(leader_pairs(both, turn, percent), sets, percent), "links"))
+        members = hand_over(connected_components(links), "members")
+    more = hand_over(confirm(apart(pairs.where("NOT star"), members), sets, percent), "links")
+    links = links.union(more)
+    members = members if more.isEmpty() else hand_over(connected_components(links), "members")
+    both = placed(crowded, members)
+    if not both.where("own != main").isEmpty():
+        links = links.union(hand_over(confirm(strays(both, percent), sets, percent), "links"))
     members = connected_components(links.union(same))
     answer = found.select(F.col("doc").alias(key), "n_shingles").join(members.withColumnRenamed("id", key), key, "left")
     return answer.select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))
@@ -136,12 +147,26 @@ def apart(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.where(F.coalesce("of_u", "u") != F.coalesce("of_v", "v")).select("u", "v")
 
 
-def strays(crowded: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of crowded nodes with a document outside the component of the node's least document."""
+def placed(crowded: DataFrame, members: DataFrame) -> DataFrame:
+    """Documents of crowded nodes with their component ``own`` and that of the node's least document, ``main``."""
     side = lambda c: members.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
     both = crowded.join(side("doc"), "doc", "left").join(side("leader"), "leader", "left")
     both = both.withColumn("own", F.coalesce("of_doc", "doc")).withColumn("main", F.coalesce("of_leader", "leader"))
-    both = hand_over(both.drop("of_doc", "of_leader"), "crowded")
+    return hand_over(both.drop("of_doc", "of_leader"), "crowded")
+
+
+def leader_pairs(both: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Candidate pairs of two drawn documents of every crowded node that is not of one component: any one, and a stray."""
+    one = F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "own", "n_shingles", "s0", "s1")
+    drawn = both.groupBy("node").agg(F.min(one).alias("any"), F.min(F.when(F.col("own") != F.col("main"), one)).alias("stray"))
+    drawn = drawn.where("stray IS NOT NULL").select("node", F.explode(F.array("any", "stray")).alias("x"))
+    a, b = hand_over(drawn.select("node", "x.*"), "leaders").alias("a"), both.alias("b")
+    met = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.own") != F.col("b.own")) & _similar("a", "b", percent))
+    return met.select(F.least("a.doc", "b.doc").alias("u"), F.greatest("a.doc", "b.doc").alias("v")).distinct()
+
+
+def strays(both: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs of crowded nodes with a document outside the component of the node's least document."""
     a, b = both.where("own != main").alias("a"), both.alias("b")
     once = (F.col("b.own") == F.col("b.main")) | (F.col("a.doc") < F.col("b.doc"))
     met = a.join(b, (F.col("a.node") == F.col("b.node")) & (F.col("a.own") != F.col("b.own")) & once & _similar("a", "b", percent))
