@@ -8,13 +8,14 @@ be quadratic, so shards are dealt by content:
   whatever can match lies in one shard. Consecutive windows with one anchor form one segment of words.
 * Anchors that occur in one document only cannot match. Two-document anchors are found by a pre-aggregated count and
   kept as a bitmap of fixed size, which is broadcast; a false hit costs a segment, never a result.
-* Segments are dealt by anchor. A task streams its shards: it builds the suffix automaton of a shard's distinct
-  segments, where every state knows the least document it occurs in, runs each segment through it, and emits the
-  maximal spans whose windows have a smaller document.
-* An anchor of very many documents would make a large shard. Its segments are cut into single windows, identified by
-  a 128-bit digest and pre-aggregated, so that a passage of a third of all documents is one row per task.
+* Distinct segments with the least document of each (pre-aggregated, so a passage of a third of all documents is one
+  row) are dealt by anchor. A task streams its shards: it builds the suffix automaton of a shard's segments, where every
+  state knows the least document it occurs in, and runs each segment through it for its matching statistics.
+* An anchor of very many segments (a common phrase among ever different words) would make a large shard. The windows of
+  its distinct segments are compared by a 128-bit digest instead, one pre-aggregated minimum for all.
 
-Texts move once, to meet their spans. Words are compared by 48 of their hash's bits beside the anchor.
+The result, the least document of each window of a distinct segment, meets the documents' segments by digest, and the
+documents' texts move once, to meet the windows to cut. Words are compared by 48 of their hash's bits beside the anchor.
 
 Defined results for odd inputs: null and empty texts have no words; the digest of no words is that of the empty
 string; rows of one ``doc_id`` never remove each other's words; a null ``doc_id`` neither removes nor loses words;
@@ -38,7 +39,7 @@ from backglot.sources.tables import hand_over, scan
 GRAM = 4  # words of an anchor
 BITMAP_BITS = 28  # 2**28 bits: 32 MB, whatever the corpus
 CROWDED_BITS = 22
-CROWDED = 500  # segments of an anchor above which its windows are keyed one by one
+CROWDED = 500  # documents of an anchor above which its windows are compared one by one
 SHARD_WORDS = 4_000  # words of a task's current automaton
 WORD_BYTES = 6
 _U = np.uint64
@@ -109,11 +110,8 @@ def in_bitmap(values: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     return (table[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) > 0
 
 
-_SEGMENT = "key bigint, start int, words binary, second bigint"
-
-
-def segment_batches(batches: Iterator[pa.RecordBatch], span: int, shared, crowded) -> Iterator[pa.RecordBatch]:
-    """``(doc, key, start, words, second)``: segments by anchor; single windows of crowded anchors by digest, without words."""
+def _segments(batches: Iterator[pa.RecordBatch], span: int, shared) -> Iterator[tuple]:
+    """Per slice: documents, anchors, places in the document, and words of the segments whose anchor may repeat."""
     for batch in batches:
         for part in text_slices(batch):
             words, first, anchors, valid = _anchored(part.column("text"), span)
@@ -121,25 +119,44 @@ def segment_batches(batches: Iterator[pa.RecordBatch], span: int, shared, crowde
                 continue
             valid &= in_bitmap(anchors, shared.value, BITMAP_BITS)
             owner = _owners(first, len(anchors))
-            many = valid & in_bitmap(anchors, crowded.value, CROWDED_BITS)
-            heads, tails = _runs(anchors, valid & ~many, owner)
+            heads, tails = _runs(anchors, valid, owner)
             raw = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
             texts = [raw[a : b + span].tobytes() for a, b in zip(heads, tails)]
-            single = np.flatnonzero(many)
-            one = window_hashes(words, np.array([0, len(words)]), span)[0][single]
-            two = window_hashes(mix(words ^ _U(0x5851F42D4C957F2D)), np.array([0, len(words)]), span)[0][single]
-            place = np.concatenate([heads, single])
-            doc = owner[place]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc").take(pa.array(doc)),
-                    pa.array(np.concatenate([anchors[heads], one]).view(np.int64)),
-                    pa.array((place - first[doc]).astype(np.int32)),
-                    pa.array(texts + [None] * len(single), pa.binary()),
-                    pa.array(two.view(np.int64)) if not len(heads) else pa.concat_arrays([pa.nulls(len(heads), pa.int64()), pa.array(two.view(np.int64))]),
-                ],
-                ["doc", "key", "start", "words", "second"],
-            )
+            doc = owner[heads]
+            yield part.column("doc").take(pa.array(doc)), anchors[heads], (heads - first[doc]).astype(np.int32), texts
+
+
+def _digests(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(hashlib.blake2b(t, digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+
+def place_batches(batches: Iterator[pa.RecordBatch], span: int, shared) -> Iterator[pa.RecordBatch]:
+    """``(doc, start, d1, d2)``: where segments lie, and their digest."""
+    for doc, _, start, texts in _segments(batches, span, shared):
+        yield pa.RecordBatch.from_arrays([doc, pa.array(start), *_digests(texts)], ["doc", "start", "d1", "d2"])
+
+
+def segment_batches(batches: Iterator[pa.RecordBatch], span: int, shared, crowded) -> Iterator[pa.RecordBatch]:
+    """``(doc, key, many, words)``: segments by anchor, and whether very many share it."""
+    for doc, anchors, _, texts in _segments(batches, span, shared):
+        many = pa.array(in_bitmap(anchors, crowded.value, CROWDED_BITS))
+        yield pa.RecordBatch.from_arrays([doc, pa.array(anchors.view(np.int64)), many, pa.array(texts, pa.binary())], ["doc", "key", "many", "words"])
+
+
+def window_batches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """``(d1, d2, at, w1, w2, least, most)``: the windows of segments, by digest."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for words, least, most in zip(*(batch.column(c).to_pylist() for c in ("words", "least", "most"))):
+            d1, d2 = np.frombuffer(hashlib.blake2b(words, digest_size=16).digest(), np.int64).tolist()
+            for at in range(len(words) // WORD_BYTES - span + 1):
+                window = hashlib.blake2b(words[at * WORD_BYTES : (at + span) * WORD_BYTES], digest_size=16).digest()
+                rows.append((d1, d2, at, *np.frombuffer(window, np.int64).tolist(), least, most))
+        kind = batch.schema.field("least").type
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind, kind]
+        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "at", "w1", "w2", "least", "most"])
 
 
 class SuffixAutomaton:
@@ -217,68 +234,46 @@ def _words(coded: bytes) -> list[int]:
     return wide.view(_U).ravel().tolist()
 
 
-def _spans(starts: list[int], flags: list[bool], span: int) -> Iterator[tuple[int, int]]:
-    """Maximal runs of flagged windows as word ranges."""
-    begin = None
-    for i, flag in enumerate([*flags, False]):
-        if flag and begin is None:
-            begin = i
-        elif not flag and begin is not None:
-            yield starts + begin, starts + i - 1 + span
-            begin = None
-
-
 def match_batches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """``(doc, begin, end)`` of segments sorted by key: word ranges whose windows have a smaller document."""
-
-    def shard(rows: list[tuple]) -> tuple[list, list, list]:
-        least: dict[tuple, int] = {}
-        for key, doc, _, words in rows:
-            if (old := least.get((key, words))) is None or doc < old:
-                least[key, words] = doc
-        kinds: dict[int, int] = {}
-        for key, _ in least:
-            kinds[key] = kinds.get(key, 0) + 1
-        automaton = SuffixAutomaton()
-        shared = {k: d for k, d in least.items() if kinds[k[0]] > 1}
-        coded = {k: _words(k[1]) for k in shared}
-        for k, doc in shared.items():
-            automaton.add(coded[k], doc)
-        automaton.settle()
-        found = {k: automaton.windows(w, span) for k, w in coded.items()}
-        docs, begins, ends = [], [], []
-        for key, doc, start, words in rows:
-            k = (key, words)
-            if k in found:
-                flags = [d is not None and d < doc for d in found[k]]
-            else:  # the key's only sequence
-                flags = [least[k] < doc] * (len(words) // WORD_BYTES - span + 1)
-            for a, b in _spans(start, flags, span):
-                docs.append(doc)
-                begins.append(a)
-                ends.append(b)
-        return docs, begins, ends
+    """``(d1, d2, leasts)`` of distinct segments sorted by key: the least document of each window, where any document loses words."""
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
-        docs, begins, ends = shard(rows)
-        return pa.RecordBatch.from_arrays([pa.array(docs, kind), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], ["doc", "begin", "end"])
+        sizes: dict[int, int] = {}
+        for key, *_ in rows:
+            sizes[key] = sizes.get(key, 0) + 1
+        automaton = SuffixAutomaton()
+        coded = {words: _words(words) for key, words, _, _ in rows if sizes[key] > 1}
+        for key, words, least, _ in rows:
+            if sizes[key] > 1:
+                automaton.add(coded[words], least)
+        automaton.settle()
+        texts, leasts = [], []
+        for key, words, least, most in rows:
+            if sizes[key] > 1:
+                found = automaton.windows(coded[words], span)
+            else:  # the key's only segment
+                found = [least] * (len(words) // WORD_BYTES - span + 1)
+            if any(x < most for x in found):
+                texts.append(words)
+                leasts.append(found)
+        return pa.RecordBatch.from_arrays([*_digests(texts), pa.array(leasts, pa.list_(kind))], ["d1", "d2", "leasts"])
 
     held: list[tuple] = []
     size, last, kind = 0, None, pa.int64()
     for batch in batches:
-        kind = batch.schema.field("doc").type
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "words"))):
+        kind = batch.schema.field("least").type
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "least", "most"))):
             if row[0] != last and size > SHARD_WORDS * WORD_BYTES:
                 yield made(held)
                 held, size = [], 0
             held.append(row)
-            last, size = row[0], size + len(row[3])
+            last, size = row[0], size + len(row[1])
     if held:
         yield made(held)
 
 
-def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
-    """``(doc, begin, end)`` of ``(doc, text)``: word ranges that repeat what a smaller document holds; they may overlap."""
+def repeated_windows(docs: DataFrame, span: int) -> DataFrame:
+    """``(doc, begins)`` of ``(doc, text)``: first words of windows that a smaller document holds; several rows per document."""
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.where("doc IS NOT NULL")
@@ -290,39 +285,51 @@ def repeated_spans(docs: DataFrame, span: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap(met, BITMAP_BITS))
     crowded = spark.sparkContext.broadcast(bitmap(met.where(F.col("n") > CROWDED), CROWDED_BITS))
 
-    segments = docs.mapInArrow(lambda b: segment_batches(b, span, shared, crowded), f"doc {kind}, {_SEGMENT}")
-    dealt = segments.where("words IS NOT NULL").select("doc", "key", "start", "words").repartition("key").sortWithinPartitions("key")
-    matched = dealt.mapInArrow(lambda b: match_batches(b, span), f"doc {kind}, begin int, end int")
-
-    windows = hand_over(segments.where("words IS NULL").select("doc", "key", "second", "start"), "windows")
-    least = windows.groupBy("key", "second").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    least = hand_over(least.where("least < most").drop("most"), "least")
-    crowd = windows.join(least, ["key", "second"]).where("least < doc")
-    return matched.union(crowd.select("doc", F.col("start").alias("begin"), (F.col("start") + span).alias("end")))
-
-
-def cut_batches(batches: Iterator[pa.RecordBatch], build) -> Iterator[pa.RecordBatch]:
+    segments = docs.mapInArrow(lambda b: segment_batches(b, span, shared, crowded), f"doc {kind}, key bigint, many boolean, words binary")
+    distinct = segments.groupBy("key", "many", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    distinct = hand_over(distinct, "segments")
+    dealt = distinct.where("NOT many").select("key", "words", "least", "most").repartition("key").sortWithinPartitions("key")
+    matched = dealt.mapInArrow(lambda b: match_batches(b, span), f"d1 bigint, d2 bigint, leasts array<{kind}>")
+
+    schema = f"d1 bigint, d2 bigint, at int, w1 bigint, w2 bigint, least {kind}, most {kind}"
+    windows = hand_over(distinct.where("many").mapInArrow(lambda b: window_batches(b, span), schema), "windows")
+    least = hand_over(windows.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("most").alias("m")).where("first < m").drop("m"), "least")
+    met = windows.join(least, ["w1", "w2"]).where("first < most")
+    placed = met.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "first")).alias("found"))
+    # Windows that no smaller document holds are null.
+    at = lambda i: F.filter("found", lambda f: f["at"] == i)
+    full = F.transform(F.sequence(F.lit(0), F.array_max(F.col("found.at"))), lambda i: F.get(at(i), F.lit(0))["first"])
+    results = hand_over(matched.union(placed.select("d1", "d2", full.alias("leasts"))), "leasts")
+
+    places = docs.mapInArrow(lambda b: place_batches(b, span, shared), f"doc {kind}, start int, d1 bigint, d2 bigint")
+    joined = places.join(results, ["d1", "d2"])
+    below = F.filter(F.sequence(F.lit(0), F.size("leasts") - 1), lambda i: F.get("leasts", i) < F.col("doc"))
+    cut = joined.select("doc", F.transform(below, lambda i: i + F.col("start")).alias("begins"))
+    return cut.where(F.size("begins") > 0)
+
+
+def cut_batches(batches: Iterator[pa.RecordBatch], span: int, build) -> Iterator[pa.RecordBatch]:
     """Feeds ``build`` with the words of each text, and a mask of those to remove."""
     for batch in batches:
         for part in text_slices(batch):
             words, masks = [], []
-            for text, begins, ends in zip(*(part.column(c).to_pylist() for c in ("text", "begins", "ends"))):
+            for text, begins in zip(part.column("text").to_pylist(), part.column("begins").to_pylist()):
                 split = text.encode().split()
                 edge = np.zeros(len(split) + 1, np.int64)
                 if begins:
                     np.add.at(edge, begins, 1)
-                    np.add.at(edge, ends, -1)
+                    np.add.at(edge, np.array(begins) + span, -1)
                 words.append(split)
                 masks.append(np.cumsum(edge)[:-1] > 0)
             yield build(part, words, masks)
 
 
-def _with_spans(docs: DataFrame, span: int, key: str, text: str) -> DataFrame:
-    """``docs`` as ``(row, text, begins, ends)``, each row beside its spans."""
-    spans = repeated_spans(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), span)
-    spans = hand_over(spans.groupBy("doc").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "spans")
+def _with_windows(docs: DataFrame, span: int, key: str, text: str) -> DataFrame:
+    """``docs`` as ``(row, text, begins)``, each row beside the windows that it loses."""
+    found = repeated_windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), span)
+    found = hand_over(found.groupBy("doc").agg(F.flatten(F.collect_list("begins")).alias("begins")), "begins")
     rows = docs.select(F.col(key).alias("doc"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), F.col(text).alias("text"))
-    return rows.join(spans, "doc", "left").select("row", "text", "begins", "ends")
+    return rows.join(found, "doc", "left").select("row", "text", "begins")
 
 
 def remove_repeats(docs: DataFrame, span: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -336,11 +343,11 @@ def remove_repeats(docs: DataFrame, span: int = 13, key: str = "doc_id", text: s
         cut = [b" ".join(w for w, m in zip(ws, ms) if not m).decode() if ms.any() else t for t, ws, ms in zip(texts, words, masks)]
         return pa.RecordBatch.from_arrays([part.column("row"), pa.array(cut, pa.string())], ["row", "text"])
 
-    given = _with_spans(docs, span, key, text)
+    given = _with_windows(docs, span, key, text)
     kind = dict(given.dtypes)["row"]
     # Null texts stay null.
     cut = given.withColumn("row", F.struct("row", F.col("text").isNull().alias("absent"))).mapInArrow(
-        lambda b: cut_batches(b, build), f"row struct<row:{kind},absent:boolean>, text string"
+        lambda b: cut_batches(b, span, build), f"row struct<row:{kind},absent:boolean>, text string"
     )
     columns = [F.col(f"row.row.`{c}`") if c != text else F.when(~F.col("row.absent"), F.col("text")).alias(text) for c in docs.columns]
     return cut.select(*columns)
@@ -354,10 +361,10 @@ def removal_digests(docs: DataFrame, span: int = 13, key: str = "doc_id", text:
         columns = [part.column("row").field("key"), pa.array(map(len, words), pa.int64()), pa.array((int(m.sum()) for m in masks), pa.int64())]
         return pa.RecordBatch.from_arrays([*columns, pa.array(shas, pa.string())], ["key", "n_words", "n_removed", "kept_sha256"])
 
-    given = _with_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), span, "key", "text")
+    given = _with_windows(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), span, "key", "text")
     kind = dict(docs.dtypes)[key]
     schema = f"key {kind}, n_words long, n_removed long, kept_sha256 string"
-    return given.mapInArrow(lambda b: cut_batches(b, build), schema).withColumnRenamed("key", key)
+    return given.mapInArrow(lambda b: cut_batches(b, span, build), schema).withColumnRenamed("key", key)
 
 
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
