@@ -1,79 +1,12 @@
-"""Profiles of a text: tokens, token counts, name sets, validity.
-
-``code_profile`` is the only Python function of the engine: Python's own grammar and
-tokenizer have no column equivalent. ``text_profile`` is the native counterpart for
-prose and other languages.
-"""
+"""Profiles of a text: tokens, token counts, name sets, validity, as column expressions."""
 
 from __future__ import annotations
 
-import ast
-import io
-import tokenize
-import warnings
-from collections.abc import Iterator
-from functools import lru_cache
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from backglot.functions.expr import bind
 
-PROFILE_TYPE = T.StructType(
-    [T.StructField("valid", T.BooleanType())]
-    + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("functions", "classes", "controls", "tokens")]
-    + [T.StructField(n, T.IntegerType()) for n in ("n_total", "n_names", "n_strings", "n_numbers", "n_ops")]
-)
-
-_KINDS = {tokenize.NAME: "n_names", tokenize.STRING: "n_strings", tokenize.NUMBER: "n_numbers", tokenize.OP: "n_ops"}
-
-
-@lru_cache(maxsize=2048)
-def profile_code(code: str) -> dict:
-    """Profile one code text. Cached per worker, so frequent copies are parsed once."""
-    sets: dict[str, set[str]] = {"functions": set(), "classes": set(), "controls": set()}
-    valid = True
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(code)
-        for node in ast.walk(tree):
-            match node:
-                case ast.FunctionDef(name=name):
-                    sets["functions"].add(name)
-                case ast.ClassDef(name=name):
-                    sets["classes"].add(name)
-                case ast.If() | ast.For() | ast.While():
-                    sets["controls"].add(type(node).__name__)
-    except Exception:
-        valid = False
-
-    # Counts gathered before a tokenizer error stay; the token list falls back to words.
-    counts = dict.fromkeys(["n_total", *_KINDS.values()], 0)
-    tokens: list[str] = []
-    try:
-        for token in tokenize.generate_tokens(io.StringIO(code).readline):
-            counts["n_total"] += 1
-            if kind := _KINDS.get(token.type):
-                counts[kind] += 1
-                tokens.append(token.string)
-    except Exception:
-        tokens = code.split()
-    return {"valid": valid, **{k: sorted(v) for k, v in sets.items()}, "tokens": tokens, **counts}
-
-
-@F.pandas_udf(PROFILE_TYPE)
-def code_profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for codes in batches:
-        yield pd.DataFrame([profile_code(c or "") for c in codes], columns=PROFILE_TYPE.names)
-
-
-# Keeps Catalyst from copying the call into every expression that reads the profile.
-code_profile = code_profile.asNondeterministic()
-
-
 # Token kinds of prose, in both the profile below and its SQL twin.
 NAME = "[A-Za-z_À-ÖØ-öø-ÿ][A-Za-z0-9_À-ÖØ-öø-ÿ]*"
 STRING = "\"[^\"\\n]*\"|'[^'\\n]*'"

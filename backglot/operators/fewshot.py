@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backglot.functions.text import clean_response
-from backglot.operators.lookup import lookup_join
+from backglot.operators.lookup import fits_broadcast, lookup_join
 
 CHUNK_SIZES = [0, 5, 10, 15, 25]  # fixed values: few-shot sizes of the sweep
+MOST_SIZES = 1_000  # distinct sizes of one sweep
 
 # Prompt texts.
 EXAMPLE_RULE = "-" * 50
@@ -56,19 +57,22 @@ def example_text(number: Column, original: Column, translated: Column) -> Column
     )
 
 
-def example_sets(examples: DataFrame, grid: DataFrame) -> DataFrame:
+def example_sets(examples: DataFrame, grid: DataFrame, reverse: bool = False) -> DataFrame:
     """``(chunk_size, n_examples, examples_text)``: the first ``chunk_size`` examples in order.
 
-    ``examples`` needs ``pos, src, tgt``; only the prefix that the largest size can use
-    (at most 25 rows) is read into the sets.
+    ``examples`` needs ``pos, src, tgt``; only the prefix that the grid's largest size can use is read into the sets.
+    ``reverse`` turns the examples round, for the way back.
     """
     sizes = grid.select("chunk_size").distinct()
-    known = F.array(*[F.lit(k).cast("long") for k in range(1, max(CHUNK_SIZES) + 1)])
-    placed = examples.where(F.col("pos") < max(CHUNK_SIZES)).select(
-        F.explode(F.filter(known, lambda k: k > F.col("pos"))).alias("chunk_size"), "pos", "src", "tgt"
-    )
+    known = sorted(r[0] for r in sizes.limit(MOST_SIZES + 1).collect())
+    if len(known) > MOST_SIZES:
+        raise ValueError(f"more than {MOST_SIZES} few-shot sizes in one sweep")
+    if reverse:
+        examples = examples.select("pos", F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+    using = F.filter(F.array(*[F.lit(k).cast("long") for k in known]), lambda k: k > F.col("pos"))
+    placed = examples.where(F.col("pos") < max(known, default=0))
     texts = (
-        placed.join(F.broadcast(sizes), "chunk_size")
+        placed.select(F.explode(using).alias("chunk_size"), "pos", "src", "tgt")
         .groupBy("chunk_size")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "src", "tgt"))).alias("chosen"))
         .select(
@@ -82,6 +86,13 @@ def example_sets(examples: DataFrame, grid: DataFrame) -> DataFrame:
     return sizes.join(texts, "chunk_size", "left").fillna({"n_examples": 0, "examples_text": ""})
 
 
+def with_sets(sized: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with ``chunk_size`` beside their example set; broadcast if the measured texts allow it."""
+    sets = F.broadcast(sets) if fits_broadcast(sets) else sets
+    absent = F.raise_error(F.concat(F.lit("no example set of size "), F.col("chunk_size").cast("string")))
+    return sized.join(sets, "chunk_size", "left").withColumn("examples_text", F.coalesce("examples_text", absent.cast("string")))
+
+
 def prompt_text(examples: Column, code: Column, source: str, target: str) -> Column:
     """The prompt around an example text and a code text."""
     head, rest = PROMPT_TEMPLATE.split("{examples}")
@@ -101,13 +112,12 @@ def build_prompts(
 ) -> DataFrame:
     """Every row once per few-shot size, with ``prompt`` and its digest ``request_id``.
 
-    ``sizes`` is the array of few-shot sizes. The sets table has one row per size, five at
-    most, so broadcasting it is safe.
+    ``sizes`` is the array of the run's few-shot sizes. A size without a set is an error.
     """
     sized = rows.withColumn("chunk_size", F.explode(sizes))
     prompt = prompt_text(F.col("examples_text"), F.col(code), source, target)
     return (
-        sized.join(F.broadcast(sets), "chunk_size")
+        with_sets(sized, sets)
         .withColumn("prompt", prompt)
         .withColumn("request_id", F.sha2("prompt", 256))
         .drop("examples_text")

@@ -11,14 +11,13 @@ from backglot.functions.lexing import Lexer, comment_text, is_comment_piece
 from backglot.operators.lookup import lookup_join
 from backglot.operators.substitution import INLINE_ROWS, rewrite_pieces, token_table
 
-PHRASE_LIMIT = 5000  # fixed value: longest phrase a translator takes
 _BLANK = r"(?U)^[\s\x1c-\x1f_]*\z"
 
 
 def phrase_of(text: Column) -> Column:
     """What the translator is asked for; null for blank text, which passes through."""
     phrase = F.replace(text, F.lit("_"), F.lit(" "))
-    return F.when(~text.rlike(_BLANK), F.substring(phrase, 1, PHRASE_LIMIT))
+    return F.when(~text.rlike(_BLANK), phrase)
 
 
 def answer_of(phrase: Column, hit: Column) -> Column:
@@ -36,7 +35,7 @@ def comment_phrase(comment: Column, target: str) -> Column:
     """Comment text to translate; null when bare or already in the target language."""
 
     def pick(text: Column) -> Column:
-        return F.when((text != "") & ~is_target_language(text, target), F.substring(text, 1, PHRASE_LIMIT))
+        return F.when((text != "") & ~is_target_language(text, target), text)
 
     return bind(comment_text(comment), pick)
 

@@ -51,7 +51,9 @@ def apply_header(cells: DataFrame, report: str, pos: str, array: str, names: lis
     joined = lookup_join(cells, headers, report, [pos]).where(F.col(pos) > F.col("header_pos"))
 
     def cell(name: str) -> Column:
-        return F.get(F.col(array), (F.array_position(F.col("header"), name) - 1).cast("int"))
+        at = F.array_position(F.transform("header", lambda h: F.trim(h)), name.strip())  # CSV writers may trim cells
+        absent = F.raise_error(F.concat(F.lit(f"no column '{name}' in report "), F.col(report).cast("string")))
+        return F.get(F.col(array), F.when(at > 0, at - 1).otherwise(absent.cast("bigint")).cast("int"))
 
     return joined.select(report, pos, *[cell(n).alias(n) for n in names])
 
@@ -133,8 +135,12 @@ def metric_profile(rows: DataFrame) -> DataFrame:
     return rows.groupBy("model").agg(*means).withColumn("syntax_valid_rate", F.col("syntax_valid_rate") / 100)
 
 
-def language_model_pivot(rows: DataFrame, models: list[str], metric: str = "overall") -> DataFrame:
-    """Languages down, models across, mean metric. Models are named, so no extra pass finds them."""
+def language_model_pivot(rows: DataFrame, models: list[str] | None = None, metric: str = "overall") -> DataFrame:
+    """Languages down, models across, mean metric. Without ``models`` an extra pass finds all that occur (1,000 at most)."""
+    if models is None:
+        models = sorted(r[0] for r in rows.where(F.col("model").isNotNull()).select("model").distinct().limit(1_001).collect())
+        if len(models) > 1_000:
+            raise ValueError("more than 1,000 models to set side by side")
     return rows.groupBy("language_display").pivot("model", models).agg(F.avg(metric))
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 
 def missing_cells(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Grid cells without output. ``done`` is reduced to distinct keys before the join."""
-    return grid.join(done.select(*keys).distinct(), keys, "left_anti")
+    """Grid cells without output, a null key being a value like any other. ``done`` is reduced to distinct keys first."""
+    there = done.select(*[F.col(k).alias(f"_done_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_done_{k}")) for k in keys]
+    return grid.join(there, reduce(and_, same), "left_anti")
 
 
 def existing_cells(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
@@ -52,7 +57,7 @@ def run_key(name: Column) -> list[Column]:
         return F.nullif(F.regexp_extract(name, RUN_NAME, group), F.lit(""))
 
     kind = part(1)
-    counts = F.split(F.substring(part(5), 2, 1000), "_").cast("array<long>")
+    counts = F.split(F.substr(part(5), F.lit(2)), "_").cast("array<long>")
     size = F.size(counts)
 
     def at(index: int, when: Column) -> Column:

@@ -1,9 +1,10 @@
 """Line tables, token tables and dictionary substitution.
 
-Two plans give the same document. A small dictionary becomes a map literal and the
-whole rewrite is one projection without a shuffle. A larger one is a join: documents
-are hash-partitioned once by key, exploded, joined (broadcast when the measured size
-allows) and regrouped on the same key, which needs no further shuffle.
+Two plans give the same document, whatever the table's size. A small dictionary becomes a map literal and the whole
+rewrite is one projection without a shuffle. A larger one is a join: each document sends its distinct words, gets the
+entries it needs back as one small table, and is rewritten in its row. So no piece of text is shuffled, a word that
+fills half of all tokens is one row per document, and a document is lexed twice at most. Rows are told apart by an id
+of their own: repeated and null keys are as good as any. Of repeated words in a table the least replacement counts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from backglot.functions import lexing
 from backglot.functions.expr import bind
 from backglot.functions.lexing import Lexer
 from backglot.operators.lookup import lookup_join
-from backglot.session import shuffle_partitions
+from backglot.sources.tables import hand_over
 
 INLINE_ROWS = 5_000  # larger tables are joined
 INLINE_ENTRY_BYTES = 2_048
@@ -82,11 +83,23 @@ def inline_lookup(table: DataFrame, rows: int = INLINE_ROWS) -> Lookup | None:
     return lambda word: F.element_at(F.get(maps, F.pmod(F.hash(word), count)), word)
 
 
+def one_entry_each(table: DataFrame) -> DataFrame:
+    """``(word, repl)`` with one row per word: the least replacement of repeated words."""
+    return table.where(F.col("word").isNotNull()).groupBy("word").agg(F.min("repl").alias("repl"))
+
+
 def usable_entries(dictionary: DataFrame, lexer: Lexer) -> DataFrame:
     """Entries made of word characters: they can only ever match word tokens."""
     return dictionary.where(lexer.is_only_word(F.col("word"))).select("word", "repl")
 
 
+def _own_lookup(entries: Column) -> Column:
+    """A row's own entries as an array of small maps by hash, so a look-up scans about sixteen of them."""
+    count = F.greatest(F.lit(1), F.floor(F.size(entries) / 16).cast("int"))
+    bucket = lambda b: F.map_from_entries(F.filter(entries, lambda e: F.pmod(F.hash(e["word"]), count) == b))
+    return F.transform(F.sequence(F.lit(0), count - 1), bucket)
+
+
 def rewrite_pieces(
     df: DataFrame,
     key: str,
@@ -107,24 +120,32 @@ def rewrite_pieces(
     turns piece, key and hit into the new piece.
     """
     pieces = lexing.document_pieces(F.col(text), lexer, tidy_comments)
-    lookup = inline_lookup(table, inline_rows) if isinstance(table, DataFrame) else table
-    if lookup is not None:
-
-        def rewrite(piece: Column) -> Column:
+    if isinstance(table, DataFrame):
+        table = hand_over(one_entry_each(table), "entries")  # measured and used several times
+        lookup = inline_lookup(table, inline_rows)
+    else:
+        lookup = table
+
+    def rewrite(look: Lookup) -> Column:
+        def piece(p: Column) -> Column:
             if piece_key is None:
-                return piece_value(piece, piece, lookup(piece))
-            return bind(piece_key(piece), lambda wanted: piece_value(piece, wanted, lookup(wanted)))
-
-        return df.withColumn(out, F.array_join(F.transform(pieces, rewrite), ""))
-
-    keyed = df.repartition(shuffle_partitions(df.sparkSession), key)
-    exploded = keyed.select(key, F.posexplode(pieces).alias("p", "piece"))
-    exploded = exploded.withColumn("word", piece_key(F.col("piece")) if piece_key else F.col("piece"))
-    joined = lookup_join(exploded, table, "word", [key, "p"])
-    value = piece_value(F.col("piece"), F.col("word"), F.col("repl"))
-    ordered = F.array_sort(F.collect_list(F.struct("p", value.alias("piece"))))
-    documents = joined.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias(out))
-    return keyed.join(documents, key, "left")
+                return piece_value(p, p, look(p))
+            return bind(piece_key(p), lambda wanted: piece_value(p, wanted, look(wanted)))
+
+        return F.array_join(F.transform(pieces, piece), "")
+
+    if lookup is not None:
+        return df.withColumn(out, rewrite(lookup))
+
+    numbered = hand_over(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    wanted = F.transform(pieces, piece_key) if piece_key else pieces
+    asked = numbered.select("_row", F.explode(F.array_distinct(F.filter(wanted, lambda w: w.isNotNull()))).alias("word"))
+    found = lookup_join(hand_over(asked, "asked"), table, "word", ["_row"]).where(F.col("repl").isNotNull())
+    entries = found.groupBy("_row").agg(F.collect_list(F.struct("word", "repl")).alias("_entries"))
+    joined = numbered.join(entries, "_row", "left")
+    own = F.coalesce("_entries", F.array().cast("array<struct<word:string,repl:string>>"))
+    look = lambda maps: lambda word: F.element_at(F.get(maps, F.pmod(F.hash(word), F.size(maps))), word)
+    return joined.withColumn(out, bind(_own_lookup(own), lambda maps: rewrite(look(maps)))).drop("_row", "_entries")
 
 
 def substitute_documents(

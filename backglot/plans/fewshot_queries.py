@@ -17,13 +17,14 @@ from backglot.sources.tables import hand_over, scan
 ENGLISH, SPANISH = language_name(SOURCE), language_name(TARGET)
 
 
-def _sizes():
-    return F.array(*[F.lit(k).cast("long") for k in fs.CHUNK_SIZES])
+def _sizes(spark: SparkSession, folder: str):
+    """The run's few-shot sizes: those of the sweep, cut to the number of examples."""
+    return fs.chunk_sizes(F.lit(scan(spark, folder, "benchmark").count()))
 
 
-def _sets(spark: SparkSession, folder: str) -> DataFrame:
+def _sets(spark: SparkSession, folder: str, reverse: bool = False) -> DataFrame:
     counts = scan(spark, folder, "benchmark").agg(F.count(F.lit(1)).alias("n1"))
-    return fs.example_sets(inputs.examples(spark, folder), fs.sweep_grid(counts, "n1"))
+    return fs.example_sets(inputs.examples(spark, folder), fs.sweep_grid(counts, "n1"), reverse)
 
 
 def sweep_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,7 +38,7 @@ def example_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 def _prompts(spark: SparkSession, folder: str) -> DataFrame:
     rows = inputs.documents(spark, folder, "source").withColumnRenamed("source", "model")
-    return fs.build_prompts(rows, "text", _sizes(), _sets(spark, folder), ENGLISH, SPANISH)
+    return fs.build_prompts(rows, "text", _sizes(spark, folder), _sets(spark, folder), ENGLISH, SPANISH)
 
 
 def build_prompts(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,8 +88,8 @@ def _answers(spark: SparkSession, folder: str, prompts: DataFrame) -> DataFrame:
 
 
 def _stage2(spark: SparkSession, folder: str, rows: DataFrame, code: str, source: str, target: str) -> DataFrame:
-    """``rows`` are sized already: one per document and few-shot size."""
-    prompts = rows.join(F.broadcast(_sets(spark, folder)), "chunk_size").withColumn(
+    """``rows`` are sized already: one per document and few-shot size. The way back turns the examples round."""
+    prompts = fs.with_sets(rows, _sets(spark, folder, source == SPANISH)).withColumn(
         "request_id", F.sha2(fs.prompt_text(F.col("examples_text"), F.col(code), source, target), 256)
     )
     prompts = prompts.withColumn("model", F.lit("model")).drop("examples_text", "n_examples")
@@ -100,7 +101,7 @@ def _forward(spark: SparkSession, folder: str) -> DataFrame:
     docs = inputs.documents(spark, folder)
     words = inputs.words_for(spark, folder)
     partial = substitute_documents(docs, "doc_id", "text", "partial", words, inputs.FORWARD)
-    sized = partial.withColumn("chunk_size", F.explode(_sizes()))
+    sized = partial.withColumn("chunk_size", F.explode(_sizes(spark, folder)))
     return _stage2(spark, folder, sized, "partial", ENGLISH, SPANISH)
 
 
@@ -110,24 +111,28 @@ def stage2_forward(spark: SparkSession, folder: str) -> DataFrame:
 
 def stage2_backward(spark: SparkSession, folder: str) -> DataFrame:
     """Stage-2 output, substituted back and completed in the other direction."""
-    rows = _forward(spark, folder).select(
-        (F.col("doc_id") * 100 + F.col("chunk_size")).alias("row_id"), "doc_id", "chunk_size", "translated"
-    )
-    forward = hand_over(rows, "stage2")
+    forward = hand_over(_forward(spark, folder).select("doc_id", "chunk_size", "translated"), "stage2")
     words = inputs.words_for(spark, folder)
-    partial = substitute_documents(forward, "row_id", "translated", "partial_back", words, inputs.BACKWARD)
+    partial = substitute_documents(forward, "doc_id", "translated", "partial_back", words, inputs.BACKWARD)
     done = _stage2(spark, folder, partial.drop("translated"), "partial_back", SPANISH, ENGLISH)
     return done.select("doc_id", "chunk_size", "partial_back", F.col("translated").alias("back"), "status")
 
 
-GRID = "sizes AS (SELECT unnest([0, 5, 10, 15, 25]) AS k)"
-SETS = f"""{inputs.EXAMPLES}, {GRID}, sets AS (
+SWEEP = "sweep AS (SELECT unnest([0, 5, 10, 15, 25]) AS k)"
+GRID = f"{SWEEP}, sizes AS (SELECT DISTINCT least(k, (SELECT count(*) FROM benchmark)) AS k FROM sweep)"
+
+
+def sets_sql(name: str, src: str, tgt: str) -> str:
+    return f"""{name} AS (
   SELECT CAST(k AS BIGINT) AS chunk_size, count(pos) AS n_examples,
-    coalesce(string_agg(chr(10) || 'Example ' || (pos + 1) || ':' || chr(10) || 'Original code:' || chr(10) || src || chr(10)
-      || 'Complete translation:' || chr(10) || tgt || chr(10) || {q.text(fs.EXAMPLE_RULE)} || chr(10), '' ORDER BY pos), '') AS examples_text
+    coalesce(string_agg(chr(10) || 'Example ' || (pos + 1) || ':' || chr(10) || 'Original code:' || chr(10) || {src} || chr(10)
+      || 'Complete translation:' || chr(10) || {tgt} || chr(10) || {q.text(fs.EXAMPLE_RULE)} || chr(10), '' ORDER BY pos), '') AS examples_text
   FROM sizes LEFT JOIN examples ON pos < k GROUP BY k)"""
 
 
+SETS = f"{inputs.EXAMPLES}, {GRID}, {sets_sql('sets', 'src', 'tgt')}, {sets_sql('back_sets', 'tgt', 'src')}"
+
+
 def prompt_sql(code: str, source: str, target: str) -> str:
     filled = fs.PROMPT_TEMPLATE.format(source=source, target=target, examples="\0E\0", code="\0C\0")
     head, rest = filled.split("\0E\0")
@@ -142,9 +147,9 @@ def cleaned_sql(bare: bool) -> str:
     return f"CASE WHEN contains({t}, '```python') THEN {tagged} {plain} ELSE {t} END"
 
 
-def stage2_sql(name: str, rows: str, code: str, source: str, target: str) -> str:
+def stage2_sql(name: str, rows: str, code: str, source: str, target: str, sets: str = "sets") -> str:
     return f"""{name}_prompts AS (
-  SELECT r.*, sha256({prompt_sql("r." + code, source, target)}) AS request_id FROM {rows} r JOIN sets USING (chunk_size)),
+  SELECT r.*, sha256({prompt_sql("r." + code, source, target)}) AS request_id FROM {rows} r JOIN {sets} USING (chunk_size)),
 {name}_asked AS (SELECT request_id, min(doc_id) AS conv_id, min(chunk_size) // 5 AS turn FROM {name}_prompts GROUP BY request_id),
 {name}_done AS (
   SELECT p.*, coalesce({cleaned_sql(True)}, {code}) AS translated,
@@ -155,16 +160,16 @@ def stage2_sql(name: str, rows: str, code: str, source: str, target: str) -> str
 FORWARD2 = f"""{inputs.DICT}, {q.substituted("f", "documents", "text", SOURCE, TARGET)}, {SETS}, {inputs.RESPONSES},
 f_rows AS (SELECT doc_id, CAST(k AS BIGINT) AS chunk_size, out AS partial FROM f_doc, sizes),
 {stage2_sql("f2", "f_rows", "partial", ENGLISH, SPANISH)}"""
-BACKWARD2 = f"""{FORWARD2}, f2_rows AS (SELECT doc_id * 100 + chunk_size AS doc_id, translated FROM f2_done),
+BACKWARD2 = f"""{FORWARD2}, f2_rows AS (SELECT doc_id * 1000000 + chunk_size AS doc_id, translated FROM f2_done),
 {q.substituted("b", "f2_rows", "translated", TARGET, SOURCE)},
-b_rows AS (SELECT doc_id // 100 AS doc_id, doc_id % 100 AS chunk_size, out AS partial_back FROM b_doc),
-{stage2_sql("b2", "b_rows", "partial_back", SPANISH, ENGLISH)}"""
+b_rows AS (SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS chunk_size, out AS partial_back FROM b_doc),
+{stage2_sql("b2", "b_rows", "partial_back", SPANISH, ENGLISH, "back_sets")}"""
 
 QUERIES = {
     "sweep_grid": (
         sweep_grid,
-        f"""WITH {GRID}, runs AS (SELECT source, lang, count(*) AS stage1_samples FROM documents GROUP BY ALL)
-SELECT DISTINCT source, lang, stage1_samples, least(k, stage1_samples) AS chunk_size FROM runs, sizes""",
+        f"""WITH {SWEEP}, runs AS (SELECT source, lang, count(*) AS stage1_samples FROM documents GROUP BY ALL)
+SELECT DISTINCT source, lang, stage1_samples, least(k, stage1_samples) AS chunk_size FROM runs, sweep""",
     ),
     "example_sets": (example_sets, f"WITH {SETS} SELECT chunk_size, n_examples, examples_text FROM sets"),
     "build_prompts": (

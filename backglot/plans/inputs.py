@@ -44,38 +44,29 @@ def fenced(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return documents(spark, folder, "lang").select("doc_id", *columns, output.alias("output"))
 
 
-# Keyword rows: every word occurrence of the benchmark, mapped many to one. Short words
-# make the usual small keyword table, all words a large one.
-def keyword_sql(name: str, max_length: int) -> str:
-    return f"""{name}_words AS (
+# Keyword rows: every word occurrence of the benchmark, mapped many to one.
+DICT = """dict_words AS (
   SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p
   FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)),
-{name}_rows AS (
-  SELECT item_id * 100000 + p AS row_no, word AS src, word[1] || word[-1:] || 'o' AS tgt
-  FROM {name}_words WHERE length(word) <= {max_length}),
-{name} AS (
-  SELECT word, arg_max(repl, row_no * 2 + side) AS repl FROM (
-    SELECT row_no, 0 AS side, trim(src) AS word, trim(tgt) AS repl FROM {name}_rows
-    UNION ALL SELECT row_no, 1, trim(tgt), trim(src) FROM {name}_rows) GROUP BY word)"""
+dict_rows AS (SELECT item_id, p, word AS src, word[1] || word[-1:] || 'o' AS tgt FROM dict_words),
+dict AS (
+  SELECT DISTINCT ON (word) word, repl FROM (
+    SELECT item_id, p, 0 AS side, trim(src) AS word, trim(tgt) AS repl FROM dict_rows
+    UNION ALL SELECT item_id, p, 1, trim(tgt), trim(src) FROM dict_rows) ORDER BY word, item_id DESC, p DESC, side DESC)"""
 
 
-SHORT, LONG = 3, 1000
-DICT = keyword_sql("dict", SHORT)
-BIG_DICT = keyword_sql("big_dict", LONG)
-
-
-def keyword_rows(spark: SparkSession, folder: str, max_length: int) -> DataFrame:
+def keyword_rows(spark: SparkSession, folder: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     exploded = scan(spark, folder, "benchmark").select("item_id", F.posexplode(words).alias("p", "src"))
-    return exploded.where(F.length("src") <= max_length).select(
-        (F.col("item_id") * 100_000 + F.col("p")).alias("row_no"),
+    return exploded.select(
+        F.struct("item_id", "p").alias("row_no"),
         "src",
         F.concat(F.left("src", F.lit(1)), F.right("src", F.lit(1)), F.lit("o")).alias("tgt"),
     )
 
 
-def dictionary(spark: SparkSession, folder: str, max_length: int = SHORT) -> DataFrame:
-    return keyword_dictionary(keyword_rows(spark, folder, max_length), F.col("row_no"))
+def dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    return keyword_dictionary(keyword_rows(spark, folder), F.col("row_no"))
 
 
 # Round-trip pairs: documents substituted forward, then backward with the colliding dictionary.
@@ -94,7 +85,7 @@ def pairs_sql() -> str:
 
 
 def words_for(spark: SparkSession, folder: str) -> DataFrame | Lookup:
-    """The small dictionary, resolved once for both directions (they share their word characters)."""
+    """The dictionary, resolved once for both directions (they share their word characters)."""
     table = usable_entries(dictionary(spark, folder), FORWARD)
     return inline_lookup(table) or table
 
@@ -106,17 +97,17 @@ def pairs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return substitute_documents(forward, "doc_id", "translated", "back", words, BACKWARD)
 
 
-# Translation memory: benchmark words of four letters or more, answered by their reversal;
+# Translation memory: benchmark words, answered by their reversal;
 # words ending in 'n' get a two-word answer and words ending in 'd' a hyphenated one.
 MEMORY = """memory AS (
   SELECT DISTINCT word AS phrase,
          reverse(word) || CASE word[-1:] WHEN 'n' THEN ' ' || word[1] WHEN 'd' THEN '-' || word[1] ELSE '' END AS translation
-  FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark) WHERE length(word) >= 4)"""
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark))"""
 
 
 def memory(spark: SparkSession, folder: str) -> DataFrame:
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("phrase")
-    distinct = scan(spark, folder, "benchmark").select(words).where(F.length("phrase") >= 4).distinct()
+    distinct = scan(spark, folder, "benchmark").select(words).distinct()
     end, first = F.right("phrase", F.lit(1)), F.left("phrase", F.lit(1))
     suffix = (
         F.when(end == "n", F.concat(F.lit(" "), first)).when(end == "d", F.concat(F.lit("-"), first)).otherwise("")

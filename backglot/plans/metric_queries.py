@@ -11,16 +11,14 @@ from backglot.functions.profiles import (
     CONNECTIVE,
     NAME,
     TEXT_TOKEN,
-    code_profile,
     text_profile,
     text_tokens,
 )
-from backglot.functions.text import extract_code
 from backglot.operators import metrics, reports
 from backglot.plans import inputs
 from backglot.plans import sqltext as q
 from backglot.sources.tables import hand_over, read_summaries, scan, write_json
-from backglot.session import scratch_path, ship_package
+from backglot.session import scratch_path
 
 
 def metric_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -100,22 +98,10 @@ def summary_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validity_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of extracted codes that parse, per language; each distinct code is parsed once."""
-    ship_package(spark)
-    codes = inputs.fenced(spark, folder, "lang").select("lang", F.coalesce(extract_code(F.col("output")), F.col("output")).alias("code"))
-    distinct = codes.groupBy("lang", "code").agg(F.count(F.lit(1)).alias("copies"))
-    flagged = distinct.select("lang", "copies", code_profile(F.col("code"))["valid"].alias("valid"))
-    return flagged.groupBy("lang").agg(
-        F.sum("copies").alias("codes"),
-        (F.sum(F.when(F.col("valid"), F.col("copies")).otherwise(0)) / F.sum("copies") * 100).alias("syntax_valid_rate"),
-    )
-
-
-def evaluation_details_code(spark: SparkSession, folder: str) -> DataFrame:
-    """Code variant: Python's own grammar and tokenizer profile both sides."""
-    ship_package(spark)
-    pairs = hand_over(inputs.pairs(spark, folder), "pairs")
-    return metrics.evaluate_pairs(pairs, code_profile).select("doc_id", "syntax_valid", *SCORES)
+    """Share of texts that are valid by the native profile, per language."""
+    rate = F.avg(text_profile(F.col("text"))["valid"].cast("int")) * 100
+    rows = inputs.documents(spark, folder, "lang")
+    return rows.groupBy("lang").agg(F.count("text").alias("texts"), F.round(rate, 6).alias("syntax_valid_rate"))
 
 
 # SQL twins.
@@ -219,6 +205,9 @@ FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1""",
         summary_json_roundtrip,
         f"""WITH {DETAILS} SELECT 0 AS chunk_size, count(*) AS total_translations, {SUMMARY_SQL} FROM details GROUP BY lang""",
     ),
-    "validity_rate": (validity_rate, None),
-    "evaluation_details_code": (evaluation_details_code, None),
+    "validity_rate": (
+        validity_rate,
+        f"""WITH profiles AS (SELECT lang, {_profile_sql("text")} AS a FROM documents)
+SELECT lang, count(*) AS texts, round(avg(CAST(a.valid AS INT)) * 100, 6) AS syntax_valid_rate FROM profiles GROUP BY lang""",
+    ),
 }

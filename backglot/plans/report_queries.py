@@ -12,7 +12,7 @@ from backglot.plans import inputs
 from backglot.session import scratch_path
 from backglot.sources.tables import scan
 
-MODELS = [f"src{i}" for i in range(20)]
+MODELS = ["Baseline", *(f"src{i}" for i in range(20))]  # of the SQL twin
 BLOCK = 200  # rows per fill block: small, so the test tables span many blocks
 
 
@@ -69,7 +69,10 @@ def metric_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def language_model_pivot(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(reports.language_model_pivot(_comparison(spark, folder), MODELS), MODELS)
+    """All models that occur; those of ``MODELS`` that do not are null, so small tables give the same columns."""
+    found = reports.language_model_pivot(_comparison(spark, folder))
+    found = found.withColumns({m: F.lit(None).cast("double") for m in MODELS if m not in found.columns})
+    return _rounded(found, MODELS)
 
 
 def metrics_long(spark: SparkSession, folder: str) -> DataFrame:

@@ -24,7 +24,7 @@ TYPE_SQL = rf"""CASE WHEN regexp_matches(value, '^[\s\x1c-\x1f]') THEN 'space'
 
 
 def keyword_dict(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.dictionary(spark, folder, inputs.LONG)
+    return inputs.dictionary(spark, folder)
 
 
 def lang_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,13 +51,13 @@ def token_table_ext(spark: SparkSession, folder: str) -> DataFrame:
 
 def keyword_substitute(spark: SparkSession, folder: str) -> DataFrame:
     return sub.substitute_tokens(
-        token_table(spark, folder), inputs.dictionary(spark, folder, inputs.LONG), ["doc_id", "ln", "p"]
+        token_table(spark, folder), inputs.dictionary(spark, folder), ["doc_id", "ln", "p"]
     )
 
 
 def substitute_document(spark: SparkSession, folder: str) -> DataFrame:
     """The join plan, with the large keyword table."""
-    words = inputs.dictionary(spark, folder, inputs.LONG)
+    words = inputs.dictionary(spark, folder)
     docs = inputs.documents(spark, folder)
     done = sub.substitute_documents(docs, "doc_id", "text", "out", words, inputs.FORWARD, inline_rows=0)
     return done.select("doc_id", "out")
@@ -150,20 +150,20 @@ def stage1_backward(spark: SparkSession, folder: str) -> DataFrame:
 
 WORD_SQL = f"words AS (SELECT value AS word, count(*) AS uses FROM d_tok WHERE {q.is_word('value', SOURCE, TARGET)} GROUP BY value)"
 PHRASES = f"""phrases AS (
-  SELECT doc_id, ln, p, value AS word, left(replace(value, '_', ' '), 5000) AS phrase FROM d_tok
+  SELECT doc_id, ln, p, value AS word, replace(value, '_', ' ') AS phrase FROM d_tok
   WHERE {q.is_word("value", SOURCE, TARGET)} AND {q.is_translatable("value", TARGET)} AND trim(replace(value, '_', ' ')) <> '')"""
 KEPT = q.strip("comment[2:]")
 
 
 def comment_phrase_sql(target: str) -> str:
-    return f"CASE WHEN {KEPT} <> '' AND NOT {q.is_target(KEPT, target)} THEN left({KEPT}, 5000) END"
+    return f"CASE WHEN {KEPT} <> '' AND NOT {q.is_target(KEPT, target)} THEN {KEPT} END"
 
 
 def translated_sql(name: str, source: str, target: str, memory: str) -> str:
     """CTE ``{name}_doc``: stage-1 translation of ``{name}_parts`` through ``memory``."""
     phrase = (
         f"CASE WHEN {q.is_word('value', source, target)} AND {q.is_translatable('value', target)} "
-        "AND trim(replace(value, '_', ' ')) <> '' THEN left(replace(value, '_', ' '), 5000) END"
+        "AND trim(replace(value, '_', ' ')) <> '' THEN replace(value, '_', ' ') END"
     )
     code = f"""
   SELECT doc_id, ln, string_agg(CASE WHEN k.phrase IS NULL THEN value
@@ -183,7 +183,7 @@ BACKWARD1 = f"""{FORWARD1}, reversed AS (
   {q.parts("b", "d_doc", "doc_id", "out")}, {translated_sql("b", TARGET, "fr", "reversed")}"""
 
 QUERIES = {
-    "keyword_dict": (keyword_dict, f"WITH {inputs.BIG_DICT} SELECT word, repl FROM big_dict"),
+    "keyword_dict": (keyword_dict, f"WITH {inputs.DICT} SELECT word, repl FROM dict"),
     "lang_lookup": (
         lang_lookup,
         "WITH dim(code, header, name) AS (VALUES "
@@ -207,12 +207,12 @@ QUERIES = {
     ),
     "keyword_substitute": (
         keyword_substitute,
-        f"""WITH {inputs.BIG_DICT}, {PARTS}, {TOKENS0}, typed AS (SELECT doc_id, ln, p, {TYPE_SQL} AS type, value FROM d_tok)
-SELECT doc_id, ln, p, type, coalesce(repl, value) AS value FROM typed LEFT JOIN big_dict ON type = 'word' AND value = word""",
+        f"""WITH {inputs.DICT}, {PARTS}, {TOKENS0}, typed AS (SELECT doc_id, ln, p, {TYPE_SQL} AS type, value FROM d_tok)
+SELECT doc_id, ln, p, type, coalesce(repl, value) AS value FROM typed LEFT JOIN dict ON type = 'word' AND value = word""",
     ),
     "substitute_document": (
         substitute_document,
-        f"WITH {inputs.BIG_DICT}, {q.substituted('s', 'documents', 'text', SOURCE, TARGET, 'big_dict')}"
+        f"WITH {inputs.DICT}, {q.substituted('s', 'documents', 'text', SOURCE, TARGET, 'dict')}"
         " SELECT doc_id, out FROM s_doc",
     ),
     "partial_forward": (
@@ -236,7 +236,7 @@ SELECT doc_id, ln, p, type, coalesce(repl, value) AS value FROM typed LEFT JOIN
     "phrase_normalise": (
         phrase_normalise,
         r"""WITH names AS (SELECT doc_id, '_' || regexp_replace(text, '[^\p{L}\p{N}]+', '_', 'g') AS name FROM documents),
-phrases AS (SELECT doc_id, name, CASE WHEN trim(replace(name, '_', ' ')) <> '' THEN left(replace(name, '_', ' '), 5000) END AS phrase FROM names)
+phrases AS (SELECT doc_id, name, CASE WHEN trim(replace(name, '_', ' ')) <> '' THEN replace(name, '_', ' ') END AS phrase FROM names)
 SELECT doc_id, phrase, coalesce(replace(replace(phrase || ' - end', '-', '_'), ' ', '_'), name) AS restored FROM phrases""",
     ),
     "phrase_demand": (

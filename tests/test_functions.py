@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from backglot.functions import languages, lexing, text
-from backglot.functions.profiles import profile_code
 from backglot.operators import memory as mem
 from backglot.operators import runs
 
@@ -106,12 +105,3 @@ def test_run_key(spark):
     assert tuple(rows[0]) == ("Stage_2", "gpt", "en", "zh-CN", 0, 30, 10, 5)
     assert tuple(rows[1])[:4] == ("evaluation_summary", "google", "en", "hi")
     assert tuple(rows[2]) == (None,) * 8
-
-
-def test_profile_keeps_counts_but_not_tokens_after_an_error():
-    broken = profile_code("x = 1\ny = (2\n")
-    assert broken["valid"] is False
-    assert broken["n_names"] == 2
-    assert broken["tokens"] == ["x", "=", "1", "y", "=", "(2"]
-    sound = profile_code("class A:\n    def f(self):\n        if 1:\n            pass\n")
-    assert (sound["valid"], sound["functions"], sound["classes"], sound["controls"]) == (True, ["f"], ["A"], ["If"])

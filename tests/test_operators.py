@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from backglot.functions.lexing import stage0_lexer, stage1_lexer
-from backglot.functions.profiles import code_profile, text_profile
+from backglot.functions.profiles import text_profile
 from backglot.operators import dictionary, fewshot, lookup, memory, metrics, positions, reports, runs, substitution
 from backglot.session import scratch_path
 from backglot.sources import tables
@@ -79,9 +79,10 @@ def hot_tables(spark):
     return facts, dim.withColumn("repl", F.reverse("word"))
 
 
-def test_salted_join_equals_broadcast_join(spark):
+def test_salted_join_equals_broadcast_join(spark, monkeypatch):
     facts, dim = hot_tables(spark)
     plain = lookup.lookup_join(facts, dim, "word", ["id"], broadcast=True)
+    monkeypatch.setattr(lookup, "TASK_ROWS", 300)  # the hot key spreads over seven salts
     salted = lookup.lookup_join(facts, dim, "word", ["id"], broadcast=False)
     assert salted.count() == 4000
     assert sorted(map(str, plain.collect())) == sorted(map(str, salted.select(plain.columns).collect()))
@@ -119,11 +120,11 @@ def test_bleu_against_brute_force(spark):
     assert got[1000] == pytest.approx(1.0)
 
 
-def test_code_evaluation(spark):
-    code = "def f(a):\n    if a:\n        return 1\n"
-    rows = [(1, code, code), (2, code, "def g(a):\n    return 1\n"), (3, code, "def ("), (4, None, code), (5, code, None)]
+def test_text_evaluation(spark):
+    text = "One, two (three) and Four"
+    rows = [(1, text, text), (2, text, "zwei, drei"), (3, text, "One ("), (4, None, text), (5, text, None)]
     pairs = spark.createDataFrame(rows, "id int, original string, back string")
-    got = {r["id"]: r for r in metrics.evaluate_pairs(pairs, code_profile).collect()}
+    got = {r["id"]: r for r in metrics.evaluate_pairs(pairs, text_profile).collect()}
     assert set(got) == {1, 2, 3}
     assert got[1]["bleu_score"] == pytest.approx(1.0) and got[1]["structure_score"] == 1.0 and got[1]["token_match"] == 1.0
     assert got[1]["overall_score"] == pytest.approx(0.8)  # no embeddings given
@@ -183,6 +184,59 @@ def test_missing_header_is_an_error(spark):
         reports.find_headers(cells, "report", "pos", "cells").collect()
 
 
+def test_absent_column_is_an_error(spark):
+    cells = spark.createDataFrame([("r", 0, ["Language", "No of Examples"]), ("r", 1, ["x", "5"])], "report string, pos long, cells array<string>")
+    with pytest.raises(Exception, match="no column 'Bleu Score'"):
+        reports.model_report(cells, "report", "pos", "cells").collect()
+
+
+def test_large_sizes_and_missing_sets(spark):
+    examples = spark.range(60).select(F.col("id").alias("pos"), F.lit("s").alias("src"), F.lit("t").alias("tgt"))
+    sets = fewshot.example_sets(examples, spark.createDataFrame([(50,), (12,), (0,)], "chunk_size long"))
+    assert {r["chunk_size"]: r["n_examples"] for r in sets.collect()} == {0: 0, 12: 12, 50: 50}
+    turned = fewshot.example_sets(examples, spark.createDataFrame([(1,)], "chunk_size long"), reverse=True).first()
+    assert "Original code:\nt\nComplete translation:\ns" in turned["examples_text"]
+    rows = spark.createDataFrame([(1, "x")], "id int, code string")
+    with pytest.raises(Exception, match="no example set of size 7"):
+        fewshot.build_prompts(rows, "code", F.array(F.lit(7).cast("long")), sets, "English", "Greek").collect()
+
+
+def test_pivot_finds_all_models(spark):
+    rows = spark.createDataFrame([("x", "m", 1.0), ("x", "n", 3.0), ("y", "m", 2.0)], "language_display string, model string, overall double")
+    got = {r["language_display"]: (r["m"], r["n"]) for r in reports.language_model_pivot(rows).collect()}
+    assert got == {"x": (1.0, 3.0), "y": (2.0, None)}
+
+
+@pytest.mark.parametrize("inline", [5000, 0])
+def test_repeated_and_null_keys_and_words(spark, inline):
+    docs = spark.createDataFrame([(1, "for x in y"), (1, "print x"), (None, "foo bar"), (2, None)], "id int, code string")
+    table = spark.createDataFrame([("for", "para"), ("print", "imprime"), ("foo", "uno"), ("foo", "dos"), (None, "z")], "word string, repl string")
+    out = substitution.substitute_documents(docs, "id", "code", "out", table, stage0_lexer("en", "es"), inline)
+    assert sorted(str(r["out"]) for r in out.collect()) == ["None", "dos bar", "imprime x", "para x in y"]
+
+
+@pytest.mark.parametrize("inline", [5000, 0])
+def test_long_phrases_and_comments_stay_whole(spark, inline):
+    comment = "# " + "ñandú " * 3000 + "x"
+    docs = spark.createDataFrame([(1, f"a {comment}")], "id int, code string")
+    memory_table = spark.createDataFrame([("q", "r")], "phrase string, translation string")
+    out = memory.translate_documents(docs, "id", "code", "out", memory_table, stage1_lexer("es", "zh-CN"), inline).first()["out"]
+    assert out.endswith("ñandú x") and len(out) == len(f"a {comment}")
+
+
+def test_word_of_half_of_all_tokens(spark):
+    docs = spark.range(40).select("id", F.concat(F.repeat(F.lit("hot "), 50), F.col("id").cast("string")).alias("code"))
+    table = spark.createDataFrame([("hot", "h")], "word string, repl string")
+    out = substitution.substitute_documents(docs, "id", "code", "out", table, stage0_lexer("en", "es"), 0)
+    assert {r["out"] for r in out.collect()} == {"h " * 50 + str(i) for i in range(40)}
+
+
+def test_cells_with_null_keys_are_done_once(spark):
+    grid = spark.createDataFrame([(None, 1), ("a", 1), ("b", None)], "m string, k int")
+    assert runs.missing_cells(grid, grid.limit(2), ["m", "k"]).count() == 1
+    assert runs.missing_cells(grid, grid, ["m", "k"]).count() == 0
+
+
 def test_prompt_reads_as_specified(spark):
     examples = spark.createDataFrame([(0, "a", "b"), (1, "c", "d")], "pos long, src string, tgt string")
     grid = fewshot.sweep_grid(spark.createDataFrame([(2,)], "n1 long"), "n1")
