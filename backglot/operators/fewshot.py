@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backglot.functions.text import clean_response
 from backglot.operators.lookup import fits_broadcast, lookup_join
+from backglot.sources.tables import hand_over
 
 CHUNK_SIZES = [0, 5, 10, 15, 25]  # fixed values: few-shot sizes of the sweep
 MOST_SIZES = 1_000  # distinct sizes of one sweep
@@ -136,14 +140,17 @@ def request_manifest(prompts: DataFrame, key: str) -> DataFrame:
 
 
 def join_responses(
-    callers: DataFrame, code: str, responses: DataFrame, key: str, row_id: list[str], bare_fences: bool
+    callers: DataFrame, code: str, responses: DataFrame, keys: list[str], row_id: list[str], bare_fences: bool
 ) -> DataFrame:
     """Add ``translated`` and ``status``; a caller without an answer keeps its code.
 
-    ``responses(key, response)`` is unique on ``key``.
+    ``keys`` name the model and the request, so models that are asked the same do not mix. Of several responses to
+    one request the least counts; a caller with a null key has no answer.
     """
-    answers = responses.select(key, "response")
-    joined = lookup_join(callers, answers, key, row_id)
+    whole = F.when(reduce(and_, [F.col(k).isNotNull() for k in keys]), F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))
+    answers = responses.select(whole.alias("_key"), "response").where(F.col("_key").isNotNull())
+    answers = hand_over(answers.groupBy("_key").agg(F.min("response").alias("response")), "answers")
+    joined = lookup_join(callers.withColumn("_key", whole), answers, "_key", row_id)
     cleaned = clean_response(F.col("response"), bare_fences)
     return joined.select(
         *callers.columns,

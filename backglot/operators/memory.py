@@ -9,7 +9,8 @@ from backglot.functions.expr import bind
 from backglot.functions.languages import is_target_language, is_translatable
 from backglot.functions.lexing import Lexer, comment_text, is_comment_piece
 from backglot.operators.lookup import lookup_join
-from backglot.operators.substitution import INLINE_ROWS, rewrite_pieces, token_table
+from backglot.operators.substitution import INLINE_ROWS, comment_split, line_table, rewrite_pieces, token_table
+from backglot.sources.tables import hand_over
 
 _BLANK = r"(?U)^[\s\x1c-\x1f_]*\z"
 
@@ -53,18 +54,37 @@ def phrase_table(df: DataFrame, key: str, text: str, lexer: Lexer) -> DataFrame:
     )
 
 
-def phrase_demand(phrases: DataFrame, memory: DataFrame) -> DataFrame:
-    """Distinct phrases the memory does not hold, with their number of uses.
+def comment_table(df: DataFrame, key: str, text: str, lexer: Lexer) -> DataFrame:
+    """``(key, ln, comment, phrase)`` for every comment that has to be translated."""
+    lines = comment_split(line_table(df, key, text))
+    comments = lines.select(key, "ln", "comment", comment_phrase(F.col("comment"), lexer.target).alias("phrase"))
+    return comments.where(F.col("phrase").isNotNull())
+
+
+def pair_memory(memory: DataFrame, lexer: Lexer) -> DataFrame:
+    """``(phrase, translation)`` of a memory ``(src, tgt, phrase, translation)`` for the lexer's languages.
+
+    Of several translations of a phrase the least counts.
+    """
+    own = memory.where((F.col("src") == lexer.source) & (F.col("tgt") == lexer.target) & F.col("phrase").isNotNull())
+    return own.groupBy("phrase").agg(F.min("translation").alias("translation"))
+
+
+def phrase_demand(df: DataFrame, key: str, text: str, memory: DataFrame, lexer: Lexer) -> DataFrame:
+    """``(src, tgt, phrase, uses)``: distinct phrases of words and comments that the memory does not hold.
 
     Counting first makes both join sides unique, so a hot phrase costs one row.
     """
+    phrases = phrase_table(df, key, text, lexer).select("phrase").unionByName(comment_table(df, key, text, lexer).select("phrase"))
     wanted = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("uses"))
-    return wanted.join(memory.select("phrase"), "phrase", "left_anti")
+    missing = wanted.join(pair_memory(memory, lexer).select("phrase"), "phrase", "left_anti")
+    return missing.select(F.lit(lexer.source).alias("src"), F.lit(lexer.target).alias("tgt"), "phrase", "uses")
 
 
-def memory_lookup(phrases: DataFrame, memory: DataFrame, row_id: list[str]) -> DataFrame:
-    """Add ``translated``: the memory's answer or the phrase itself."""
-    joined = lookup_join(phrases, memory.select("phrase", "translation"), "phrase", row_id)
+def memory_lookup(phrases: DataFrame, memory: DataFrame, lexer: Lexer, row_id: list[str]) -> DataFrame:
+    """Add ``translated``: the memory's answer for the lexer's languages, or the phrase itself."""
+    table = hand_over(pair_memory(memory, lexer), "memory")
+    joined = lookup_join(phrases, table, "phrase", row_id)
     return joined.withColumn("translated", answer_of(F.col("phrase"), F.col("translation"))).drop("translation")
 
 
@@ -85,6 +105,6 @@ def translate_documents(
         )
         return F.when(phrase.isNull(), piece).otherwise(done)
 
-    table = memory.select(F.col("phrase").alias("word"), F.col("translation").alias("repl"))
+    table = pair_memory(memory, lexer).select(F.col("phrase").alias("word"), F.col("translation").alias("repl"))
     done = rewrite_pieces(df, key, text, out, lexer, table, wanted, value, tidy_comments=False, inline_rows=inline_rows)
     return done.withColumn(out, F.coalesce(out, text))

@@ -15,6 +15,7 @@ from backglot.plans.inputs import SOURCE, TARGET
 from backglot.sources.tables import hand_over, scan
 
 ENGLISH, SPANISH = language_name(SOURCE), language_name(TARGET)
+MODELS = ["first", "second"]  # both are asked the same prompts
 
 
 def _sizes(spark: SparkSession, folder: str):
@@ -73,18 +74,21 @@ def response_fallback(spark: SparkSession, folder: str) -> DataFrame:
     )
     answers = inputs.responses(spark, folder).where(F.col("role") == "assistant")
     answers = answers.select(turn_key(F.col("turn")).alias("request"), "response")
-    joined = fs.join_responses(callers, "text", answers, "request", ["conv_id", "turn"], True)
+    joined = fs.join_responses(callers, "text", answers, ["request"], ["conv_id", "turn"], True)
     return joined.select("conv_id", "turn", "translated", "status")
 
 
 def _answers(spark: SparkSession, folder: str, prompts: DataFrame) -> DataFrame:
-    """Responses table, one answer per request: the first caller's conversation, one turn per few-shot size."""
+    """Responses table, one answer per model and request: the first caller's conversation; each model has its own turns."""
     manifest = fs.request_manifest(prompts, "doc_id")
     asked = manifest.select(
-        "request_id", F.col("first_caller").alias("conv_id"), F.floor(F.col("chunk_size") / 5).alias("turn")
+        "model",
+        "request_id",
+        F.col("first_caller").alias("conv_id"),
+        (F.floor(F.col("chunk_size") / 5) + (F.col("model") == MODELS[1]).cast("long")).alias("turn"),
     )
     answers = inputs.responses(spark, folder).select("conv_id", "turn", "response")
-    return hand_over(asked.join(answers, ["conv_id", "turn"]).select("request_id", "response"), "responses")
+    return hand_over(asked.join(answers, ["conv_id", "turn"]).select("model", "request_id", "response"), "responses")
 
 
 def _stage2(spark: SparkSession, folder: str, rows: DataFrame, code: str, source: str, target: str) -> DataFrame:
@@ -92,9 +96,9 @@ def _stage2(spark: SparkSession, folder: str, rows: DataFrame, code: str, source
     prompts = fs.with_sets(rows, _sets(spark, folder, source == SPANISH)).withColumn(
         "request_id", F.sha2(fs.prompt_text(F.col("examples_text"), F.col(code), source, target), 256)
     )
-    prompts = prompts.withColumn("model", F.lit("model")).drop("examples_text", "n_examples")
+    prompts = prompts.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).drop("examples_text", "n_examples")
     answers = _answers(spark, folder, prompts)
-    return fs.join_responses(prompts, code, answers, "request_id", ["doc_id", "chunk_size"], True)
+    return fs.join_responses(prompts, code, answers, ["model", "request_id"], ["doc_id", "chunk_size", "model"], True)
 
 
 def _forward(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,16 +110,17 @@ def _forward(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage2_forward(spark: SparkSession, folder: str) -> DataFrame:
-    return _forward(spark, folder).select("doc_id", "chunk_size", "translated", "status")
+    return _forward(spark, folder).select("doc_id", "chunk_size", "model", "translated", "status")
 
 
 def stage2_backward(spark: SparkSession, folder: str) -> DataFrame:
     """Stage-2 output, substituted back and completed in the other direction."""
-    forward = hand_over(_forward(spark, folder).select("doc_id", "chunk_size", "translated"), "stage2")
+    forward = _forward(spark, folder).where(F.col("model") == MODELS[0])
+    forward = hand_over(forward.select("doc_id", "chunk_size", "translated"), "stage2")
     words = inputs.words_for(spark, folder)
     partial = substitute_documents(forward, "doc_id", "translated", "partial_back", words, inputs.BACKWARD)
     done = _stage2(spark, folder, partial.drop("translated"), "partial_back", SPANISH, ENGLISH)
-    return done.select("doc_id", "chunk_size", "partial_back", F.col("translated").alias("back"), "status")
+    return done.select("doc_id", "chunk_size", "model", "partial_back", F.col("translated").alias("back"), "status")
 
 
 SWEEP = "sweep AS (SELECT unnest([0, 5, 10, 15, 25]) AS k)"
@@ -149,18 +154,20 @@ def cleaned_sql(bare: bool) -> str:
 
 def stage2_sql(name: str, rows: str, code: str, source: str, target: str, sets: str = "sets") -> str:
     return f"""{name}_prompts AS (
-  SELECT r.*, sha256({prompt_sql("r." + code, source, target)}) AS request_id FROM {rows} r JOIN {sets} USING (chunk_size)),
-{name}_asked AS (SELECT request_id, min(doc_id) AS conv_id, min(chunk_size) // 5 AS turn FROM {name}_prompts GROUP BY request_id),
+  SELECT r.*, model, sha256({prompt_sql("r." + code, source, target)}) AS request_id
+  FROM {rows} r JOIN {sets} USING (chunk_size), (VALUES ('first'), ('second')) AS m(model)),
+{name}_asked AS (SELECT model, request_id, min(doc_id) AS conv_id,
+  min(chunk_size) // 5 + CAST(model = 'second' AS INT) AS turn FROM {name}_prompts GROUP BY model, request_id),
 {name}_done AS (
   SELECT p.*, coalesce({cleaned_sql(True)}, {code}) AS translated,
     CASE WHEN response IS NULL THEN 'missing' ELSE 'answered' END AS status
-  FROM {name}_prompts p LEFT JOIN ({name}_asked JOIN responses USING (conv_id, turn)) a USING (request_id))"""
+  FROM {name}_prompts p LEFT JOIN ({name}_asked JOIN responses USING (conv_id, turn)) a USING (model, request_id))"""
 
 
 FORWARD2 = f"""{inputs.DICT}, {q.substituted("f", "documents", "text", SOURCE, TARGET)}, {SETS}, {inputs.RESPONSES},
 f_rows AS (SELECT doc_id, CAST(k AS BIGINT) AS chunk_size, out AS partial FROM f_doc, sizes),
 {stage2_sql("f2", "f_rows", "partial", ENGLISH, SPANISH)}"""
-BACKWARD2 = f"""{FORWARD2}, f2_rows AS (SELECT doc_id * 1000000 + chunk_size AS doc_id, translated FROM f2_done),
+BACKWARD2 = f"""{FORWARD2}, f2_rows AS (SELECT doc_id * 1000000 + chunk_size AS doc_id, translated FROM f2_done WHERE model = 'first'),
 {q.substituted("b", "f2_rows", "translated", TARGET, SOURCE)},
 b_rows AS (SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS chunk_size, out AS partial_back FROM b_doc),
 {stage2_sql("b2", "b_rows", "partial_back", SPANISH, ENGLISH, "back_sets")}"""
@@ -199,9 +206,9 @@ SELECT conv_id, turn, coalesce({cleaned_sql(True)}, text) AS translated,
   CASE WHEN response IS NULL THEN 'missing' ELSE 'answered' END AS status
 FROM conversations LEFT JOIN answers USING (conv_id, turn) WHERE role = 'user'""",
     ),
-    "stage2_forward": (stage2_forward, f"WITH {FORWARD2} SELECT doc_id, chunk_size, translated, status FROM f2_done"),
+    "stage2_forward": (stage2_forward, f"WITH {FORWARD2} SELECT doc_id, chunk_size, model, translated, status FROM f2_done"),
     "stage2_backward": (
         stage2_backward,
-        f"WITH {BACKWARD2} SELECT doc_id, chunk_size, partial_back, translated AS back, status FROM b2_done",
+        f"WITH {BACKWARD2} SELECT doc_id, chunk_size, model, partial_back, translated AS back, status FROM b2_done",
     ),
 }

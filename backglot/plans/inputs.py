@@ -99,10 +99,15 @@ def pairs(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 # Translation memory: benchmark words, answered by their reversal;
 # words ending in 'n' get a two-word answer and words ending in 'd' a hyphenated one.
+# A second language pair in the same table answers the same phrases differently, and a third
+# holds the way back: the accented words of the Spanish and French documents.
 MEMORY = """memory AS (
   SELECT DISTINCT word AS phrase,
          reverse(word) || CASE word[-1:] WHEN 'n' THEN ' ' || word[1] WHEN 'd' THEN '-' || word[1] ELSE '' END AS translation
   FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark))"""
+BACK_MEMORY = """back_memory AS (
+  SELECT DISTINCT word AS phrase, 'w' || length(word) || ' ' || word AS translation
+  FROM (SELECT unnest(regexp_extract_all(text, '[à-öø-ÿ]+')) AS word FROM documents WHERE lang IN ('es', 'fr')))"""
 
 
 def memory(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,7 +117,13 @@ def memory(spark: SparkSession, folder: str) -> DataFrame:
     suffix = (
         F.when(end == "n", F.concat(F.lit(" "), first)).when(end == "d", F.concat(F.lit("-"), first)).otherwise("")
     )
-    return distinct.select("phrase", F.concat(F.reverse("phrase"), suffix).alias("translation"))
+    pair = lambda src, tgt: (F.lit(src).alias("src"), F.lit(tgt).alias("tgt"))
+    own = distinct.select(*pair(SOURCE, TARGET), "phrase", F.concat(F.reverse("phrase"), suffix).alias("translation"))
+    other = distinct.select(*pair(SOURCE, "fr"), "phrase", F.upper("phrase").alias("translation"))
+    accented = F.explode(F.regexp_extract_all("text", F.lit("[à-öø-ÿ]+"), F.lit(0))).alias("phrase")
+    back = scan(spark, folder, "documents").where(F.col("lang").isin("es", "fr")).select(accented).distinct()
+    answer = F.concat(F.lit("w"), F.length("phrase").cast("string"), F.lit(" "), F.col("phrase"))
+    return own.union(other).union(back.select(*pair(TARGET, SOURCE), "phrase", answer.alias("translation")))
 
 
 # Few-shot examples: benchmark texts in item order with their reversed text.

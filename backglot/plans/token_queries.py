@@ -99,13 +99,13 @@ def phrase_normalise(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def phrase_demand(spark: SparkSession, folder: str) -> DataFrame:
-    phrases = mem.phrase_table(inputs.documents(spark, folder), "doc_id", "text", inputs.STAGE1_FORWARD)
-    return mem.phrase_demand(phrases, inputs.memory(spark, folder))
+    docs = inputs.documents(spark, folder)
+    return mem.phrase_demand(docs, "doc_id", "text", inputs.memory(spark, folder), inputs.STAGE1_FORWARD)
 
 
 def tm_lookup(spark: SparkSession, folder: str) -> DataFrame:
     phrases = mem.phrase_table(inputs.documents(spark, folder), "doc_id", "text", inputs.STAGE1_FORWARD)
-    found = mem.memory_lookup(phrases, inputs.memory(spark, folder), ["doc_id", "ln", "p"])
+    found = mem.memory_lookup(phrases, inputs.memory(spark, folder), inputs.STAGE1_FORWARD, ["doc_id", "ln", "p"])
     return found.select("doc_id", "ln", "p", "word", "translated")
 
 
@@ -127,24 +127,19 @@ def comment_translate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage1_forward(spark: SparkSession, folder: str) -> DataFrame:
+    """Stage 1 over the partial text."""
     docs = inputs.documents(spark, folder)
+    partial = sub.substitute_documents(docs, "doc_id", "text", "partial", inputs.words_for(spark, folder), inputs.FORWARD)
     done = mem.translate_documents(
-        docs, "doc_id", "text", "translated", inputs.memory(spark, folder), inputs.STAGE1_FORWARD
+        partial, "doc_id", "partial", "translated", inputs.memory(spark, folder), inputs.STAGE1_FORWARD
     )
     return done.select("doc_id", "translated")
 
 
 def stage1_backward(spark: SparkSession, folder: str) -> DataFrame:
-    """Stage-1 output through the reversed memory (many words to one), by the join plan."""
-    forward = stage1_forward(spark, folder)
-    memory = inputs.memory(spark, folder)
-    reverse = memory.groupBy(F.translate("translation", "-_", "  ").alias("phrase")).agg(
-        F.min("phrase").alias("translation")
-    )
-    # English is the target on the way back, so every word with an ASCII letter is kept as
-    # it is; French as target lets plain words through.
-    lexer = inputs.stage1_lexer(TARGET, "fr")
-    done = mem.translate_documents(forward, "doc_id", "translated", "back", reverse, lexer, inline_rows=0)
+    """Stage-1 output on the way back to English, by the join plan: words with an ASCII letter count as English."""
+    forward, memory = stage1_forward(spark, folder), inputs.memory(spark, folder)
+    done = mem.translate_documents(forward, "doc_id", "translated", "back", memory, inputs.STAGE1_BACKWARD, inline_rows=0)
     return done.select("doc_id", "back")
 
 
@@ -177,10 +172,10 @@ def translated_sql(name: str, source: str, target: str, memory: str) -> str:
     return ",".join([q.tokens(name, source, target, 1), q.documents_from(name, code, comment)])
 
 
-FORWARD1 = f"{inputs.MEMORY}, {PARTS}, {translated_sql('d', SOURCE, TARGET, 'memory')}"
-BACKWARD1 = f"""{FORWARD1}, reversed AS (
-  SELECT translate(translation, '-_', '  ') AS phrase, min(phrase) AS translation FROM memory GROUP BY 1),
-  {q.parts("b", "d_doc", "doc_id", "out")}, {translated_sql("b", TARGET, "fr", "reversed")}"""
+FORWARD1 = f"""{inputs.DICT}, {inputs.MEMORY}, {q.substituted("s", "documents", "text", SOURCE, TARGET)},
+  {q.parts("d", "s_doc", "doc_id", "out")}, {translated_sql("d", SOURCE, TARGET, "memory")}"""
+BACKWARD1 = f"""{FORWARD1}, {inputs.BACK_MEMORY}, {q.parts("b", "d_doc", "doc_id", "out")},
+  {translated_sql("b", TARGET, SOURCE, "back_memory")}"""
 
 QUERIES = {
     "keyword_dict": (keyword_dict, f"WITH {inputs.DICT} SELECT word, repl FROM dict"),
@@ -242,7 +237,9 @@ SELECT doc_id, phrase, coalesce(replace(replace(phrase || ' - end', '-', '_'), '
     "phrase_demand": (
         phrase_demand,
         f"""WITH {inputs.MEMORY}, {PARTS}, {TOKENS1}, {PHRASES}
-SELECT phrase, count(*) AS uses FROM phrases WHERE phrase NOT IN (SELECT phrase FROM memory) GROUP BY phrase""",
+SELECT '{SOURCE}' AS src, '{TARGET}' AS tgt, phrase, count(*) AS uses FROM (
+  SELECT phrase FROM phrases UNION ALL SELECT {comment_phrase_sql(TARGET)} FROM d_parts WHERE comment <> '')
+WHERE phrase IS NOT NULL AND phrase NOT IN (SELECT phrase FROM memory) GROUP BY phrase""",
     ),
     "tm_lookup": (
         tm_lookup,

@@ -63,8 +63,10 @@ def test_keyword_table_from_wide_columns(spark):
 def test_stage1_translation(spark, inline):
     df = spark.createDataFrame([(1, "def get_name(self): # read it\n    return get_name + ñame - 12 #")], "id int, code string")
     table = spark.createDataFrame(
-        [("get name", "obtener nombre"), ("return", "volver-a"), ("read it", "leer-lo")], "phrase string, translation string"
-    )
+        [("en", "es", "get name", "obtener nombre"), ("en", "es", "return", "volver-a"), ("en", "es", "read it", "leer-lo"),
+         ("en", "fr", "return", "rendre"), ("en", "es", "return", "zz"), ("en", "es", None, "null")],
+        "src string, tgt string, phrase string, translation string",
+    )
     out = memory.translate_documents(df, "id", "code", "out", table, stage1_lexer("en", "es"), inline_rows=inline)
     assert out.first()["out"] == (
         "def obtener_nombre(self): # leer_lo\n    volver_a obtener_nombre + ñame - 12 #"
@@ -219,7 +221,7 @@ def test_repeated_and_null_keys_and_words(spark, inline):
 def test_long_phrases_and_comments_stay_whole(spark, inline):
     comment = "# " + "ñandú " * 3000 + "x"
     docs = spark.createDataFrame([(1, f"a {comment}")], "id int, code string")
-    memory_table = spark.createDataFrame([("q", "r")], "phrase string, translation string")
+    memory_table = spark.createDataFrame([("es", "zh-CN", "q", "r")], "src string, tgt string, phrase string, translation string")
     out = memory.translate_documents(docs, "id", "code", "out", memory_table, stage1_lexer("es", "zh-CN"), inline).first()["out"]
     assert out.endswith("ñandú x") and len(out) == len(f"a {comment}")
 
