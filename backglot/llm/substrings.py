@@ -38,8 +38,7 @@ from backglot.sources.tables import hand_over, scan
 
 GRAM = 4  # words of an anchor
 BITMAP_BITS = 28  # 2**28 bits: 32 MB, whatever the corpus
-CROWDED_BITS = 22
-CROWDED = 500  # documents of an anchor above which its windows are compared one by one
+CROWDED = 8_000  # distinct segments of an anchor above which their windows are compared by digest
 SHARD_WORDS = 4_000  # words of a task's current automaton
 WORD_BYTES = 6
 _U = np.uint64
@@ -137,11 +136,10 @@ def place_batches(batches: Iterator[pa.RecordBatch], span: int, shared) -> Itera
         yield pa.RecordBatch.from_arrays([doc, pa.array(start), *_digests(texts)], ["doc", "start", "d1", "d2"])
 
 
-def segment_batches(batches: Iterator[pa.RecordBatch], span: int, shared, crowded) -> Iterator[pa.RecordBatch]:
-    """``(doc, key, many, words)``: segments by anchor, and whether very many share it."""
+def segment_batches(batches: Iterator[pa.RecordBatch], span: int, shared) -> Iterator[pa.RecordBatch]:
+    """``(doc, key, words)``: segments by anchor."""
     for doc, anchors, _, texts in _segments(batches, span, shared):
-        many = pa.array(in_bitmap(anchors, crowded.value, CROWDED_BITS))
-        yield pa.RecordBatch.from_arrays([doc, pa.array(anchors.view(np.int64)), many, pa.array(texts, pa.binary())], ["doc", "key", "many", "words"])
+        yield pa.RecordBatch.from_arrays([doc, pa.array(anchors.view(np.int64)), pa.array(texts, pa.binary())], ["doc", "key", "words"])
 
 
 def window_batches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -280,19 +278,18 @@ def repeated_windows(docs: DataFrame, span: int) -> DataFrame:
     kind = dict(docs.dtypes)["doc"]
     anchors = docs.mapInArrow(lambda b: anchor_batches(b, span), f"doc {kind}, anchors array<bigint>")
     rows = anchors.select("doc", F.explode("anchors").alias("key"))
-    met = rows.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
-    met = hand_over(met.where("a < b").select("key", "n"), "anchors")
+    met = rows.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("key")
     shared = spark.sparkContext.broadcast(bitmap(met, BITMAP_BITS))
-    crowded = spark.sparkContext.broadcast(bitmap(met.where(F.col("n") > CROWDED), CROWDED_BITS))
 
-    segments = docs.mapInArrow(lambda b: segment_batches(b, span, shared, crowded), f"doc {kind}, key bigint, many boolean, words binary")
-    distinct = segments.groupBy("key", "many", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
+    segments = docs.mapInArrow(lambda b: segment_batches(b, span, shared), f"doc {kind}, key bigint, words binary")
+    distinct = segments.groupBy("key", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     distinct = hand_over(distinct, "segments")
-    dealt = distinct.where("NOT many").select("key", "words", "least", "most").repartition("key").sortWithinPartitions("key")
+    crowded = hand_over(distinct.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), "crowded")
+    dealt = distinct.join(crowded, "key", "left_anti").select("key", "words", "least", "most").repartition("key").sortWithinPartitions("key")
     matched = dealt.mapInArrow(lambda b: match_batches(b, span), f"d1 bigint, d2 bigint, leasts array<{kind}>")
 
     schema = f"d1 bigint, d2 bigint, at int, w1 bigint, w2 bigint, least {kind}, most {kind}"
-    windows = hand_over(distinct.where("many").mapInArrow(lambda b: window_batches(b, span), schema), "windows")
+    windows = hand_over(distinct.join(crowded, "key", "left_semi").select("words", "least", "most").mapInArrow(lambda b: window_batches(b, span), schema), "windows")
     least = hand_over(windows.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("most").alias("m")).where("first < m").drop("m"), "least")
     met = windows.join(least, ["w1", "w2"]).where("first < most")
     placed = met.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "first")).alias("found"))

@@ -40,7 +40,7 @@ def test_query(spark):
     assert compare(spark, connect(SF), "op6", query, sql, SF) == ""
 
 
-@pytest.mark.parametrize("crowded", [500, 3])
+@pytest.mark.parametrize("crowded", [8000, 3])
 def test_overlapping_passages(spark, monkeypatch, crowded):
     monkeypatch.setattr(substrings, "CROWDED", crowded)
     draw = random.Random(9)
