@@ -18,22 +18,24 @@ def missing_cells(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFram
 
 
 def existing_cells(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
-    """Distinct partition keys of a result table; None when nothing was written yet."""
+    """Cells that are done, with the types they had when written; None when nothing was written yet."""
     try:
-        return spark.read.parquet(path).select(*keys).distinct()
+        return spark.read.parquet(f"{path}-cells").select(*keys).distinct()
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def write_cells(df: DataFrame, path: str, keys: list[str]) -> None:
+def write_cells(df: DataFrame, path: str, keys: list[str], cells: DataFrame | None = None) -> None:
     """Write a result table by run key, replacing exactly the cells present in ``df``.
 
-    Rebalancing gathers a cell's rows into few files, yet splits a cell that holds a
-    large share of all rows.
+    ``cells`` are the cells that were computed (those of ``df`` by default). They are recorded beside the table, so a
+    cell without result rows is done as well. Rebalancing gathers a cell's rows into few files, yet splits a cell that
+    holds a large share of all rows.
     """
     df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    (df if cells is None else cells).select(*keys).distinct().write.mode("append").parquet(f"{path}-cells")
 
 
 def skip_done(grid: DataFrame, path: str, keys: list[str], force: bool = False) -> DataFrame:

@@ -41,6 +41,23 @@ def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats.withColumn("average_code_length", F.round("average_code_length", 6))
 
 
+def corpus_stats_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics written to JSON by the first call and read back, not computed again, by the second."""
+    path = scratch_path(spark, "stats")
+    rows = inputs.fenced(spark, folder).select(extract_code(F.col("output")).alias("code"))
+    for _ in range(2):
+        stats = tables.stored_stats(spark, path, lambda: corpus.corpus_stats(rows))
+    return stats.withColumn("average_code_length", F.round("average_code_length", 6))
+
+
+def corpus_table_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw corpus written as a table by language, and read without its prompt columns."""
+    raw = inputs.fenced(spark, folder, "lang").withColumns({"instruction": F.lit("i"), "system": F.lit("s")})
+    path = scratch_path(spark, "corpus")
+    tables.write_table(raw, path, ["lang"])
+    return tables.read_corpus(spark, path).select("doc_id", F.col("lang").cast("string").alias("lang"), "output")
+
+
 def attrition(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.attrition(inputs.fenced(spark, folder), "output")
 
@@ -142,6 +159,17 @@ SELECT count(*) AS total_samples, count(DISTINCT code) AS unique_samples,
   round(avg(length(code)), 6) AS average_code_length, min(length(code)) AS min_code_length,
   max(length(code)) AS max_code_length, count(*) - count(code) AS null_values FROM codes""",
     ),
+    "corpus_stats_roundtrip": (
+        corpus_stats_roundtrip,
+        f"""WITH {BLOCKS}, codes AS (SELECT CASE WHEN {KEYWORD_SQL} THEN code END AS code FROM blocks)
+SELECT CAST(count(*) AS DOUBLE) AS total_samples, CAST(count(DISTINCT code) AS DOUBLE) AS unique_samples,
+  round(avg(length(code)), 6) AS average_code_length, CAST(min(length(code)) AS DOUBLE) AS min_code_length,
+  CAST(max(length(code)) AS DOUBLE) AS max_code_length, CAST(count(*) - count(code) AS DOUBLE) AS null_values FROM codes""",
+    ),
+    "corpus_table_roundtrip": (
+        corpus_table_roundtrip,
+        f"WITH {inputs.FENCED} SELECT doc_id, lang, output FROM fenced JOIN documents USING (doc_id)",
+    ),
     "attrition": (
         attrition,
         f"""WITH {SNIPPETS} SELECT i AS initial_size, f AS final_size, i - f AS removed

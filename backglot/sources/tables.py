@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,13 +69,28 @@ def hand_over(df: DataFrame, name: str) -> DataFrame:
     """Write a stage result to the shared scratch folder and continue from the table.
 
     Later stages read it as often as they like without recomputing the earlier ones,
-    and a lost executor costs a re-read, not the lineage.
+    and a lost executor costs a re-read, not the lineage. The table is deleted when the application ends.
     """
-    path = scratch_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_stats(spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    """Corpus statistics from the JSON at ``path``; computed and written there when absent or ``force``d."""
+    if force or not exists(spark, path):
+        write_json(compute(), path)
+    return spark.read.schema(STATS_SCHEMA).json(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def write_table(df: DataFrame, path: str, partitions: list[str] = ()) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)

@@ -265,6 +265,13 @@ def test_resume_computes_only_missing_cells(spark):
     assert runs.skip_done(grid, path, keys, force=True).count() == 3
 
 
+def test_cells_without_rows_and_number_like_keys_are_done(spark):
+    path, keys = scratch_path(spark, "resume"), ["model", "chunk"]
+    grid = spark.createDataFrame([("007", 0), ("008", 0), (None, 1)], "model string, chunk int")
+    runs.write_cells(grid.where("model = '007'").withColumn("v", F.lit(1)), path, keys, cells=grid)
+    assert runs.skip_done(grid, path, keys).count() == 0
+
+
 def test_csv_keeps_line_breaks_and_quotes(spark):
     path = scratch_path(spark, "csv")
     rows = [(1, 'a "b"\nc, d'), (2, "plain"), (3, "back\\slash")]
