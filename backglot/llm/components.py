@@ -36,10 +36,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     of the longest chain; not reaching the end within ``rounds`` is an error.
     """
     current = hand_over(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    check = None
+    state_of = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
+    check = state_of(current)
     for _ in range(rounds):
         current = hand_over(_star(_star(current, True), False), "links")
-        state = current.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
+        state = state_of(current)
         if state == check:
             ids = current.select("u").union(current.select("v")).distinct()
             found = ids.join(current.select("u", "v"), "u", "left")

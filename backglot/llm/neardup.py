@@ -33,7 +33,7 @@ from backglot.session import ship_package
 from backglot.sources.tables import hand_over, scan
 
 TREES, DEPTH, SMALL = 20, 4, 8
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 SKETCH_DIFFERENCE = 40  # of 128 bits; at similarity 0.8 the mean is 13 and the deviation 4
 
 
@@ -123,19 +123,18 @@ def near_duplicates(
 
     links = hand_over(confirm(pairs.where("star"), sets, percent), "links")
     members = hand_over(connected_components(links), "members")
+    # What is connected already stays as one star per component; only new links are added to it.
+    stars = lambda: members.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    both = placed(crowded, members)
     for turn in range(LEADER_ROUNDS):
-        both = placed(crowded, members)
         if both.where("own != main").isEmpty():
             break
-        links = links.union(hand_over(confirm(leader_pairs(both, turn, percent), sets, percent), "links"))
-        members = hand_over(connected_components(links), "members")
-    more = hand_over(confirm(apart(pairs.where("NOT star"), members), sets, percent), "links")
-    links = links.union(more)
-    members = members if more.isEmpty() else hand_over(connected_components(links), "members")
-    both = placed(crowded, members)
-    if not both.where("own != main").isEmpty():
-        links = links.union(hand_over(confirm(strays(both, percent), sets, percent), "links"))
-    members = connected_components(links.union(same))
+        more = hand_over(confirm(leader_pairs(both, turn, percent), sets, percent), "links")
+        members = hand_over(connected_components(stars().union(more)), "members")
+        both = placed(crowded, members)
+    rest = apart(pairs.where("NOT star"), members).union(strays(both, percent)).distinct()
+    more = hand_over(confirm(rest, sets, percent), "links")
+    members = connected_components(stars().union(more).union(same))
     answer = found.select(F.col("doc").alias(key), "n_shingles").join(members.withColumnRenamed("id", key), key, "left")
     return answer.select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))
 
