@@ -49,7 +49,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application.
 
-    Only the Python profile needs it; everything else runs in the JVM.
+    Only operators with Python tasks need it; everything else runs in the JVM.
     """
     context = spark.sparkContext
     if any(f.endswith("backglot.zip") for f in context.listFiles):
