@@ -91,20 +91,25 @@ def distinct(features: Features, keep: np.ndarray | None = None) -> Features:
 
 
 class Rows:
-    """Sparse indicator rows."""
+    """Sparse indicator rows: the features ``found`` of all rows, and where each row's begin."""
 
-    def __init__(self, lists: list[np.ndarray]):
-        self.n = len(lists)
-        self.owner = np.repeat(np.arange(self.n), [len(x) for x in lists])
-        self.found = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
-        self.at = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    CHUNK = 1 << 22  # entries summed at once
+
+    def __init__(self, found: np.ndarray, at: np.ndarray):
+        self.found, self.at, self.n = found, at, len(at) - 1
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(at))
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
         """Per feature, the summed weight of the rows that have it."""
-        return np.bincount(self.found, weight[self.owner], 1 << BITS)
+        total = np.zeros(1 << BITS)
+        for i in range(0, len(self.found), self.CHUNK):
+            part = slice(i, i + self.CHUNK)
+            total += np.bincount(self.found[part], weight[self.owner[part]], 1 << BITS)
+        return total
 
     def only(self, keep: np.ndarray) -> Rows:
-        return Rows([x[keep[x]] for x in (self.found[a:b] for a, b in zip(self.at, self.at[1:]))])
+        mask = keep[self.found]
+        return Rows(self.found[mask], np.concatenate([[0], np.cumsum(mask)])[self.at])
 
     def dot(self, weight: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, weight[self.found], self.n)
@@ -134,9 +139,16 @@ def labelled_sample(
     kind = dict(texts.dtypes)
     got = texts.mapInArrow(work, f"doc_id {kind['doc_id']}, label {kind['label']}, found array<int>").toArrow()
     got = got.sort_by("doc_id").slice(0, rows).combine_chunks()
-    y = np.array(got.column("label").to_pylist(), float) if len(got) else np.zeros(0)
-    lists = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) for x in got.column("found")] if len(got) else []
-    return Rows(lists), y
+    if not len(got):
+        return Rows(np.zeros(0, np.int32), np.zeros(1, np.int64)), np.zeros(0)
+    lists = got.column("found").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    at = lists.offsets.to_numpy().astype(np.int64)
+    found = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+    sample = Rows(found, at - at[0])
+    # Both models look only at features that several rows have; the others are most of the memory.
+    every = np.bincount(found, minlength=1 << BITS)
+    return sample.only(every >= 3), np.array(got.column("label").to_pylist(), float)
 
 
 def apply_scores(

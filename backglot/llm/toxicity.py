@@ -23,7 +23,7 @@ from backglot.llm import linear
 from backglot.llm.linear import BITS, Rows, sigmoid
 from backglot.sources.tables import scan
 
-SAMPLE_ROWS = 12_000  # labelled rows that the model is fitted on
+SAMPLE_ROWS = 10_000  # labelled rows that the model is fitted on
 VOTERS = 300  # most voters that are drawn
 VOTER_SUPPORT = 3  # toxic rows a voter must occur in
 VOTER_PRECISION = 0.7  # smoothed share of toxic rows among those it occurs in
