@@ -92,11 +92,16 @@ def _answers(spark: SparkSession, folder: str, prompts: DataFrame) -> DataFrame:
 
 
 def _stage2(spark: SparkSession, folder: str, rows: DataFrame, code: str, source: str, target: str) -> DataFrame:
-    """``rows`` are sized already: one per document and few-shot size. The way back turns the examples round."""
+    """``rows`` are sized already: one per document and few-shot size; all models are asked, or each row's own ``model``.
+
+    The way back turns the examples round.
+    """
     prompts = fs.with_sets(rows, _sets(spark, folder, source == SPANISH)).withColumn(
         "request_id", F.sha2(fs.prompt_text(F.col("examples_text"), F.col(code), source, target), 256)
     )
-    prompts = prompts.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).drop("examples_text", "n_examples")
+    prompts = prompts.drop("examples_text", "n_examples")
+    if "model" not in rows.columns:
+        prompts = prompts.withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
     answers = _answers(spark, folder, prompts)
     return fs.join_responses(prompts, code, answers, ["model", "request_id"], ["doc_id", "chunk_size", "model"], True)
 
@@ -114,9 +119,8 @@ def stage2_forward(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stage2_backward(spark: SparkSession, folder: str) -> DataFrame:
-    """Stage-2 output, substituted back and completed in the other direction."""
-    forward = _forward(spark, folder).where(F.col("model") == MODELS[0])
-    forward = hand_over(forward.select("doc_id", "chunk_size", "translated"), "stage2")
+    """Stage-2 output of every model, substituted back and completed in the other direction by the same model."""
+    forward = hand_over(_forward(spark, folder).select("doc_id", "chunk_size", "model", "translated"), "stage2")
     words = inputs.words_for(spark, folder)
     partial = substitute_documents(forward, "doc_id", "translated", "partial_back", words, inputs.BACKWARD)
     done = _stage2(spark, folder, partial.drop("translated"), "partial_back", SPANISH, ENGLISH)
