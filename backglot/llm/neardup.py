@@ -15,7 +15,7 @@ a node at depth d with probability s^d per tree; with the defaults, a pair at 0.
 nodes split at the first level, and once in 40,000 where they split down to the last.
 
 Defined results for odd inputs: texts without words (null, empty) have the empty set and link with nothing; rows of
-one ``doc_id`` are one vertex; a null ``doc_id`` links with nothing, has a null component and is kept; an empty table
+one ``doc_id`` are one vertex, linked by any of their texts; a null ``doc_id`` links with nothing, has a null component and is kept; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -104,11 +104,12 @@ def near_duplicates(
     able = found.where("n_shingles > 0 AND doc IS NOT NULL")
     copies = able.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = hand_over(copies.select("digest", "rep"), "copies")
-    held = able.select("doc", "digest").join(copies, "digest").select(F.col("doc").alias("u"), F.col("rep").alias("v"))
+    held = able.select("doc", "digest").join(copies, "digest").select(F.col("doc").alias("u"), F.col("rep").alias("v"), "digest")
     same = hand_over(held.where("u != v").distinct(), "same")
-    vertices = able.join(same.select(F.col("u").alias("doc")), "doc", "left_anti").drop("digest")
+    # A copy's own set goes; other sets of its document stay.
+    vertices = able.join(same.select(F.col("u").alias("doc"), "digest"), ["doc", "digest"], "left_anti")
 
-    nodes = hand_over(branch(vertices.dropDuplicates(["doc", "s0", "s1"]), depth, small), "final")
+    nodes = hand_over(branch(vertices.dropDuplicates(["doc", "digest"]).drop("digest"), depth, small), "final")
     first = nodes.where((F.col("size") <= small) | (F.col("doc") == F.col("leader"))).alias("a")
     pairs = first.join(nodes.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.doc") < F.col("b.doc")) & _similar("a", "b", percent))
     star = (F.col("a.doc") == F.col("a.leader")).alias("star")
@@ -134,7 +135,7 @@ def near_duplicates(
         both = placed(crowded, members)
     rest = apart(pairs.where("NOT star"), members).union(strays(both, percent)).distinct()
     more = hand_over(confirm(rest, sets, percent), "links")
-    members = connected_components(stars().union(more).union(same))
+    members = connected_components(stars().union(more).union(same.select("u", "v")))
     answer = found.select(F.col("doc").alias(key), "n_shingles").join(members.withColumnRenamed("id", key), key, "left")
     return answer.select(key, "n_shingles", F.coalesce("component", key).alias("component_id"))
 

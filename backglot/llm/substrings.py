@@ -18,7 +18,7 @@ The result, the least document of each window of a distinct segment, meets the d
 documents' texts move once, to meet the windows to cut. Words are compared by 48 of their hash's bits beside the anchor.
 
 Defined results for odd inputs: null and empty texts have no words; the digest of no words is that of the empty
-string; rows of one ``doc_id`` never remove each other's words; a null ``doc_id`` neither removes nor loses words;
+string; rows of one ``doc_id`` never remove each other's words, and each loses its own, whether their texts are equal or not; a null ``doc_id`` neither removes nor loses words;
 an empty table gives an empty result; other columns are kept as they are.
 """
 
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backglot.llm.arrow import mix, ragged, text_bytes, text_slices, window_hashes, word_hashes, word_spans
@@ -110,7 +110,7 @@ def in_bitmap(values: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _segments(batches: Iterator[pa.RecordBatch], span: int, shared) -> Iterator[tuple]:
-    """Per slice: documents, anchors, places in the document, and words of the segments whose anchor may repeat."""
+    """Per slice: the slice and, per segment whose anchor may repeat, its row there, anchor, place in the text, and words."""
     for batch in batches:
         for part in text_slices(batch):
             words, first, anchors, valid = _anchored(part.column("text"), span)
@@ -122,7 +122,7 @@ def _segments(batches: Iterator[pa.RecordBatch], span: int, shared) -> Iterator[
             raw = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
             texts = [raw[a : b + span].tobytes() for a, b in zip(heads, tails)]
             doc = owner[heads]
-            yield part.column("doc").take(pa.array(doc)), anchors[heads], (heads - first[doc]).astype(np.int32), texts
+            yield part, pa.array(doc), anchors[heads], (heads - first[doc]).astype(np.int32), texts
 
 
 def _digests(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
@@ -131,15 +131,16 @@ def _digests(texts: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 
 def place_batches(batches: Iterator[pa.RecordBatch], span: int, shared) -> Iterator[pa.RecordBatch]:
-    """``(doc, start, d1, d2)``: where segments lie, and their digest."""
-    for doc, _, start, texts in _segments(batches, span, shared):
-        yield pa.RecordBatch.from_arrays([doc, pa.array(start), *_digests(texts)], ["doc", "start", "d1", "d2"])
+    """``(doc, version, start, d1, d2)``: where segments lie, and their digest."""
+    for part, row, _, start, texts in _segments(batches, span, shared):
+        own = [part.column(c).take(row) for c in ("doc", "version")]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(start), *_digests(texts)], ["doc", "version", "start", "d1", "d2"])
 
 
 def segment_batches(batches: Iterator[pa.RecordBatch], span: int, shared) -> Iterator[pa.RecordBatch]:
     """``(doc, key, words)``: segments by anchor."""
-    for doc, anchors, _, texts in _segments(batches, span, shared):
-        yield pa.RecordBatch.from_arrays([doc, pa.array(anchors.view(np.int64)), pa.array(texts, pa.binary())], ["doc", "key", "words"])
+    for part, row, anchors, _, texts in _segments(batches, span, shared):
+        yield pa.RecordBatch.from_arrays([part.column("doc").take(row), pa.array(anchors.view(np.int64)), pa.array(texts, pa.binary())], ["doc", "key", "words"])
 
 
 def window_batches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
@@ -270,8 +271,16 @@ def match_batches(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.R
         yield made(held)
 
 
+def version(text: str) -> Column:
+    """Digest that tells apart the texts of rows of one document."""
+    return F.unhex(F.md5(text)).alias("version")
+
+
 def repeated_windows(docs: DataFrame, span: int) -> DataFrame:
-    """``(doc, begins)`` of ``(doc, text)``: first words of windows that a smaller document holds; several rows per document."""
+    """``(doc, version, begins)`` of ``(doc, text)``: first words of windows that a smaller document holds.
+
+    Several rows per document and text; ``version`` tells the texts of one document apart.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     docs = docs.where("doc IS NOT NULL")
@@ -298,10 +307,11 @@ def repeated_windows(docs: DataFrame, span: int) -> DataFrame:
     full = F.transform(F.sequence(F.lit(0), F.array_max(F.col("found.at"))), lambda i: F.get(at(i), F.lit(0))["first"])
     results = hand_over(matched.union(placed.select("d1", "d2", full.alias("leasts"))), "leasts")
 
-    places = docs.mapInArrow(lambda b: place_batches(b, span, shared), f"doc {kind}, start int, d1 bigint, d2 bigint")
+    schema = f"doc {kind}, version binary, start int, d1 bigint, d2 bigint"
+    places = docs.select("doc", version("text"), "text").mapInArrow(lambda b: place_batches(b, span, shared), schema)
     joined = places.join(results, ["d1", "d2"])
     below = F.filter(F.sequence(F.lit(0), F.size("leasts") - 1), lambda i: F.get("leasts", i) < F.col("doc"))
-    cut = joined.select("doc", F.transform(below, lambda i: i + F.col("start")).alias("begins"))
+    cut = joined.select("doc", "version", F.transform(below, lambda i: i + F.col("start")).alias("begins"))
     return cut.where(F.size("begins") > 0)
 
 
@@ -324,9 +334,9 @@ def cut_batches(batches: Iterator[pa.RecordBatch], span: int, build) -> Iterator
 def _with_windows(docs: DataFrame, span: int, key: str, text: str) -> DataFrame:
     """``docs`` as ``(row, text, begins)``, each row beside the windows that it loses."""
     found = repeated_windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), span)
-    found = hand_over(found.groupBy("doc").agg(F.flatten(F.collect_list("begins")).alias("begins")), "begins")
+    found = hand_over(found.groupBy("doc", "version").agg(F.flatten(F.collect_list("begins")).alias("begins")), "begins")
     rows = docs.select(F.col(key).alias("doc"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), F.col(text).alias("text"))
-    return rows.join(found, "doc", "left").select("row", "text", "begins")
+    return rows.select("*", version("text")).join(found, ["doc", "version"], "left").select("row", "text", "begins")
 
 
 def remove_repeats(docs: DataFrame, span: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:

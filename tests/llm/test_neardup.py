@@ -77,3 +77,14 @@ def test_odd_inputs(spark):
         key=key,
     )
     assert neardup.near_duplicates(docs.limit(0), 4).collect() == []
+
+
+def test_one_id_on_different_texts(spark):
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    a, b, d = " ".join(words("a", 60)), " ".join(words("b", 60)), " ".join(words("d", 60))
+    rows = [(1, a), (2, a), (2, b), (3, b + " z"), (4, d), (5, d), (5, "other words altogether")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = neardup.near_duplicates(docs, 4).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [
+        (1, 57, 1), (2, 57, 1), (2, 57, 1), (3, 58, 1), (4, 57, 4), (5, 1, 4), (5, 57, 4)
+    ]

@@ -66,3 +66,13 @@ def test_odd_inputs(spark):
     assert sorted(r["text"] for r in cut if r["doc_id"] in (5, 7)) == ["", "", ""]
     assert [r["text"] for r in cut if r["doc_id"] == 1] == [None] and cut[0].asDict().keys() == {"doc_id", "text", "start", "doc"}
     assert substrings.removal_digests(docs.limit(0)).collect() == []
+
+
+def test_one_id_on_different_texts(spark):
+    clean = " ".join(f"c{i}" for i in range(20))
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text), (2, clean + " " + text), (2, "short one"), (2, clean), (2, text), (3, "p " + clean), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(substrings.removal_digests(docs).collect(), brute(rows, 13))
+    cut = substrings.remove_repeats(docs).collect()
+    assert sorted(r["text"] for r in cut if r["doc_id"] == 2) == ["", clean, clean, "short one"]
