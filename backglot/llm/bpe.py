@@ -64,6 +64,8 @@ class PairRanks:
     """
 
     def __init__(self, spark: SparkSession, pieces: list[bytes]):
+        if len(pieces) > 1 << 16:
+            raise ValueError("ranks of more than 65,536 pieces do not fit a cell")
         rank = {p: i for i, p in enumerate(pieces)}
         pairs = [(rank[p[:k]] << 16 | rank[p[k:]], i) for p, i in rank.items() for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank]
         self.slots = 1 << max(8, (3 * len(pairs)).bit_length())

@@ -59,3 +59,8 @@ def test_query(spark, pieces, library):
         ids = library.encode_ordinary(given[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(",".join(map(str, ids)).encode()))
         assert r["decoded_sha256"] == sha(given[r["doc_id"]].encode())
+
+
+def test_more_pieces_than_a_cell_holds_raise(spark):
+    with pytest.raises(ValueError, match="65,536"):
+        bpe.PairRanks(spark, [i.to_bytes(3, "big") for i in range(65_537)])
