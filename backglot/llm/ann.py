@@ -3,7 +3,7 @@
 * On a bounded sample the exact neighbour graph is cut into balanced parts: halves along principal directions,
   then vertices move to the part that holds most of their neighbours, as long as it has room.
 * A small network learns the part from the vector. It indexes every row (its most probable part) and routes every
-  query to its most probable parts; how many is calibrated on the sample for the target recall.
+  query to its most probable parts; how many is calibrated for the target recall on rows held out of the fitting.
 * Parts are stored in blocks of bounded size, so a part, or one vector with a third of all rows, spreads over many
   tasks. A query meets the blocks of its parts, each task ranks one block, and the best of all blocks are merged.
 
@@ -29,6 +29,7 @@ from backglot.session import ship_package
 from backglot.sources.tables import hand_over, scan
 
 SAMPLE_ROWS = 8_000  # vectors that parts and network are fitted on
+HELD_SHARE = 5  # one drawn vector of so many is held out of the fitting, for the calibration
 PART_ROWS = 4_000  # rows a part should have
 PARTS = 64  # most parts that the sample can support
 BLOCK_ROWS = 2_048  # rows ranked at once
@@ -125,7 +126,7 @@ class Router:
 
 
 def calibrate(router: Router, x: np.ndarray, k: int, target: float) -> int:
-    """Least number of parts that finds ``target`` of the sample's nearest ``k``, by at most 1,000 of its rows."""
+    """Least number of parts that finds ``target`` of the nearest ``k`` among ``x``, by at most 1,000 of its rows."""
     ranked = router.ranked(x)
     place = np.argsort(ranked, axis=1)  # part -> its rank for a row
     asked = np.arange(0, len(x), max(1, len(x) // 1000))
@@ -140,6 +141,15 @@ def calibrate(router: Router, x: np.ndarray, k: int, target: float) -> int:
     return int(np.searchsorted(share, target) + 1)
 
 
+def fit_router(x: np.ndarray, n: int, k: int) -> tuple[Router, int]:
+    """Router for ``n`` rows, and the parts to probe: fitted on most of the drawn rows, calibrated on the others alone."""
+    held = np.arange(len(x)) % HELD_SHARE == HELD_SHARE - 1
+    own = x[~held]
+    parts = int(min(PARTS, max(1, round(n / PART_ROWS)), len(own)))
+    router = Router(own, balanced_parts(own, nearest(own, NEIGHBOURS), parts), parts)
+    return router, calibrate(router, x[held], k, TARGET_RECALL)
+
+
 def exact(q: np.ndarray, v: np.ndarray) -> float:
     return math.fsum((q * v).tolist())
 
@@ -176,14 +186,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     given = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     given = given.where(F.col("id").isNotNull() & usable(F.col("v")))
     n = given.count()
-    sample = given.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(SAMPLE_ROWS).select("v").toArrow().column("v").to_pylist()
+    sample = given.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(SAMPLE_ROWS * HELD_SHARE // (HELD_SHARE - 1)).select("v").toArrow().column("v").to_pylist()
     if not sample:
         return spark.createDataFrame([], schema)
     size = Counter(map(len, sample)).most_common(1)[0][0]
     x = np.array([s for s in sample if len(s) == size], np.float64)
-    parts = int(min(PARTS, max(1, round(n / PART_ROWS)), len(x)))
-    router = Router(x, balanced_parts(x, nearest(x, NEIGHBOURS), parts), parts)
-    probes = calibrate(router, x, k, TARGET_RECALL)
+    router, probes = fit_router(x, n, k)
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

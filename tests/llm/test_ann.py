@@ -73,3 +73,24 @@ def test_parts_are_balanced():
     x = np.random.RandomState(2).randn(1000, 8)
     part = ann.balanced_parts(x, ann.nearest(x, 10), 7)
     assert np.bincount(part, minlength=7).max() <= math.ceil(1.1 * 1000 / 7)
+
+
+def test_calibrated_on_rows_held_out_of_fitting(monkeypatch):
+    seen = {}
+    kept = ann.calibrate
+
+    def spy(router, x, k, target):
+        seen["held"] = x
+        return kept(router, x, k, target)
+
+    class Fitted(ann.Router):
+        def __init__(self, x, *rest):
+            seen["fitted"] = x
+            super().__init__(x, *rest)
+
+    monkeypatch.setattr(ann, "calibrate", spy)
+    monkeypatch.setattr(ann, "Router", Fitted)
+    x = np.random.RandomState(5).randn(1500, 16)
+    _, probes = ann.fit_router(x, 64_000, 20)
+    held, fitted = ({r.tobytes() for r in seen[c]} for c in ("held", "fitted"))
+    assert len(held) == 300 and len(fitted) == 1200 and not held & fitted and 1 <= probes <= 16
