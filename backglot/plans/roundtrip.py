@@ -1,4 +1,4 @@
-"""The staged pipeline: mine, substitute, translate, complete, go back, score, summarise."""
+"""Round trip of one run: substitute there and back, score, summarise."""
 
 from __future__ import annotations
 
