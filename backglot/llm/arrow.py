@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20  # text handled at once inside a task
+SLICE_BYTES = 1 << 20  # text handled at once inside a task
+PIECE_BYTES = 1 << 18  # bytes of words hashed at once: the index arrays take some 40 bytes a byte
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True  # what ends a word: [\x20\x09-\x0D]
@@ -17,6 +18,7 @@ _BYTE = _random.randint(1, 1 << 62, 256).astype(_U) * _U(4) + _U(1)
 _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
+_WORD = _U(0x2545F4914F6CDD1D)
 _STEP = _random.randint(1, 1 << 62, 64).astype(_U) * _U(4) + _U(3)
 
 
@@ -64,19 +66,45 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """64-bit hash of every word's bytes; ``lower`` takes A-Z as a-z."""
-    if not len(starts):
-        return np.zeros(0, _U)
+    """64-bit hash of every word's bytes; ``lower`` takes A-Z as a-z. Works in pieces, so memory does not follow the text."""
+    table = _LOWER if lower else _BYTE
+    upto = np.cumsum(ends - starts)
+    out = np.empty(len(starts), _U)
+    i = 0
+    while i < len(starts):
+        before = upto[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(upto, before + PIECE_BYTES, side="right")))
+        if ends[i] - starts[i] > PIECE_BYTES:
+            out[i] = _long_word(data[starts[i] : ends[i]], table)
+        else:
+            out[i:j] = _some_words(data, starts[i:j], ends[i:j], table)
+        i = j
+    return out
+
+
+def _some_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     lengths = ends - starts
-    power = np.full(int(lengths.max()), _BASE, _U)
-    power[0] = 1
-    power = np.cumprod(power)
-    total = int(lengths.sum())
+    power = _powers(int(lengths.max()))
     first = np.cumsum(lengths) - lengths
-    place = np.arange(total) - np.repeat(first, lengths)
-    source = place + np.repeat(starts, lengths)
-    values = (_LOWER if lower else _BYTE)[data[source]] * power[place]
-    return mix(np.add.reduceat(values, first) + lengths.astype(_U) * _U(0x2545F4914F6CDD1D))
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    values = table[data[place + np.repeat(starts, lengths)]] * power[place]
+    return mix(np.add.reduceat(values, first) + lengths.astype(_U) * _WORD)
+
+
+def _long_word(word: np.ndarray, table: np.ndarray) -> np.uint64:
+    power, total = _powers(PIECE_BYTES), np.zeros(1, _U)
+    reached = np.ones(1, _U)
+    for i in range(0, len(word), PIECE_BYTES):
+        part = table[word[i : i + PIECE_BYTES]]
+        total += (part * power[: len(part)]).sum(dtype=_U) * reached
+        reached *= power[-1] * _BASE
+    return mix(total + np.array([len(word)], _U) * _WORD)[0]
+
+
+def _powers(size: int) -> np.ndarray:
+    power = np.full(size, _BASE, _U)
+    power[0] = 1
+    return np.cumprod(power)
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from backglot.llm import ann, bpe, chat, counts, decontaminate, idfiles, neardup, quality, substrings, toxicity
+from backglot.llm import ann, bpe, chat, counts, decontaminate, idfiles, merkle, neardup, periodic, quality, substrings, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": (neardup.op1_minhash_near_dedup, None),
@@ -15,4 +15,6 @@ QUERIES = {
     "op8_decontaminate": (decontaminate.op8_decontaminate, None),
     "op9_nearest_neighbours": (ann.op9_nearest_neighbours, None),
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
+    "op11_merkle_manifest": (merkle.op11_merkle_manifest, merkle.OP11_SQL),
+    "op12_periodic_runs": (periodic.op12_periodic_runs, None),
 }
