@@ -94,7 +94,7 @@ def _diagonals(word, gram, order, dull, begin, stop, span: int) -> np.ndarray:
         at.append(order[back:][near])
         lags.append(lag[near])
         back += 1
-    if not at:
+    if not sum(map(len, at)):
         return np.zeros((0, 3), np.int64)
     at, lags = np.concatenate(at), np.concatenate(lags)
     by = np.lexsort((at, lags))

@@ -67,6 +67,11 @@ def test_runs_equal_all_lags(seed):
     assert found_runs(texts) == [all_runs(t) for t in texts]
 
 
+def test_occurrences_nearer_than_the_scale_only():
+    """Grams of two words that come again one word later give no diagonal of a lag of two or three."""
+    assert found_runs([[1, 1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14]]) == [[]]
+
+
 def test_long_texts_of_one_word_and_of_one_long_period():
     block = [i * i % 9973 for i in range(9000)]
     assert found_runs([[5] * 300_000, block * 4, block * 3]) == [[(0, 300_000, 1)], [(0, 36_000, 9000)], []]
