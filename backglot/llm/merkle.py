@@ -24,14 +24,11 @@ from collections.abc import Iterator
 from hashlib import sha256
 from itertools import chain
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backglot.session import ship_package
+from backglot.llm.numbering import bounded_groups, number_rows
 from backglot.sources.tables import hand_over, scan
 
 BITS = 10  # levels folded by one partition
@@ -88,58 +85,9 @@ def fold_proof(leaf: bytes, index: int, siblings: list[bytes | None]) -> bytes:
     return node
 
 
-def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """``rows`` with ``pos``, their dense position in their ``tree`` by ``order``, and ``width``, the rows of the tree."""
-    ship_package(rows.sparkSession)
-    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
-    ranged = rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
-    within = hand_over(ranged.mapInArrow(_count_within, f"{kinds}, part int, place long"), "ranged")
-    counts = within.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "tree",
-        "part",
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"),
-        F.sum("rows").over(Window.partitionBy("tree")).alias("width"),
-    )
-    placed = within.join(offsets, ["tree", "part"])
-    return placed.withColumn("pos", F.col("offset") + F.col("place")).drop("part", "place", "offset")
-
-
-def _count_within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, last, seen = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        runs = pc.run_end_encode(batch.column("tree"))
-        ends = np.asarray(runs.run_ends)
-        starts = np.concatenate([[0], ends[:-1]])
-        trees = runs.values
-        carried = np.zeros(len(ends), np.int64)
-        carried[0] = seen if trees[0].as_py() == last else 0
-        place = np.arange(batch.num_rows) - np.repeat(starts - carried, ends - starts)
-        last, seen = trees[-1].as_py(), int(place[-1]) + 1
-        added = [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(place.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "part", "place"])
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of one ``(tree, block)`` after another; blocks are bounded."""
-    group, key = [], None
-    for batch in batches:
-        for row in batch.to_pylist():
-            if (row["tree"], row["block"]) != key:
-                if group:
-                    yield group
-                group, key = [], (row["tree"], row["block"])
-            group.append(row)
-    if group:
-        yield group
-
-
 def _climb(batches: Iterator[pa.RecordBatch], keep_inner: bool, bits: int) -> Iterator[pa.RecordBatch]:
     rows = []
-    for group in _groups(batches):
+    for group in bounded_groups(batches):
         width, block = group[0]["width"], group[0]["block"]
         levels = fold_levels([r["digest"].encode() for r in group], min(bits, height(width)))
         for level, nodes in enumerate(levels):
@@ -225,7 +173,7 @@ def _prove(batches: Iterator[pa.RecordBatch], key: str, bits: int) -> Iterator[p
     if some is None:
         return
     kinds = [some.schema.field(key).type] + [pa.string()] * 5
-    for group in _groups(chain([some], batches)):
+    for group in bounded_groups(chain([some], batches)):
         head, rows = group[0], group[1:]
         levels = fold_levels([r["digest"].encode() for r in rows], min(bits, height(rows[0]["width"])))
         above = [s and s.encode() for s in head["path"]]
@@ -290,7 +238,7 @@ def _inside_paths(trees: DataFrame, paths: DataFrame, bits: int) -> DataFrame:
 
 
 def _list_paths(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    for group in _groups(batches):
+    for group in bounded_groups(batches):
         head, rows = group[0], group[1:]
         levels = fold_levels([r["digest"].encode() for r in rows], min(bits, height(rows[0]["width"])))
         out = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from backglot.llm import ann, bpe, chat, counts, decontaminate, idfiles, merkle, neardup, periodic, quality, substrings, toxicity
+from backglot.llm import ann, bpe, chat, counts, decontaminate, idfiles, merkle, neardup, pagediff, periodic, quality, substrings, toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": (neardup.op1_minhash_near_dedup, None),
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_chat_format": (chat.op10_chat_format, chat.OP10_SQL),
     "op11_merkle_manifest": (merkle.op11_merkle_manifest, merkle.OP11_SQL),
     "op12_periodic_runs": (periodic.op12_periodic_runs, None),
+    "op13_html_text": (pagediff.op13_html_text, pagediff.OP13_SQL),
 }
