@@ -157,9 +157,9 @@ def cleaned_sql(bare: bool) -> str:
 
 
 def stage2_sql(name: str, rows: str, code: str, source: str, target: str, sets: str = "sets") -> str:
+    """``rows`` have a model column: the model that is asked."""
     return f"""{name}_prompts AS (
-  SELECT r.*, model, sha256({prompt_sql("r." + code, source, target)}) AS request_id
-  FROM {rows} r JOIN {sets} USING (chunk_size), (VALUES ('first'), ('second')) AS m(model)),
+  SELECT r.*, sha256({prompt_sql("r." + code, source, target)}) AS request_id FROM {rows} r JOIN {sets} USING (chunk_size)),
 {name}_asked AS (SELECT model, request_id, min(doc_id) AS conv_id,
   min(chunk_size) // 5 + CAST(model = 'second' AS INT) AS turn FROM {name}_prompts GROUP BY model, request_id),
 {name}_done AS (
@@ -169,11 +169,14 @@ def stage2_sql(name: str, rows: str, code: str, source: str, target: str, sets:
 
 
 FORWARD2 = f"""{inputs.DICT}, {q.substituted("f", "documents", "text", SOURCE, TARGET)}, {SETS}, {inputs.RESPONSES},
-f_rows AS (SELECT doc_id, CAST(k AS BIGINT) AS chunk_size, out AS partial FROM f_doc, sizes),
+f_rows AS (SELECT doc_id, CAST(k AS BIGINT) AS chunk_size, model, out AS partial
+  FROM f_doc, sizes, (VALUES ('first'), ('second')) AS m(model)),
 {stage2_sql("f2", "f_rows", "partial", ENGLISH, SPANISH)}"""
-BACKWARD2 = f"""{FORWARD2}, f2_rows AS (SELECT doc_id * 1000000 + chunk_size AS doc_id, translated FROM f2_done WHERE model = 'first'),
+BACKWARD2 = f"""{FORWARD2}, f2_rows AS (
+  SELECT doc_id * 1000000 + chunk_size * 2 + CAST(model = 'second' AS INT) AS doc_id, translated FROM f2_done),
 {q.substituted("b", "f2_rows", "translated", TARGET, SOURCE)},
-b_rows AS (SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 AS chunk_size, out AS partial_back FROM b_doc),
+b_rows AS (SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 // 2 AS chunk_size,
+  CASE doc_id % 2 WHEN 1 THEN 'second' ELSE 'first' END AS model, out AS partial_back FROM b_doc),
 {stage2_sql("b2", "b_rows", "partial_back", SPANISH, ENGLISH, "back_sets")}"""
 
 QUERIES = {

@@ -1,28 +1,28 @@
-"""The way back of every model, against the stage-2 rows of that model."""
+"""The way back of every model starts from that model's own stage-2 rows: a case written by hand, and counts."""
 
 from __future__ import annotations
 
+from collections import Counter
+
 from backglot.plans import fewshot_queries as fq
-from backglot.plans import inputs
-from backglot.plans import sqltext as q
-from tests.oracle import canonical, connect
 
 SF = "/root/testdata/sf0.001"
-KEY = "doc_id * 1000000 + chunk_size * 2 + CAST(model = 'second' AS INT)"
-ALL_MODELS = "(VALUES ('first'), ('second')) AS m(model)"
-BACK = fq.stage2_sql("b2", "b_rows", "partial_back", fq.SPANISH, fq.ENGLISH, "back_sets")
-SQL = f"""WITH {fq.FORWARD2}, f2_rows AS (SELECT {KEY} AS doc_id, translated FROM f2_done),
-{q.substituted("b", "f2_rows", "translated", inputs.TARGET, inputs.SOURCE)},
-b_rows AS (SELECT doc_id // 1000000 AS doc_id, doc_id % 1000000 // 2 AS chunk_size,
-  CASE doc_id % 2 WHEN 0 THEN 'first' ELSE 'second' END AS own, out AS partial_back FROM b_doc),
-{BACK.replace(ALL_MODELS, ALL_MODELS + " WHERE model = own")}
-SELECT doc_id, chunk_size, model, partial_back, translated AS back, status FROM b2_done"""
-
-
-def test_every_model_goes_back_from_its_own_rows(spark):
-    assert ALL_MODELS in BACK
-    df = fq.stage2_backward(spark, SF)
-    cursor = connect(SF).execute(SQL)
-    want = canonical([d[0] for d in cursor.description], cursor.fetchall())
-    assert canonical(df.columns, df.collect()) == want
-    assert "'second'" in "".join(want[1]) and "'first'" in "".join(want[1])
+
+
+def test_two_models_with_different_answers(spark, tmp_path):
+    """Document 1 is asked of both models: "uno" answers the first, "dos" the second, whatever the size."""
+    tables = {
+        "documents": ("doc_id long, text string, source string", [(1, "one", "s"), (2, None, "s")]),
+        "benchmark": ("item_id long, text string", [(1, "zeta")]),
+        "conversations": ("conv_id long, turn long, role string, text string", [(1, 0, "user", "uno"), (1, 1, "assistant", "dos")]),
+    }
+    for name, (kinds, rows) in tables.items():
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = fq.stage2_backward(spark, str(tmp_path)).where("doc_id = 1").collect()
+    got = sorted((r["chunk_size"], r["model"], r["partial_back"], r["back"], r["status"]) for r in rows)
+    assert got == [(k, m, t, t, "answered") for k in (0, 1) for m, t in (("first", "uno"), ("second", "dos"))]
+
+
+def test_every_model_goes_back_as_often(spark):
+    counts = Counter(r["model"] for r in fq.stage2_backward(spark, SF).collect())
+    assert counts["first"] == counts["second"] == 200 * 5  # documents, sizes
