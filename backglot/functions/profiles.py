@@ -1,12 +1,10 @@
-"""Profiles of a text: tokens, token counts, name sets, validity, as column expressions."""
+"""Profiles of a text: tokens, their kinds, name sets, validity, as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from backglot.functions.expr import bind
-
 # Token kinds of prose, in both the profile below and its SQL twin.
 NAME = "[A-Za-z_À-ÖØ-öø-ÿ][A-Za-z0-9_À-ÖØ-öø-ÿ]*"
 STRING = "\"[^\"\\n]*\"|'[^'\\n]*'"
@@ -23,6 +21,19 @@ def text_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TEXT_TOKEN), F.lit(0))
 
 
+def is_number(token: Column) -> Column:
+    return (token >= "0") & (token < ":")
+
+
+def is_string(token: Column) -> Column:
+    return (F.length(token) > 1) & (F.startswith(token, F.lit('"')) | F.startswith(token, F.lit("'")))
+
+
+def is_operator(token: Column) -> Column:
+    # Plain comparisons first: a regex per token would cost more than the tokens themselves.
+    return (F.length(token) == 1) & ((token < "0") | (token >= ":")) & ~token.rlike(f"^{NAME}")
+
+
 def text_profile(text: Column) -> Column:
     """Regex profile of prose. Balanced brackets and double quotes count as valid."""
 
@@ -32,26 +43,9 @@ def text_profile(text: Column) -> Column:
     def occurrences(symbols: str) -> Column:
         return F.length(text) - F.length(F.replace(text, F.lit(symbols), F.lit("")))
 
-    def count(tokens: Column, test) -> Column:
-        return F.size(F.filter(tokens, test))
-
-    def build(tokens: Column) -> Column:
-        # Plain comparisons first: a regex per token would cost more than the tokens themselves.
-        numbers = count(tokens, lambda t: (t >= "0") & (t < ":"))
-        strings = count(tokens, lambda t: (F.length(t) > 1) & (F.startswith(t, F.lit('"')) | F.startswith(t, F.lit("'"))))
-        ops = count(tokens, lambda t: (F.length(t) == 1) & ((t < "0") | (t >= ":")) & ~t.rlike(f"^{NAME}"))
-        names = F.size(tokens) - numbers - strings - ops
-        return F.struct(
-            ((occurrences("(") == occurrences(")")) & (occurrences('"') % 2 == 0)).alias("valid"),
-            found(BEFORE_COMMA, 1).alias("functions"),
-            found(CAPITALISED).alias("classes"),
-            found(CONNECTIVE).alias("controls"),
-            tokens.alias("tokens"),
-            F.size(tokens).alias("n_total"),
-            names.alias("n_names"),
-            strings.alias("n_strings"),
-            numbers.alias("n_numbers"),
-            ops.alias("n_ops"),
-        )
-
-    return bind(text_tokens(text), build)
+    return F.struct(
+        ((occurrences("(") == occurrences(")")) & (occurrences('"') % 2 == 0)).alias("valid"),
+        found(BEFORE_COMMA, 1).alias("functions"),
+        found(CAPITALISED).alias("classes"),
+        found(CONNECTIVE).alias("controls"),
+    )

@@ -6,80 +6,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backglot.functions.expr import bind
+from backglot.functions.profiles import is_number, is_operator, is_string, text_tokens
+from backglot.sources.tables import hand_over_keyed
 
 MAX_N = 4
 SMALLEST = 2.2250738585072014e-308  # fixed value: smallest normal double stands in for zero precision
-_SEP = "\x01"
+KINDS = {"numbers": is_number, "strings": is_string, "ops": is_operator}
 
 
-def _let(name: str, value: str, body: str) -> str:
-    """SQL twin of :func:`backglot.functions.expr.bind`."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
+def gram_counts(rows: DataFrame, row: str, reference: str, candidate: str) -> DataFrame:
+    """``(row, n, a, b, c, d, in_r, in_c)``: how often every n-gram (n = 1..4) stands in both token arrays of a row.
 
-
-def _gram_structs(tokens: str) -> str:
-    """Array of (g1, g2, g3, g4) per token position; grams past the end are null."""
-    shifted = ", ".join(f"slice({tokens}, {k}, size({tokens}))" for k in range(1, MAX_N + 1))
-    fields = []
-    for n in range(1, MAX_N + 1):
-        parts = f", '{_SEP}', ".join(f"t.`{k}`" for k in range(n))
-        fields.append(f"'g{n}', concat({parts})")
-    return f"transform(arrays_zip({shifted}), t -> named_struct({', '.join(fields)}))"
-
-
-def _numbered(repeats: str) -> str:
-    """Sorted array to distinct texts: each value with its rank among its equals."""
-    starts = f"filter(sequence(0, size({repeats}) - 1), i -> i = 0 OR get({repeats}, i) <> get({repeats}, i - 1))"
-    copies = f"slice({repeats}, start + 1, coalesce(get(starts, j + 1), size({repeats})) - start)"
-    ranked = f"transform({copies}, (v, i) -> concat(v, '{_SEP}', string(i)))"
-    return _let("starts", starts, f"flatten(transform(starts, (start, j) -> {ranked}))")
-
-
-def _shared(a: str, b: str) -> str:
-    """Size of the multiset intersection of two sorted arrays.
-
-    ``array_intersect`` counts every shared value once. Further copies are looked at
-    only where both sides repeat something.
-    """
-    more = f"""CASE WHEN size(ra) > 0 AND size(rb) > 0
-        THEN size(array_intersect({_numbered("ra")}, {_numbered("rb")})) ELSE 0 END"""
-
-    def repeats(values: str) -> str:
-        return f"filter({values}, (v, i) -> i > 0 AND v = get({values}, i - 1))"
-
-    extra = _let("ra", repeats(a), _let("rb", repeats(b), more))
-    return f"size(array_intersect({a}, {b})) + {extra}"
-
-
-def ngram_hits(reference: str, candidate: str) -> str:
-    """SQL struct of token counts and clipped n-gram hits (n = 1..4) of two token arrays.
-
-    Everything stays inside the row: no n-gram is ever shuffled, and a pair costs
-    sorting its own n-grams. Written as SQL text because a tree this size takes
-    thousands of Python calls to build from column objects.
+    The n-grams of a row are exploded and counted by hash where the row is: if ``rows`` is partitioned by ``row`` (a table of
+    :func:`backglot.sources.tables.hand_over_keyed`), no n-gram is shuffled, and counts that outgrow memory spill. A row
+    without tokens keeps one entry with a null gram.
     """
+    sides = F.array(
+        F.struct(F.lit(1).alias("r"), F.col(reference).alias("t")), F.struct(F.lit(0).alias("r"), F.col(candidate).alias("t"))
+    )
+    both = rows.select(row, F.inline(sides))
+    shifted = [F.slice("t", k, F.greatest(F.size("t"), F.lit(0))) for k in range(1, MAX_N + 1)]
+    placed = both.select(row, "r", F.inline_outer(F.arrays_zip(*shifted)).alias("a", "b", "c", "d"))
+    names, none = ["a", "b", "c", "d"], F.lit(None).cast("string")
+    gram = lambda n: F.struct(F.lit(n).alias("n"), *[(F.col(x) if i < n else none).alias(x) for i, x in enumerate(names)])
+    grams = placed.select(row, "r", F.inline(F.array(*[gram(n) for n in range(1, MAX_N + 1)])))
+    whole = (F.col("n") == 1) | F.when(F.col("n") == 2, F.col("b").isNotNull()).when(F.col("n") == 3, F.col("c").isNotNull()).otherwise(
+        F.col("d").isNotNull()
+    )
+    counted = grams.where(whole).groupBy(row, "n", *names)
+    return counted.agg(F.sum("r").alias("in_r"), F.sum(1 - F.col("r")).alias("in_c"))
 
-    def hit(n: int) -> str:
-        shared = _let("b", f"array_sort(array_compact(c.g{n}))", _shared("a", "b"))
-        return f"'hit{n}', {_let('a', f'array_sort(array_compact(r.g{n}))', shared)}"
 
-    hits = ", ".join(hit(n) for n in range(1, MAX_N + 1))
-    counts = f"named_struct('r_len', size(r), 'c_len', size(c), {hits})"
-    return _let("r", _gram_structs(reference), _let("c", _gram_structs(candidate), counts))
+def pair_counts(rows: DataFrame, row: str, reference: str, candidate: str) -> DataFrame:
+    """Per row: token counts, clipped n-gram hits and token counts by kind of both sides, from one pass of counts."""
+    grams = gram_counts(rows, row, reference, candidate)
+    total = lambda keep, value: F.coalesce(F.sum(F.when(F.col("a").isNotNull() & keep, value)), F.lit(0))
+    single, clipped = F.col("n") == 1, F.least("in_r", "in_c")
+    wanted = [total(F.col("n") == n, clipped).alias(f"hit{n}") for n in range(1, MAX_N + 1)]
+    for side in "rc":
+        wanted.append(total(single, F.col(f"in_{side}")).alias(f"{side}_len"))
+        wanted += [total(single & test(F.col("a")), F.col(f"in_{side}")).alias(f"{side}_{kind}") for kind, test in KINDS.items()]
+    counted = grams.groupBy(row).agg(*wanted)
+    return counted.withColumns({f"{s}_names": F.expr(f"{s}_len - {s}_numbers - {s}_strings - {s}_ops") for s in "rc"})
 
 
-def bleu_score(reference: str, candidate: str) -> Column:
-    """BLEU-4 of two token-array columns, one reference, equal weights, no smoothing.
+def bleu_score() -> Column:
+    """BLEU-4 from the columns of :func:`pair_counts`: one reference, equal weights, no smoothing.
 
     No unigram hit scores 0; other zero counts use the smallest double.
     """
     logs = " + ".join(
-        f"ln(CASE WHEN h.hit{n} > 0 THEN h.hit{n} / greatest(1, h.c_len - {n - 1}) ELSE {SMALLEST!r}D END) / {MAX_N}"
+        f"ln(CASE WHEN hit{n} > 0 THEN hit{n} / greatest(1, c_len - {n - 1}) ELSE {SMALLEST!r}D END) / {MAX_N}"
         for n in range(1, MAX_N + 1)
     )
-    penalty = "CASE WHEN h.c_len > h.r_len THEN 1D ELSE exp(1 - try_divide(h.r_len, h.c_len)) END"
-    score = f"CASE WHEN h.hit1 > 0 THEN {penalty} * exp({logs}) ELSE 0D END"
-    return F.expr(_let("h", ngram_hits(reference, candidate), score))
+    penalty = "CASE WHEN c_len > r_len THEN 1D ELSE exp(1 - try_divide(r_len, c_len)) END"
+    return F.expr(f"CASE WHEN hit1 > 0 THEN {penalty} * exp({logs}) ELSE 0D END")
 
 
 def mean_present(values: list[Column]) -> Column:
@@ -102,14 +83,14 @@ def structure_score(a: str, b: str) -> Column:
     return mean_present([jaccard(F.col(f"{a}.{s}"), F.col(f"{b}.{s}")) for s in ("functions", "classes", "controls")])
 
 
-def token_match(a: str, b: str) -> Column:
-    """Mean min/max ratio over the token kinds present; profile structs carry the counts."""
+def token_match() -> Column:
+    """Mean min/max ratio over the token kinds present, from the columns of :func:`pair_counts`."""
     ratios = []
-    for kind in ("n_names", "n_strings", "n_numbers", "n_ops"):
-        left, right = F.col(f"{a}.{kind}"), F.col(f"{b}.{kind}")
+    for kind in ("names", "strings", "numbers", "ops"):
+        left, right = F.col(f"r_{kind}"), F.col(f"c_{kind}")
         ratios.append(F.when(F.greatest(left, right) > 0, F.least(left, right) / F.greatest(left, right)))
-    none_a, none_b = F.col(f"{a}.n_total") == 0, F.col(f"{b}.n_total") == 0
-    return F.when(none_a & none_b, 1.0).when(none_a | none_b, 0.0).otherwise(mean_present(ratios))
+    none_r, none_c = F.col("r_len") == 0, F.col("c_len") == 0
+    return F.when(none_r & none_c, 1.0).when(none_r | none_c, 0.0).otherwise(mean_present(ratios))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -137,23 +118,23 @@ def overall_score() -> Column:
 def evaluate_pairs(pairs: DataFrame, profile, embeddings: tuple[str, str] | None = None) -> DataFrame:
     """Detail table of a run: all scores of every ``(original, back)`` row.
 
-    Rows without an original or a back-translation are skipped. ``profile`` maps a
-    text column to the profile struct of :mod:`backglot.functions.profiles`. Scores
-    that cannot be computed count as zero. One pass over the pairs, without a shuffle.
-    Both texts should be stored columns (a table from ``hand_over``): the null filter
-    would otherwise be pushed into the plan that makes them and run it twice, and Spark
-    cannot feed a Python profile from an expression with lambdas.
+    Rows without an original or a back-translation are skipped. ``profile`` maps a text column to the profile struct of
+    :mod:`backglot.functions.profiles`. Scores that cannot be computed count as zero. The pairs are dealt by a row number
+    once and stored so; n-grams are counted, and their scores joined, where the pairs lie.
     """
     whole = pairs.where(F.col("original").isNotNull() & F.col("back").isNotNull())
-    profiled = whole.select("*", profile(F.col("original")).alias("po"), profile(F.col("back")).alias("pb"))
+    stored = hand_over_keyed(whole.withColumn("_row", F.monotonically_increasing_id()), "_row")
+    tokens = stored.select("_row", text_tokens(F.col("original")).alias("r"), text_tokens(F.col("back")).alias("c"))
+    counts = pair_counts(tokens, "_row", "r", "c").select("_row", bleu_score().alias("bleu_score"), token_match().alias("token_match"))
+    profiled = stored.select("*", profile(F.col("original")).alias("po"), profile(F.col("back")).alias("pb"))
     semantic = cosine(F.col(embeddings[0]), F.col(embeddings[1])) if embeddings else F.lit(0.0)
     kept = [c for c in whole.columns if not embeddings or c not in embeddings]
-    scored = profiled.select(
+    scored = profiled.join(counts.hint("shuffle_hash"), "_row").select(
         *kept,
-        F.coalesce(bleu_score("po.tokens", "pb.tokens"), F.lit(0.0)).alias("bleu_score"),
+        F.coalesce("bleu_score", F.lit(0.0)).alias("bleu_score"),
         F.coalesce(F.col("pb.valid"), F.lit(False)).alias("syntax_valid"),
         F.coalesce(structure_score("po", "pb"), F.lit(0.0)).alias("structure_score"),
         semantic.alias("semantic_score"),
-        F.coalesce(token_match("po", "pb"), F.lit(0.0)).alias("token_match"),
+        F.coalesce("token_match", F.lit(0.0)).alias("token_match"),
     )
     return scored.withColumn("overall_score", overall_score())

@@ -17,7 +17,7 @@ from backglot.functions.profiles import (
 from backglot.operators import metrics, reports
 from backglot.plans import inputs
 from backglot.plans import sqltext as q
-from backglot.sources.tables import hand_over, read_summaries, scan, write_json
+from backglot.sources.tables import hand_over, hand_over_keyed, read_summaries, scan, write_json
 from backglot.session import scratch_path
 
 
@@ -27,10 +27,14 @@ def metric_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bleu4(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = inputs.pairs(spark, folder).select(
-        "doc_id", text_tokens(F.col("original")).alias("ref"), text_tokens(F.col("back")).alias("cand")
-    )
-    return pairs.select("doc_id", F.round(metrics.bleu_score("ref", "cand"), 6).alias("bleu_score"))
+    return _pair_counts(spark, folder).select("doc_id", F.round(metrics.bleu_score(), 6).alias("bleu_score"))
+
+
+def _pair_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents are unique, so their ids serve as row numbers."""
+    pairs = hand_over_keyed(inputs.pairs(spark, folder), "doc_id")
+    tokens = pairs.select("doc_id", text_tokens(F.col("original")).alias("ref"), text_tokens(F.col("back")).alias("cand"))
+    return metrics.pair_counts(tokens, "doc_id", "ref", "cand")
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,8 +48,7 @@ def structure_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_mix(spark: SparkSession, folder: str) -> DataFrame:
-    score = F.round(metrics.token_match("a", "b"), 6)
-    return _profiles(spark, folder).select("doc_id", score.alias("token_match"))
+    return _pair_counts(spark, folder).select("doc_id", F.round(metrics.token_match(), 6).alias("token_match"))
 
 
 def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,24 +72,24 @@ def _details(spark: SparkSession, folder: str) -> DataFrame:
 SCORES = ["bleu_score", "structure_score", "semantic_score", "token_match", "overall_score"]
 
 
-def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
+def rounded(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 def evaluation_details(spark: SparkSession, folder: str) -> DataFrame:
     rows = _details(spark, folder).select("doc_id", "original", "translated", "back", "syntax_valid", *SCORES)
-    return _rounded(rows, SCORES)
+    return rounded(rows, SCORES)
 
 
 def overall_score(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(_details(spark, folder).select("doc_id", "overall_score"), ["overall_score"])
+    return rounded(_details(spark, folder).select("doc_id", "overall_score"), ["overall_score"])
 
 
 SUMMARY = ["bleu_score", "syntax_valid_rate", "structure_score", "semantic_score", "token_match", "overall_score"]
 
 
 def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(reports.evaluation_summary(_details(spark, folder), ["lang", "source"]), SUMMARY)
+    return rounded(reports.evaluation_summary(_details(spark, folder), ["lang", "source"]), SUMMARY)
 
 
 def summary_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,7 +97,7 @@ def summary_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     summary = reports.evaluation_summary(_details(spark, folder), ["lang"]).drop("lang")
     path = scratch_path(spark, "summaries")
     write_json(summary.withColumn("chunk_size", F.lit(0).cast("long")), path)
-    return _rounded(read_summaries(spark, path).select("chunk_size", "total_translations", *SUMMARY), SUMMARY)
+    return rounded(read_summaries(spark, path).select("chunk_size", "total_translations", *SUMMARY), SUMMARY)
 
 
 def validity_rate(spark: SparkSession, folder: str) -> DataFrame:
@@ -148,8 +151,9 @@ _RATIOS = [
 TOKEN_MATCH = f"""CASE WHEN len(a.tokens) = 0 AND len(b.tokens) = 0 THEN 1.0
   WHEN len(a.tokens) = 0 OR len(b.tokens) = 0 THEN 0.0 ELSE {_mean_sql(_RATIOS)} END"""
 
+PROFILE_COLUMNS = f"{_profile_sql('original')} AS a, {_profile_sql('back')} AS b"
 PROFILES = f"""{inputs.pairs_sql()},
-profiles AS (SELECT *, {_profile_sql("original")} AS a, {_profile_sql("back")} AS b FROM pairs),
+profiles AS (SELECT *, {PROFILE_COLUMNS} FROM pairs),
 counted AS (SELECT *, a.tokens AS ref, b.tokens AS cand, {KINDS} FROM profiles)"""
 COSINE = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 DETAILS = f"""{PROFILES}, {q.bleu("m", "counted", "doc_id", "ref", "cand")},

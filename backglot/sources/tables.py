@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backglot.operators.runs import run_key
-from backglot.session import scratch_path
+from backglot.session import scratch_path, shuffle_partitions
 
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"'}
 STATS_SCHEMA = (
@@ -74,14 +74,50 @@ def hand_over(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    _delete_on_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def hand_over_keyed(df: DataFrame, key: str) -> DataFrame:
+    """Like :func:`hand_over`, dealt and bucketed by ``key``: aggregations and joins by the key read it without a shuffle."""
+    spark = df.sparkSession
+    path, buckets = scratch_path(spark, "keyed"), shuffle_partitions(spark)
+    name = os.path.basename(path).replace("-", "_")
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    _delete_on_exit(spark, path)
+    return spark.table(name)
+
+
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """The scratch tables of one query: each is dropped once the tables made from it are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        _delete_on_exit(self.spark, path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(stored)] = (stored, path)
+        return stored
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of :meth:`keep`; nothing may read them, or a DataFrame made from them, any more."""
+        for table in tables:
+            _, path = self.tables.pop(id(table))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored_stats(spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """Corpus statistics from the JSON at ``path``; computed and written there when absent or ``force``d."""
-    if force or not exists(spark, path):
+    """Corpus statistics from the JSON at ``path``; computed and written there when no write finished or ``force``d."""
+    if force or not exists(spark, os.path.join(path, "_SUCCESS")):
         write_json(compute(), path)
     return spark.read.schema(STATS_SCHEMA).json(path)
 
