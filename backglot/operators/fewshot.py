@@ -61,25 +61,27 @@ def example_text(number: Column, original: Column, translated: Column) -> Column
     )
 
 
-def example_sets(examples: DataFrame, grid: DataFrame, reverse: bool = False) -> DataFrame:
-    """``(chunk_size, n_examples, examples_text)``: the first ``chunk_size`` examples in order.
+def example_sets(examples: DataFrame, grid: DataFrame, reverse: bool = False, run: list[str] = ()) -> DataFrame:
+    """``(run, chunk_size, n_examples, examples_text)``: the first ``chunk_size`` examples in order, of every run.
 
     ``examples`` needs ``pos, src, tgt``; only the prefix that the grid's largest size can use is read into the sets.
-    ``reverse`` turns the examples round, for the way back.
+    ``reverse`` turns the examples round, for the way back. ``run`` names the columns of ``examples`` and ``grid`` that
+    tell runs apart.
     """
-    sizes = grid.select("chunk_size").distinct()
-    known = sorted(r[0] for r in sizes.limit(MOST_SIZES + 1).collect())
+    sizes = grid.select(*run, "chunk_size").distinct()
+    known = sorted(r[0] for r in sizes.select("chunk_size").distinct().limit(MOST_SIZES + 1).collect())
     if len(known) > MOST_SIZES:
         raise ValueError(f"more than {MOST_SIZES} few-shot sizes in one sweep")
     if reverse:
-        examples = examples.select("pos", F.col("tgt").alias("src"), F.col("src").alias("tgt"))
+        examples = examples.select(*run, "pos", F.col("tgt").alias("src"), F.col("src").alias("tgt"))
     using = F.filter(F.array(*[F.lit(k).cast("long") for k in known]), lambda k: k > F.col("pos"))
     placed = examples.where(F.col("pos") < max(known, default=0))
     texts = (
-        placed.select(F.explode(using).alias("chunk_size"), "pos", "src", "tgt")
-        .groupBy("chunk_size")
+        placed.select(*run, F.explode(using).alias("chunk_size"), "pos", "src", "tgt")
+        .groupBy(*run, "chunk_size")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "src", "tgt"))).alias("chosen"))
         .select(
+            *run,
             "chunk_size",
             F.size("chosen").cast("long").alias("n_examples"),
             F.array_join(
@@ -87,14 +89,29 @@ def example_sets(examples: DataFrame, grid: DataFrame, reverse: bool = False) ->
             ).alias("examples_text"),
         )
     )
-    return sizes.join(texts, "chunk_size", "left").fillna({"n_examples": 0, "examples_text": ""})
+    return sizes.join(texts, [*run, "chunk_size"], "left").fillna({"n_examples": 0, "examples_text": ""})
 
 
-def with_sets(sized: DataFrame, sets: DataFrame) -> DataFrame:
+def set_digests(sets: DataFrame) -> DataFrame:
+    """Sets with the digest of their text instead of the text: hashed once per set, not once per prompt."""
+    return sets.withColumn("set_digest", F.sha2("examples_text", 256)).drop("examples_text")
+
+
+def with_sets(sized: DataFrame, sets: DataFrame, run: list[str] = ()) -> DataFrame:
     """Rows with ``chunk_size`` beside their example set; broadcast if the measured texts allow it."""
     sets = F.broadcast(sets) if fits_broadcast(sets) else sets
     absent = F.raise_error(F.concat(F.lit("no example set of size "), F.col("chunk_size").cast("string")))
-    return sized.join(sets, "chunk_size", "left").withColumn("examples_text", F.coalesce("examples_text", absent.cast("string")))
+    held = "examples_text" if "examples_text" in sets.columns else "set_digest"
+    return sized.join(sets, [*run, "chunk_size"], "left").withColumn(held, F.coalesce(held, absent.cast("string")))
+
+
+def request_digest(set_digest: Column, code_digest: Column, model: Column, source: str, target: str) -> Column:
+    """Identity of a request: digest of the example set's digest, the code's digest, the model and the direction.
+
+    Two requests are one exactly when their set, code, model and direction are; no prompt is built for it. A null code
+    has a null digest and no request.
+    """
+    return F.sha2(F.concat(set_digest, F.lit(" "), code_digest, F.lit(" "), model, F.lit(f" {source}>{target}")), 256)
 
 
 def prompt_text(examples: Column, code: Column, source: str, target: str) -> Column:
@@ -114,25 +131,26 @@ def system_text(source: str, target: str) -> str:
 def build_prompts(
     rows: DataFrame, code: str, sizes: Column, sets: DataFrame, source: str, target: str
 ) -> DataFrame:
-    """Every row once per few-shot size, with ``prompt`` and its digest ``request_id``.
+    """Every row once per few-shot size, with its ``prompt``.
 
     ``sizes`` is the array of the run's few-shot sizes. A size without a set is an error.
     """
     sized = rows.withColumn("chunk_size", F.explode(sizes))
     prompt = prompt_text(F.col("examples_text"), F.col(code), source, target)
-    return (
-        with_sets(sized, sets)
-        .withColumn("prompt", prompt)
-        .withColumn("request_id", F.sha2("prompt", 256))
-        .drop("examples_text")
-    )
+    return with_sets(sized, sets).withColumn("prompt", prompt).drop("examples_text")
+
+
+def with_requests(sized: DataFrame, sets: DataFrame, source: str, target: str, run: list[str] = ()) -> DataFrame:
+    """``sized`` rows with ``chunk_size``, ``model`` and ``code_digest``, with their ``request_id``."""
+    placed = with_sets(sized, set_digests(sets), run)
+    digest = request_digest(F.col("set_digest"), F.col("code_digest"), F.col("model"), source, target)
+    return placed.withColumn("request_id", digest).drop("set_digest", "n_examples", "code_digest")
 
 
 def request_manifest(prompts: DataFrame, key: str) -> DataFrame:
     """Distinct requests with their number of callers.
 
-    Only the digest and keys are aggregated: the prompt text stays out of the shuffle
-    and is rebuilt from the first caller's row when the request is sent.
+    Only digests and keys are aggregated: the prompt is built from the first caller's row when the request is sent.
     """
     return prompts.groupBy("model", "chunk_size", "request_id").agg(
         F.count(F.lit(1)).alias("callers"), F.min(key).alias("first_caller")

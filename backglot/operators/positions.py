@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from backglot.session import shuffle_partitions
 
+RANGE_ROWS = 1_000_000  # positions of one stored range
 
 def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     """Number rows 0..n-1 in the order of a unique numeric ``key``.
@@ -42,6 +43,31 @@ def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
     )
 
 
+def store_positions(df: DataFrame, key: str, path: str, range_rows: int = RANGE_ROWS) -> None:
+    """Number the rows of ``df`` once and store them by ranges of positions, with the row count beside them."""
+    placed = with_position(df, key).withColumn("pos_range", F.floor(F.col("pos") / range_rows).cast("long"))
+    placed.hint("rebalance", "pos_range").write.mode("overwrite").partitionBy("pos_range").parquet(path)
+    spark = df.sparkSession
+    empty = spark.createDataFrame([], placed.schema)
+    stored = spark.read.schema(empty.schema).parquet(path)
+    total = stored.agg(F.count(F.lit(1)).alias("total"), F.lit(range_rows).cast("long").alias("range_rows"))
+    empty.write.mode("overwrite").parquet(f"{path}-schema")
+    total.write.mode("overwrite").parquet(f"{path}-total")
+
+
+def stored_slice(spark: SparkSession, path: str, start: int, size: int) -> DataFrame:
+    """Rows ``[start, start+size)`` of a stored table, from 0 if they run over the end; ``row`` counts within the slice.
+
+    The bounds are literals on the partition column, so only the files of the slice are listed and read.
+    """
+    total, range_rows = spark.read.parquet(f"{path}-total").first()
+    begin = 0 if start + size > total else start
+    rows = spark.read.schema(spark.read.parquet(f"{path}-schema").schema).parquet(path)
+    inside = rows.where(F.col("pos_range").between(begin // range_rows, max(begin + size - 1, 0) // range_rows))
+    inside = inside.where((F.col("pos") >= begin) & (F.col("pos") < begin + size))
+    return inside.withColumn("row", F.col("pos") - begin).drop("pos_range")
+
+
 def row_total(df: DataFrame) -> Column:
     """Row count as a scalar subquery column."""
     return df.agg(F.count(F.lit(1))).scalar()

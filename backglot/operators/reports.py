@@ -28,6 +28,29 @@ def evaluation_summary(details: DataFrame, run_key: list[str]) -> DataFrame:
     )
 
 
+SCORES = ["bleu_score", "syntax_valid", "structure_score", "semantic_score", "token_match", "overall_score"]
+
+
+def summary_state(details: DataFrame, run_key: list[str]) -> DataFrame:
+    """``(run_key, rows, sum_*)``: the summary of a batch of details as a state that adds up with others."""
+    sums = [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"sum_{c}") for c in SCORES]
+    return details.groupBy(*run_key).agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+def merge_states(states: DataFrame, run_key: list[str]) -> DataFrame:
+    """One state per run of any number of them; the details are not read again."""
+    sums = [F.sum(f"sum_{c}").alias(f"sum_{c}") for c in SCORES]
+    return states.groupBy(*run_key).agg(F.sum("rows").alias("rows"), *sums)
+
+
+def finish_summary(states: DataFrame, run_key: list[str]) -> DataFrame:
+    """The columns of :func:`evaluation_summary` from one state per run."""
+    mean = lambda c: F.col(f"sum_{c}") / F.col("rows")
+    validity = (mean("syntax_valid") * 100).alias("syntax_valid_rate")
+    means = [validity if c == "syntax_valid" else mean(c).alias(c) for c in SCORES]
+    return states.select(*run_key, F.col("rows").alias("total_translations"), *means)
+
+
 def find_headers(cells: DataFrame, report: str, pos: str, array: str) -> DataFrame:
     """``(report, header_pos, header)``: the first row holding both marker labels.
 

@@ -35,7 +35,9 @@ def write_cells(df: DataFrame, path: str, keys: list[str], cells: DataFrame | No
     holds a large share of all rows.
     """
     df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
-    (df if cells is None else cells).select(*keys).distinct().write.mode("append").parquet(f"{path}-cells")
+    if cells is None:  # from the partitions, which hold nothing but cells that are done
+        cells = df.sparkSession.read.schema(df.schema).parquet(path)
+    cells.select(*keys).distinct().write.mode("append").parquet(f"{path}-cells")
 
 
 def skip_done(grid: DataFrame, path: str, keys: list[str], force: bool = False) -> DataFrame:

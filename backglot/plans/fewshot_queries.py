@@ -48,7 +48,11 @@ def build_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def request_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return fs.request_manifest(_prompts(spark, folder), "doc_id")
+    rows = inputs.documents(spark, folder, "source").select(
+        "doc_id", F.col("source").alias("model"), F.sha2("text", 256).alias("code_digest")
+    )
+    sized = rows.withColumn("chunk_size", F.explode(_sizes(spark, folder)))
+    return fs.request_manifest(fs.with_requests(sized, _sets(spark, folder), ENGLISH, SPANISH), "doc_id")
 
 
 def clean_response_any(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,40 +82,41 @@ def response_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("conv_id", "turn", "translated", "status")
 
 
-def _answers(spark: SparkSession, folder: str, prompts: DataFrame) -> DataFrame:
+def answers(spark: SparkSession, folder: str, requests: DataFrame) -> DataFrame:
     """Responses table, one answer per model and request: the first caller's conversation; each model has its own turns."""
-    manifest = fs.request_manifest(prompts, "doc_id")
+    manifest = fs.request_manifest(requests, "doc_id")
     asked = manifest.select(
         "model",
         "request_id",
         F.col("first_caller").alias("conv_id"),
         (F.floor(F.col("chunk_size") / 5) + (F.col("model") == MODELS[1]).cast("long")).alias("turn"),
     )
-    answers = inputs.responses(spark, folder).select("conv_id", "turn", "response")
-    return hand_over(asked.join(answers, ["conv_id", "turn"]).select("model", "request_id", "response"), "responses")
+    given = inputs.responses(spark, folder).select("conv_id", "turn", "response")
+    return hand_over(asked.join(given, ["conv_id", "turn"]).select("model", "request_id", "response"), "responses")
 
 
 def _stage2(spark: SparkSession, folder: str, rows: DataFrame, code: str, source: str, target: str) -> DataFrame:
-    """``rows`` are sized already: one per document and few-shot size; all models are asked, or each row's own ``model``.
+    """``rows`` are sized already: one per document, few-shot size and model, with ``code_digest``.
 
     The way back turns the examples round.
     """
-    prompts = fs.with_sets(rows, _sets(spark, folder, source == SPANISH)).withColumn(
-        "request_id", F.sha2(fs.prompt_text(F.col("examples_text"), F.col(code), source, target), 256)
-    )
-    prompts = prompts.drop("examples_text", "n_examples")
-    if "model" not in rows.columns:
-        prompts = prompts.withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
-    answers = _answers(spark, folder, prompts)
-    return fs.join_responses(prompts, code, answers, ["model", "request_id"], ["doc_id", "chunk_size", "model"], True)
+    requests = fs.with_requests(rows, _sets(spark, folder, source == SPANISH), source, target)
+    given = answers(spark, folder, requests)
+    return fs.join_responses(requests, code, given, ["model", "request_id"], ["doc_id", "chunk_size", "model"], True)
 
 
 def _forward(spark: SparkSession, folder: str) -> DataFrame:
     docs = inputs.documents(spark, folder)
     words = inputs.words_for(spark, folder)
     partial = substitute_documents(docs, "doc_id", "text", "partial", words, inputs.FORWARD)
-    sized = partial.withColumn("chunk_size", F.explode(_sizes(spark, folder)))
-    return _stage2(spark, folder, sized, "partial", ENGLISH, SPANISH)
+    return _stage2(spark, folder, _asked(partial, _sizes(spark, folder)), "partial", ENGLISH, SPANISH)
+
+
+def _asked(partial: DataFrame, sizes) -> DataFrame:
+    """Every row once per few-shot size and model; its text is hashed before."""
+    hashed = hand_over(partial.withColumn("code_digest", F.sha2("partial", 256)), "partial")
+    sized = hashed.withColumn("chunk_size", F.explode(sizes))
+    return sized.withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
 
 
 def stage2_forward(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,7 +128,8 @@ def stage2_backward(spark: SparkSession, folder: str) -> DataFrame:
     forward = hand_over(_forward(spark, folder).select("doc_id", "chunk_size", "model", "translated"), "stage2")
     words = inputs.words_for(spark, folder)
     partial = substitute_documents(forward, "doc_id", "translated", "partial_back", words, inputs.BACKWARD)
-    done = _stage2(spark, folder, partial.drop("translated"), "partial_back", SPANISH, ENGLISH)
+    partial = hand_over(partial.drop("translated").withColumn("code_digest", F.sha2("partial_back", 256)), "partial")
+    done = _stage2(spark, folder, partial, "partial_back", SPANISH, ENGLISH)
     return done.select("doc_id", "chunk_size", "model", "partial_back", F.col("translated").alias("back"), "status")
 
 
@@ -149,6 +155,11 @@ def prompt_sql(code: str, source: str, target: str) -> str:
     return f"{q.text(head)} || examples_text || {q.text(middle)} || {code} || {q.text(tail)}"
 
 
+def request_sql(code: str, model: str, source: str, target: str) -> str:
+    """Twin of the composed request digest."""
+    return f"sha256(sha256(examples_text) || ' ' || sha256({code}) || ' ' || {model} || ' {source}>{target}')"
+
+
 def cleaned_sql(bare: bool) -> str:
     t = q.strip("response")
     tagged = q.strip(f"split_part(split_part({t}, '```python', 2), '```', 1)")
@@ -159,7 +170,7 @@ def cleaned_sql(bare: bool) -> str:
 def stage2_sql(name: str, rows: str, code: str, source: str, target: str, sets: str = "sets") -> str:
     """``rows`` have a model column: the model that is asked."""
     return f"""{name}_prompts AS (
-  SELECT r.*, sha256({prompt_sql("r." + code, source, target)}) AS request_id FROM {rows} r JOIN {sets} USING (chunk_size)),
+  SELECT r.*, {request_sql("r." + code, "r.model", source, target)} AS request_id FROM {rows} r JOIN {sets} USING (chunk_size)),
 {name}_asked AS (SELECT model, request_id, min(doc_id) AS conv_id,
   min(chunk_size) // 5 + CAST(model = 'second' AS INT) AS turn FROM {name}_prompts GROUP BY model, request_id),
 {name}_done AS (
@@ -194,7 +205,7 @@ SELECT DISTINCT source, lang, stage1_samples, least(k, stage1_samples) AS chunk_
     "request_manifest": (
         request_manifest,
         f"""WITH {SETS}, prompts AS (
-  SELECT source AS model, doc_id, chunk_size, sha256({prompt_sql("text", ENGLISH, SPANISH)}) AS request_id FROM documents, sets)
+  SELECT source AS model, doc_id, chunk_size, {request_sql("text", "source", ENGLISH, SPANISH)} AS request_id FROM documents, sets)
 SELECT model, chunk_size, request_id, count(*) AS callers, min(doc_id) AS first_caller FROM prompts GROUP BY ALL""",
     ),
     "clean_response_any": (

@@ -116,7 +116,7 @@ def test_bleu_against_brute_force(spark):
     rows = [(i, rng.choices("abc", k=rng.randint(0, 40)), rng.choices("abcd", k=rng.randint(0, 40))) for i in range(150)]
     rows += [(1000, list("abcd"), list("abcd")), (1001, ["a"], ["a"]), (1002, [], []), (1003, ["a"] * 500, ["a"] * 300)]
     df = spark.createDataFrame(rows, "id int, r array<string>, c array<string>")
-    got = {x["id"]: x["b"] for x in df.select("id", metrics.bleu_score("r", "c").alias("b")).collect()}
+    got = {x["id"]: x["b"] for x in metrics.pair_counts(df, "id", "r", "c").select("id", metrics.bleu_score().alias("b")).collect()}
     for i, r, c in rows:
         assert got[i] == pytest.approx(python_bleu(r, c) if c else 0.0, abs=1e-12)
     assert got[1000] == pytest.approx(1.0)
