@@ -40,11 +40,16 @@ def _escape(symbol: str) -> str:
 
 @dataclass(frozen=True)
 class Lexer:
-    """Token pattern for a language pair."""
+    """Token pattern for a language pair.
+
+    With ``keep_gaps`` characters outside both scripts are pieces of their own, blanks before a comment and comments stay
+    as they are, and the pieces of any document joined are the document.
+    """
 
     source: str
     target: str
     operators: tuple[str, ...] = tuple(STAGE0_OPERATORS)
+    keep_gaps: bool = False
 
     @property
     def word_class(self) -> str:
@@ -54,10 +59,10 @@ class Lexer:
     def pattern(self) -> str:
         ops = "|".join(_escape(o) for o in self.operators)
         singles = "".join("\\" + c for c in SINGLE_OPERATORS)
-        return rf"(?Us){_SPACE}+|{_STRING}|{ops}|[{singles}]|{self.word_class}+"
+        return rf"(?Us){_SPACE}+|{_STRING}|{ops}|[{singles}]|{self.word_class}+" + ("|." if self.keep_gaps else "")
 
     def tokens(self, code: Column) -> Column:
-        """All tokens of one line of code; other characters are dropped."""
+        """All tokens of one line of code; other characters are dropped, or pieces of their own."""
         return F.regexp_extract_all(code, F.lit(self.pattern), F.lit(0))
 
     def is_word(self, piece: Column) -> Column:
@@ -75,8 +80,8 @@ class Lexer:
         )
 
 
-def stage0_lexer(source: str, target: str) -> Lexer:
-    return Lexer(source, target)
+def stage0_lexer(source: str, target: str, keep_gaps: bool = False) -> Lexer:
+    return Lexer(source, target, keep_gaps=keep_gaps)
 
 
 def stage1_lexer(source: str, target: str) -> Lexer:
@@ -119,6 +124,15 @@ def tidy_comment(comment: Column) -> Column:
 
 
 def _line_pieces(line: Column, lexer: Lexer, tidy: bool) -> Column:
+    def whole_body(rest: Column) -> Column:
+        comment = F.when(F.contains(rest, F.lit("#")), comment_part(rest)).otherwise(F.lit(""))
+        parts = lambda c: F.concat(
+            F.array(indent(line)),
+            lexer.tokens(F.substring(rest, F.lit(1), F.length(rest) - F.length(c))),
+            F.when(c == "", no_strings()).otherwise(F.array(c)),
+        )
+        return bind(comment, parts)
+
     def split_body(rest: Column) -> Column:
         comment = comment_part(rest)
         tail = F.when(
@@ -131,11 +145,11 @@ def _line_pieces(line: Column, lexer: Lexer, tidy: bool) -> Column:
         code = F.when(F.contains(rest, F.lit("#")), code_part(rest)).otherwise(rest)
         return F.concat(F.array(indent(line)), lexer.tokens(code), tail)
 
-    return F.when(is_blank(line), F.array(line)).otherwise(bind(body(line), split_body))
+    return F.when(is_blank(line), F.array(line)).otherwise(bind(body(line), whole_body if lexer.keep_gaps else split_body))
 
 
 def document_pieces(document: Column, lexer: Lexer, tidy_comments: bool = True) -> Column:
-    """Flat piece array of a whole document; joining it gives the normalised document."""
+    """Flat piece array of a whole document; joined: the normalised document, with ``keep_gaps`` the document itself."""
 
     def with_break(line: Column, index: Column) -> Column:
         pieces = _line_pieces(line, lexer, tidy_comments)

@@ -14,8 +14,8 @@ SMALLEST = 2.2250738585072014e-308  # fixed value: smallest normal double stands
 KINDS = {"numbers": is_number, "strings": is_string, "ops": is_operator}
 
 
-def gram_counts(rows: DataFrame, row: str, reference: str, candidate: str) -> DataFrame:
-    """``(row, n, a, b, c, d, in_r, in_c)``: how often every n-gram (n = 1..4) stands in both token arrays of a row.
+def gram_counts(rows: DataFrame, row: str, reference: str, candidate: str, most: int = MAX_N) -> DataFrame:
+    """``(row, n, a, b, c, d, in_r, in_c)``: how often every n-gram (n = 1..``most``) stands in both token arrays of a row.
 
     The n-grams of a row are exploded and counted by hash where the row is: if ``rows`` is partitioned by ``row`` (a table of
     :func:`backglot.sources.tables.hand_over_keyed`), no n-gram is shuffled, and counts that outgrow memory spill. A row
@@ -29,7 +29,7 @@ def gram_counts(rows: DataFrame, row: str, reference: str, candidate: str) -> Da
     placed = both.select(row, "r", F.inline_outer(F.arrays_zip(*shifted)).alias("a", "b", "c", "d"))
     names, none = ["a", "b", "c", "d"], F.lit(None).cast("string")
     gram = lambda n: F.struct(F.lit(n).alias("n"), *[(F.col(x) if i < n else none).alias(x) for i, x in enumerate(names)])
-    grams = placed.select(row, "r", F.inline(F.array(*[gram(n) for n in range(1, MAX_N + 1)])))
+    grams = placed.select(row, "r", F.inline(F.array(*[gram(n) for n in range(1, most + 1)])))
     whole = (F.col("n") == 1) | F.when(F.col("n") == 2, F.col("b").isNotNull()).when(F.col("n") == 3, F.col("c").isNotNull()).otherwise(
         F.col("d").isNotNull()
     )
@@ -37,12 +37,12 @@ def gram_counts(rows: DataFrame, row: str, reference: str, candidate: str) -> Da
     return counted.agg(F.sum("r").alias("in_r"), F.sum(1 - F.col("r")).alias("in_c"))
 
 
-def pair_counts(rows: DataFrame, row: str, reference: str, candidate: str) -> DataFrame:
+def pair_counts(rows: DataFrame, row: str, reference: str, candidate: str, most: int = MAX_N) -> DataFrame:
     """Per row: token counts, clipped n-gram hits and token counts by kind of both sides, from one pass of counts."""
-    grams = gram_counts(rows, row, reference, candidate)
+    grams = gram_counts(rows, row, reference, candidate, most)
     total = lambda keep, value: F.coalesce(F.sum(F.when(F.col("a").isNotNull() & keep, value)), F.lit(0))
     single, clipped = F.col("n") == 1, F.least("in_r", "in_c")
-    wanted = [total(F.col("n") == n, clipped).alias(f"hit{n}") for n in range(1, MAX_N + 1)]
+    wanted = [total(F.col("n") == n, clipped).alias(f"hit{n}") for n in range(1, most + 1)]
     for side in "rc":
         wanted.append(total(single, F.col(f"in_{side}")).alias(f"{side}_len"))
         wanted += [total(single & test(F.col("a")), F.col(f"in_{side}")).alias(f"{side}_{kind}") for kind, test in KINDS.items()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from backglot.functions.text import clean_number, display_name
 from backglot.operators.lookup import lookup_join
+from backglot.sources.tables import hand_over
 
 METRICS = ["bleu_score", "syntax_valid_rate", "structure_score", "semantic_score", "token_match", "overall"]
 # Report headers of the metrics, in the order above, and their display labels.
@@ -84,25 +85,23 @@ def apply_header(cells: DataFrame, report: str, pos: str, array: str, names: lis
 def forward_fill(df: DataFrame, group: str, pos: str, column: str, block_rows: int = 100_000) -> DataFrame:
     """Fill nulls of ``column`` with the last value above, per group in ``pos`` order.
 
-    A plain window would put a whole group into one task. Rows are filled inside
-    blocks of ``pos`` first; a block whose first rows are null takes the last value of
-    an earlier block from a table with one row per block.
+    A plain window would put a whole group into one task. Rows are filled inside blocks of ``pos`` in one pass and stored;
+    the last row of each block carries its value on to the blocks after it, whose first rows are null. The source is read
+    once, and what is carried is one row per block.
     """
     blocked = df.withColumn("_block", F.floor(F.col(pos) / block_rows))
-    inside = Window.partitionBy(group, "_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max_by(column, F.when(F.col(column).isNotNull(), F.col(pos)))
-    carry = (
-        blocked.groupBy(group, "_block")
-        .agg(last.alias("_last"))
-        .select(group, "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
-    )
-    filled = blocked.withColumn(column, F.last(column, ignorenulls=True).over(inside))
-    return (
-        filled.join(carry, [group, "_block"], "left")
-        .withColumn(column, F.coalesce(column, "_carry"))
-        .drop("_block", "_carry")
+    ordered = Window.partitionBy(group, "_block").orderBy(pos)
+    above = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    filled = blocked.withColumns(
+        {column: F.last(column, ignorenulls=True).over(above), "_end": F.lead(F.lit(True)).over(ordered).isNull()}
     )
+    stored = hand_over(filled, "filled")
+    earlier = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = stored.where("_end").select(F.col(group).alias("_group"), F.col("_block").alias("_at"), F.col(column).alias("_last"))
+    carry = ends.select("_group", "_at", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    same = F.col(group).eqNullSafe(F.col("_group")) & F.col("_block").eqNullSafe(F.col("_at"))
+    joined = stored.join(carry, same, "left").withColumn(column, F.coalesce(column, "_carry"))
+    return joined.drop("_block", "_end", "_group", "_at", "_carry")
 
 
 def _metric_columns() -> list[Column]:

@@ -93,11 +93,18 @@ def usable_entries(dictionary: DataFrame, lexer: Lexer) -> DataFrame:
     return dictionary.where(lexer.is_only_word(F.col("word"))).select("word", "repl")
 
 
-def _own_lookup(entries: Column) -> Column:
-    """A row's own entries as an array of small maps by hash, so a look-up scans about sixteen of them."""
-    count = F.greatest(F.lit(1), F.floor(F.size(entries) / 16).cast("int"))
-    bucket = lambda b: F.map_from_entries(F.filter(entries, lambda e: F.pmod(F.hash(e["word"]), count) == b))
-    return F.transform(F.sequence(F.lit(0), count - 1), bucket)
+def _own_lookups(asked: DataFrame, table: DataFrame) -> DataFrame:
+    """``(_row, _maps)``: the entries that a row's words ask for, as small maps by hash.
+
+    ``asked`` holds ``(_row, buckets, word)``, and one row without a word for each bucket, so that every bucket is there.
+    Buckets are made by grouping, so a row of n distinct words costs n, and each map holds about sixteen of them.
+    """
+    found = lookup_join(asked, table, "word", ["_row"])
+    hit = F.when(F.col("repl").isNotNull(), F.struct("word", "repl"))
+    dealt = found.repartition("_row")  # both groupings need no other shuffle
+    maps = dealt.groupBy("_row", "bucket").agg(F.map_from_entries(F.collect_list(hit)).alias("entries"))
+    listed = maps.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("bucket", F.map_entries("entries").alias("e")))).alias("b"))
+    return listed.select("_row", F.transform("b", lambda x: F.map_from_entries(x["e"])).alias("_maps"))
 
 
 def rewrite_pieces(
@@ -139,13 +146,16 @@ def rewrite_pieces(
 
     numbered = hand_over(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     wanted = F.transform(pieces, piece_key) if piece_key else pieces
-    asked = numbered.select("_row", F.explode(F.array_distinct(F.filter(wanted, lambda w: w.isNotNull()))).alias("word"))
-    found = lookup_join(hand_over(asked, "asked"), table, "word", ["_row"]).where(F.col("repl").isNotNull())
-    entries = found.groupBy("_row").agg(F.collect_list(F.struct("word", "repl")).alias("_entries"))
-    joined = numbered.join(entries, "_row", "left")
-    own = F.coalesce("_entries", F.array().cast("array<struct<word:string,repl:string>>"))
-    look = lambda maps: lambda word: F.element_at(F.get(maps, F.pmod(F.hash(word), F.size(maps))), word)
-    return joined.withColumn(out, bind(_own_lookup(own), lambda maps: rewrite(look(maps)))).drop("_row", "_entries")
+    words = numbered.select("_row", F.array_distinct(F.filter(wanted, lambda w: w.isNotNull())).alias("words"))
+    words = words.withColumn("buckets", F.greatest(F.lit(1), F.floor(F.size("words") / 16).cast("int")))
+    own = F.transform("words", lambda w: F.struct(F.pmod(F.hash(w), F.col("buckets")).alias("bucket"), w.alias("word")))
+    every = F.transform(
+        F.sequence(F.lit(0), F.col("buckets") - 1), lambda b: F.struct(b.alias("bucket"), F.lit(None).cast("string").alias("word"))
+    )
+    asked = words.select("_row", F.inline(F.concat(own, every)))
+    joined = numbered.join(_own_lookups(hand_over(asked, "asked"), table), "_row", "left")
+    look = lambda word: F.element_at(F.get("_maps", F.pmod(F.hash(word), F.size("_maps"))), word)
+    return joined.withColumn(out, rewrite(look)).drop("_row", "_maps")
 
 
 def substitute_documents(

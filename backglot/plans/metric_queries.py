@@ -30,11 +30,11 @@ def bleu4(spark: SparkSession, folder: str) -> DataFrame:
     return _pair_counts(spark, folder).select("doc_id", F.round(metrics.bleu_score(), 6).alias("bleu_score"))
 
 
-def _pair_counts(spark: SparkSession, folder: str) -> DataFrame:
+def _pair_counts(spark: SparkSession, folder: str, most: int = metrics.MAX_N) -> DataFrame:
     """The documents are unique, so their ids serve as row numbers."""
     pairs = hand_over_keyed(inputs.pairs(spark, folder), "doc_id")
     tokens = pairs.select("doc_id", text_tokens(F.col("original")).alias("ref"), text_tokens(F.col("back")).alias("cand"))
-    return metrics.pair_counts(tokens, "doc_id", "ref", "cand")
+    return metrics.pair_counts(tokens, "doc_id", "ref", "cand", most)
 
 
 def _profiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +48,7 @@ def structure_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def token_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return _pair_counts(spark, folder).select("doc_id", F.round(metrics.token_match(), 6).alias("token_match"))
+    return _pair_counts(spark, folder, 1).select("doc_id", F.round(metrics.token_match(), 6).alias("token_match"))
 
 
 def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,10 +93,11 @@ def evaluation_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summary_json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Summaries of every language written to one JSON folder and read back."""
-    summary = reports.evaluation_summary(_details(spark, folder), ["lang"]).drop("lang")
+    """Summaries of every language and few-shot size written to one JSON folder and read back."""
+    details = _details(spark, folder).withColumn("chunk_size", F.col("doc_id") % 5 * 5)
+    summary = reports.evaluation_summary(details, ["lang", "chunk_size"]).drop("lang")
     path = scratch_path(spark, "summaries")
-    write_json(summary.withColumn("chunk_size", F.lit(0).cast("long")), path)
+    write_json(summary, path)
     return rounded(read_summaries(spark, path).select("chunk_size", "total_translations", *SUMMARY), SUMMARY)
 
 
@@ -207,7 +208,8 @@ FROM embeddings e JOIN embeddings f ON f.vec_id = e.vec_id + 1""",
     ),
     "summary_json_roundtrip": (
         summary_json_roundtrip,
-        f"""WITH {DETAILS} SELECT 0 AS chunk_size, count(*) AS total_translations, {SUMMARY_SQL} FROM details GROUP BY lang""",
+        f"""WITH {DETAILS} SELECT doc_id % 5 * 5 AS chunk_size, count(*) AS total_translations, {SUMMARY_SQL}
+FROM details GROUP BY lang, doc_id % 5 * 5""",
     ),
     "validity_rate": (
         validity_rate,

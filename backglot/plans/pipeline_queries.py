@@ -83,6 +83,13 @@ def _summaries(run: StagedRun) -> DataFrame:
     return rounded(roundtrip.all_summaries(run.table("state1"), run.table("state2")), SUMMARY)
 
 
+def stage2_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """Stage 2 of every run, model and few-shot size over the run's held-out rows only."""
+    run = staged(spark, folder, scratch_path(spark, "run"))
+    run.run(until="stage2")
+    return run.table("stage2").select(*CELL, "row", "doc_id", "partial", "translated", "status")
+
+
 def pipeline_summary(spark: SparkSession, folder: str) -> DataFrame:
     run = staged(spark, folder, scratch_path(spark, "run"))
     run.run()
@@ -171,7 +178,7 @@ def _done_sql(name: str, rows: str, code: str, source: str, target: str, sets: s
     number = "CAST(CAST('0x' || substr(request_id, {}, 8) AS UBIGINT) AS BIGINT)"
     return f"""{name}_asked AS (SELECT r.*, {request_sql("r." + code, "r.model", source, target)} AS request_id
   FROM {rows} r JOIN {sets} USING (start_index, chunk_size)),
-{name}_done AS (SELECT a.*, coalesce({cleaned_sql(True)}, {code}) AS translated FROM {name}_asked a LEFT JOIN responses r
+{name}_done AS (SELECT a.*, response, coalesce({cleaned_sql(True)}, {code}) AS translated FROM {name}_asked a LEFT JOIN responses r
   ON r.conv_id = {number.format(1)} % (SELECT count(DISTINCT conv_id) FROM conversations) AND r.turn = {number.format(9)} % 4)"""
 
 
@@ -199,6 +206,11 @@ rows AS (SELECT start_index * 1000000 + pos - b AS doc_id, start_index, pos - b
   FROM slices JOIN placed ON pos >= b AND pos < b + size),
 {q.substituted("s", "rows", "text", SOURCE, TARGET)}
 SELECT start_index, row, real_id AS doc_id, out AS partial FROM rows JOIN s_doc USING (doc_id)""",
+    ),
+    "stage2_holdout": (
+        stage2_holdout,
+        f"""WITH {_pipeline_sql()} SELECT {", ".join(CELL)}, row, real_id AS doc_id, partial, translated,
+  CASE WHEN response IS NULL THEN 'missing' ELSE 'answered' END AS status FROM f2_done""",
     ),
     "pipeline_summary": (pipeline_summary, SUMMARY_TWIN),
     "pipeline_resume": (pipeline_resume, SUMMARY_TWIN),

@@ -10,7 +10,7 @@ from backglot.operators import reports, runs
 from backglot.operators.reports import LABELS, METRICS, REPORT_HEADERS
 from backglot.plans import inputs
 from backglot.session import scratch_path
-from backglot.sources.tables import scan
+from backglot.sources.tables import read_report_cells, scan, write_report_cells
 
 MODELS = ["Baseline", *(f"src{i}" for i in range(20))]  # of the SQL twin
 BLOCK = 200  # rows per fill block: small, so the test tables span many blocks
@@ -36,6 +36,14 @@ def model_report(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(reports.model_report(inputs.report_cells(spark, folder), "report", "pos", "cells", BLOCK), METRICS)
 
 
+def model_report_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same report from sheets in files: header and row order are found in the files."""
+    path = scratch_path(spark, "sheets")
+    write_report_cells(inputs.report_cells(spark, folder), "report", "pos", "cells", len(inputs.HEADER), path)
+    cells = read_report_cells(spark, f"{path}/report=*")
+    cells = cells.withColumn("report", F.regexp_extract("report", "report=([^/]+)", 1))
+    rows = reports.model_report(cells, "report", "pos", "cells", BLOCK)
+    return _rounded(rows.drop("pos"), METRICS)
 
 
 def _baseline(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,6 +154,12 @@ FROM sheets WHERE list_contains(cells, 'Language') AND list_contains(cells, 'No
         model_report,
         f"""WITH {inputs.REPORT}, {BODY} SELECT report AS model, pos, filled AS language, CAST(cells[2] AS DOUBLE) AS examples,
   {", ".join(f"round({CELL_NUMBER.format(f'cells[{i}]')}, 6) AS {m}" for i, m in enumerate(METRICS, 3))}
+FROM body WHERE cells[2] IS NOT NULL""",
+    ),
+    "model_report_files": (
+        model_report_files,
+        f"""WITH {inputs.REPORT}, {BODY} SELECT report AS model, filled AS language, CAST(cells[2] AS DOUBLE) AS examples,
+  {", ".join(f"round({CELL_NUMBER.format(f'cells[{i}]')}, 6) AS {m}" for i, m in enumerate(METRICS, 3))}
 FROM body WHERE cells[2] IS NOT NULL""",
     ),
     "baseline_report": (baseline_report, f"WITH {BASELINE_SQL} SELECT model, language, examples, {R6} FROM baseline"),

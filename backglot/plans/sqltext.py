@@ -29,14 +29,15 @@ def word_class(source: str, target: str) -> str:
     return rf"[{WORD_CHARS[source]}{WORD_CHARS[target]}\d_]"
 
 
-def token_pattern(source: str, target: str, stage: int) -> str:
+def token_pattern(source: str, target: str, stage: int, gaps: bool = False) -> str:
     def quote(symbol: str) -> str:
         return "".join("\\" + c for c in symbol)
 
     ops = "|".join(quote(o) for o in (STAGE1_OPERATORS if stage else STAGE0_OPERATORS))
     singles = "".join("\\" + c for c in SINGLE_OPERATORS)
     strings = r""""(?:\\.|[^"])*"?|'(?:\\.|[^'])*'?"""
-    return text(rf"[\s\x1c-\x1f]+|{strings}|{ops}|[{singles}]|{word_class(source, target)}+")
+    rest = "|(?s:.)" if gaps else ""
+    return text(rf"[\s\x1c-\x1f]+|{strings}|{ops}|[{singles}]|{word_class(source, target)}+{rest}")
 
 
 def is_word(x: str, source: str, target: str) -> str:

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backglot.functions.languages import LANGUAGES, MISSING_KEY, is_target_language, is_translatable, with_language
-from backglot.functions.lexing import comment_part
+from backglot.functions.lexing import comment_part, stage0_lexer
 from backglot.operators import memory as mem
 from backglot.operators import substitution as sub
 from backglot.operators.lookup import lookup_join
+from backglot.operators.memory_store import MemoryStore
 from backglot.plans import inputs
 from backglot.plans import sqltext as q
 from backglot.plans.inputs import SOURCE, TARGET
+from backglot.session import scratch_path, shuffle_partitions
 from backglot.sources.tables import scan
 
 PARTS = q.parts("d", "documents", "doc_id", "text")
@@ -69,6 +73,39 @@ def partial_forward(spark: SparkSession, folder: str) -> DataFrame:
     return sub.substitute_documents(docs, "doc_id", "text", "partial", words, inputs.FORWARD).drop("text")
 
 
+def gap_substitute(spark: SparkSession, folder: str) -> DataFrame:
+    """Substitution that keeps every character outside the words; ``same``: what an empty dictionary gives is the text."""
+    lexer = stage0_lexer(SOURCE, TARGET, keep_gaps=True)
+    docs = inputs.documents(spark, folder)
+    words = inputs.words_for(spark, folder)
+    done = sub.substitute_documents(docs, "doc_id", "text", "partial", words, lexer)
+    nothing = spark.createDataFrame([], "word string, repl string")
+    done = sub.substitute_documents(done, "doc_id", "text", "kept", nothing, lexer)
+    return done.select("doc_id", "partial", (F.col("kept") == F.col("text")).alias("same"))
+
+
+def stored_memory(spark: SparkSession, folder: str) -> MemoryStore:
+    """The test memory in two versions: the second answers phrases up to "m" anew and adds capitals of the keywords."""
+    path = scratch_path(spark, "memory")
+    store = MemoryStore(spark, path, os.path.basename(path).replace("-", "_"), shuffle_partitions(spark))
+    first = inputs.memory(spark, folder)
+    store.upsert(first, 1)
+    again = first.where((F.col("src") == SOURCE) & (F.col("tgt") == TARGET) & (F.left("phrase", F.lit(1)) <= "m"))
+    store.upsert(again.withColumn("translation", F.concat(F.lit("new-"), "translation")), 2)
+    store.upsert(again.withColumns({"phrase": F.upper("phrase"), "translation": F.col("phrase")}), 2)
+    return store
+
+
+def memory_demand_stored(spark: SparkSession, folder: str) -> DataFrame:
+    return stored_memory(spark, folder).demand(inputs.documents(spark, folder), "doc_id", "text", inputs.STAGE1_FORWARD)
+
+
+def memory_lookup_stored(spark: SparkSession, folder: str) -> DataFrame:
+    phrases = mem.phrase_table(inputs.documents(spark, folder), "doc_id", "text", inputs.STAGE1_FORWARD)
+    found = stored_memory(spark, folder).lookup(phrases, inputs.STAGE1_FORWARD, ["doc_id", "ln", "p"])
+    return found.select("doc_id", "ln", "p", "word", "translated")
+
+
 def partial_backward(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.pairs(spark, folder).select("doc_id", "translated", F.col("back").alias("partial_back"))
 
@@ -177,7 +214,35 @@ FORWARD1 = f"""{inputs.DICT}, {inputs.MEMORY}, {q.substituted("s", "documents",
 BACKWARD1 = f"""{FORWARD1}, {inputs.BACK_MEMORY}, {q.parts("b", "d_doc", "doc_id", "out")},
   {translated_sql("b", TARGET, SOURCE, "back_memory")}"""
 
+GROWN = f"""{inputs.MEMORY}, grown AS (
+  SELECT phrase, CASE WHEN phrase[1] <= 'm' THEN 'new-' ELSE '' END || translation AS translation FROM memory
+  UNION ALL SELECT upper(phrase), phrase FROM memory WHERE phrase[1] <= 'm')"""
+GAPS = f"""{inputs.DICT}, {PARTS},
+g_tok AS (SELECT doc_id, ln, unnest(t) AS value, generate_subscripts(t, 1) AS p FROM (
+  SELECT doc_id, ln, regexp_extract_all(left(body, length(body) - length(comment)), {q.token_pattern(SOURCE, TARGET, 0, True)}) AS t
+  FROM d_parts WHERE NOT blank)),
+g_code AS (SELECT doc_id, ln, string_agg(coalesce(repl, value), '' ORDER BY p) AS new_code FROM g_tok
+  LEFT JOIN dict ON value = word AND {q.is_word('value', SOURCE, TARGET)} GROUP BY doc_id, ln)"""
+
 QUERIES = {
+    "gap_substitute": (
+        gap_substitute,
+        f"""WITH {GAPS} SELECT doc_id, string_agg(CASE WHEN blank THEN line ELSE indent || coalesce(new_code, '') || comment END,
+  chr(10) ORDER BY ln) AS partial, true AS same FROM d_parts LEFT JOIN g_code USING (doc_id, ln) GROUP BY doc_id""",
+    ),
+    "memory_demand_stored": (
+        memory_demand_stored,
+        f"""WITH {GROWN}, {PARTS}, {TOKENS1}, {PHRASES}
+SELECT '{SOURCE}' AS src, '{TARGET}' AS tgt, phrase, count(*) AS uses FROM (
+  SELECT phrase FROM phrases UNION ALL SELECT {comment_phrase_sql(TARGET)} FROM d_parts WHERE comment <> '')
+WHERE phrase IS NOT NULL AND phrase NOT IN (SELECT phrase FROM grown) GROUP BY phrase""",
+    ),
+    "memory_lookup_stored": (
+        memory_lookup_stored,
+        f"""WITH {GROWN}, {PARTS}, {TOKENS1}, {PHRASES}
+SELECT doc_id, ln, p, word, coalesce(replace(translation, '-', '_'), phrase) AS translated
+FROM phrases LEFT JOIN grown USING (phrase)""",
+    ),
     "keyword_dict": (keyword_dict, f"WITH {inputs.DICT} SELECT word, repl FROM dict"),
     "lang_lookup": (
         lang_lookup,

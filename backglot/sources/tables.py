@@ -47,6 +47,13 @@ def read_report_cells(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_report_cells(cells: DataFrame, report: str, pos: str, array: str, width: int, path: str) -> None:
+    """Report sheets as header-less CSV files, one folder and file per report, rows in ``pos`` order."""
+    named = [F.get(array, F.lit(i)).alias(f"c{i}") for i in range(width)]
+    dealt = cells.repartition(report).sortWithinPartitions(report, pos).select(report, *named)
+    dealt.write.partitionBy(report).options(header=False, escape='"', quoteAll=True, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def read_summaries(spark: SparkSession, paths: str | list[str], multi_line: bool = False) -> DataFrame:
     """Evaluation summaries with the run key taken from the file name.
 
