@@ -121,6 +121,11 @@ class Scratch:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete all tables but ``kept``: those that the query's result reads."""
+        names = {id(table) for table in kept}
+        self.drop(*[table for table, _ in list(self.tables.values()) if id(table) not in names])
+
 
 def stored_stats(spark: SparkSession, path: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """Corpus statistics from the JSON at ``path``; computed and written there when no write finished or ``force``d."""
