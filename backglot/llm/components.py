@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from backglot.sources.tables import hand_over
+from backglot.sources.tables import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,17 +29,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("u != v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every id in ``edges(u, v)``: the least id it can reach.
 
     Links to itself are no links; a table without links gives no rows. The rounds needed grow with the logarithm
     of the longest chain; not reaching the end within ``rounds`` is an error.
     """
-    current = hand_over(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    scratch = scratch or Scratch(edges.sparkSession)
+    first = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    current = scratch.keep(first, "links")
     state_of = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0))).first()
     check = state_of(current)
     for _ in range(rounds):
-        current = hand_over(_star(_star(current, True), False), "links")
+        last, current = current, scratch.keep(_star(_star(current, True), False), "links")
+        scratch.drop(last)
         state = state_of(current)
         if state == check:
             ids = current.select("u").union(current.select("v")).distinct()

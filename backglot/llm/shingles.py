@@ -11,7 +11,7 @@ import pyarrow as pa
 from backglot.llm.arrow import mix, ragged, text_bytes, text_slices, window_hashes, word_hashes, word_spans
 
 _U = np.uint64
-_ROWS = 1 << 14  # shingles hashed at once
+_ROWS = 1 << 10  # shingles hashed at once
 
 
 def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -51,64 +51,113 @@ class Minwise:
             np.minimum(best, part.min(axis=0), out=best)
         return best
 
-    def paths(self, mins: np.ndarray) -> np.ndarray:
-        """Node of every tree at every depth: a hash of the tree and the minwise tokens on the way."""
-        tokens = mix(mins.reshape(self.trees, self.depth))
-        node = mix(np.arange(self.trees, dtype=_U) + _U(1))
-        out = np.empty((self.trees, self.depth), _U)
-        for d in range(self.depth):
-            node = mix(node * _U(0x9E3779B97F4A7C15) + tokens[:, d])
-            out[:, d] = node
-        return out
+    def roots(self, mins: np.ndarray) -> np.ndarray:
+        """Node of every tree at its first depth: a hash of the tree and its first minwise token."""
+        tokens = mix(mins.reshape(self.trees, self.depth)[:, 0])
+        return mix(mix(np.arange(self.trees, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15) + tokens)
+
+    def sketch(self, mins: np.ndarray) -> bytes:
+        """One byte of each minwise token, tree by tree: for branching on, and to estimate the similarity."""
+        return (mix(mins ^ _U(0xD1B54A32D192ED03)) & _U(255)).astype(np.uint8).tobytes()
 
-    def sketch(self, mins: np.ndarray) -> np.ndarray:
-        """Two bits of each of the first 64 minwise hashes, as two words."""
-        tokens = mix(mins[:64] ^ _U(0xD1B54A32D192ED03))
-        place = _U(1) << np.arange(len(tokens), dtype=_U)
-        return np.array([((tokens & _U(1)) * place).sum(), (((tokens >> _U(1)) & _U(1)) * place).sum()], _U)
+
+def set_digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch], n: int, minwise: Minwise) -> Iterator[pa.RecordBatch]:
-    """``(doc, n_shingles, digest, s0, s1, trees)`` of ``(doc, text)``; no trees without shingles."""
+    """``(doc, n_shingles, digest, sketch, nodes)`` of ``(doc, text)``; no nodes without shingles."""
     for batch in batches:
         for part in text_slices(batch):
-            sizes, digests, sketches, paths, counts = [], [], [], [], []
+            sizes, digests, sketches, roots, counts = [], [], [], [], []
             for values in shingle_sets(part.column("text"), n):
                 sizes.append(len(values))
-                digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
+                digests.append(set_digest(values))
                 counts.append(minwise.trees if len(values) else 0)
                 mins = minwise.mins(values)
                 sketches.append(minwise.sketch(mins))
                 if len(values):
-                    paths.append(minwise.paths(mins))
-            flat = np.concatenate(paths).ravel() if paths else np.zeros(0, _U)
-            inner = ragged(flat.view(np.int64), np.full(len(flat) // minwise.depth, minwise.depth), pa.int64())
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            both = np.array(sketches).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array(both[:, 0]),
-                    pa.array(both[:, 1]),
-                    pa.ListArray.from_arrays(pa.array(offsets), inner),
-                ],
-                ["doc", "n_shingles", "digest", "s0", "s1", "trees"],
-            )
+                    roots.append(minwise.roots(mins))
+            flat = np.concatenate(roots) if roots else np.zeros(0, _U)
+            nodes = ragged(flat.view(np.int64), np.array(counts, np.int64), pa.int64())
+            columns = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), nodes]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), *columns], ["doc", "n_shingles", "digest", "sketch", "nodes"])
 
 
 def set_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """``(doc, shingles binary)`` of ``(doc, text)``: the sorted set as 64-bit numbers."""
+    """``(doc, digest, shingles)`` of ``(doc, text)``: the sorted set as 64-bit numbers, and its digest."""
     for batch in batches:
         for part in text_slices(batch):
-            sets = [s.tobytes() for s in shingle_sets(part.column("text"), n)]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(sets, pa.binary())], ["doc", "shingles"])
+            sets = shingle_sets(part.column("text"), n)
+            columns = [pa.array([set_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), *columns], ["doc", "digest", "shingles"])
+
 
+def search_links(size: int, near, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest of ``size`` members: breadth first, each member meets only those not reached yet.
+
+    ``near(i, others)`` tells which of ``others`` are near member ``i``. Members with one ``label`` are connected already.
+    """
+    links, rest = [], np.ones(size, bool)
+    for start in range(size):
+        if not rest[start]:
+            continue
+        queue = [start]
+        if label is None:
+            rest[start] = False
+        else:
+            queue = np.flatnonzero(rest & (label == label[start])).tolist()
+            rest[queue] = False
+        while queue:
+            i = queue.pop()
+            others = np.flatnonzero(rest)
+            if not len(others):
+                return links
+            met = others[near(i, others)]
+            if label is not None and len(met):
+                met = met[np.unique(label[met], return_index=True)[1]]
+                links += [(i, j) for j in met.tolist()]
+                met = np.flatnonzero(rest & np.isin(label, label[met]))
+            else:
+                links += [(i, j) for j in met.tolist()]
+            rest[met] = False
+            queue += met.tolist()
+    return links
+
+
+def alike_by_sketch(sketches: list[bytes], sizes: np.ndarray, percent: int):
+    """``near`` for :func:`search_links`: a pair at the threshold fails it once in some hundred million times."""
+    codes = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+    want = percent / 100
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
+        same = (codes[others] == codes[i]).sum(axis=1) / codes.shape[1]
+        spread = np.sqrt(want * (1 - want) / np.minimum(large, codes.shape[1]))  # a small set has few tokens to draw from
+        return (small * 100 >= large * percent) & (same >= want - 6 * spread)
+
+    return near
+
+
+def alike_by_set(sets: list[bytes], percent: int):
+    """``near`` for :func:`search_links`, exact on whole sets."""
+    values = [np.frombuffer(s, _U) for s in sets]
+    sizes = np.array([len(v) for v in values], np.int64)
+    kinds, ids = np.unique(np.concatenate(values), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(sizes)])
+
+    def near(i: int, others: np.ndarray) -> np.ndarray:
+        fits = np.minimum(sizes[i], sizes[others]) * 100 >= np.maximum(sizes[i], sizes[others]) * percent
+        out = np.zeros(len(others), bool)
+        if fits.any():
+            mark = np.zeros(len(kinds), np.int32)
+            mark[ids[at[i] : at[i + 1]]] = 1
+            chosen = others[fits]
+            if len(chosen) > 4:
+                common = np.add.reduceat(mark[ids], at[:-1])[chosen].astype(np.int64)
+            else:
+                common = np.array([mark[ids[at[j] : at[j + 1]]].sum() for j in chosen.tolist()], np.int64)
+            out[fits] = 100 * common >= percent * (sizes[i] + sizes[chosen] - common)
+        return out
 
-def shared_size(a: bytes, b: bytes) -> tuple[int, int]:
-    """Sizes of the intersection and the union of two stored sets."""
-    x, y = np.frombuffer(a, _U), np.frombuffer(b, _U)
-    both = np.sort(np.concatenate([x, y]), kind="stable")
-    common = int((both[1:] == both[:-1]).sum())
-    return common, len(x) + len(y) - common
+    return near
