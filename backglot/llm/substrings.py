@@ -11,8 +11,9 @@ be quadratic, so shards are dealt by content:
 * Distinct segments with the least document of each (pre-aggregated, so a passage of a third of all documents is one
   row) are dealt by anchor. A task streams its shards: it builds the suffix automaton of a shard's segments, where every
   state knows the least document it occurs in, and runs each segment through it for its matching statistics.
-* An anchor of very many segments (a common phrase among ever different words) would make a large shard. The windows of
-  its distinct segments are compared by a 128-bit digest instead, one pre-aggregated minimum for all.
+* An anchor whose distinct segments hold very many words (a common phrase among ever different words) would make a large
+  shard. Their windows are compared by a 128-bit digest instead, one pre-aggregated minimum for all. A long run of one
+  anchor is cut into overlapping segments. So a task's automaton is bounded in words.
 
 The result, the least document of each window of a distinct segment, meets the documents' segments by digest, and the
 documents' texts move once, to meet the windows to cut. Words are compared by 48 of their hash's bits beside the anchor.
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 
 from backglot.llm.arrow import mix, ragged, text_bytes, text_slices, window_hashes, word_hashes, word_spans
 from backglot.session import ship_package
-from backglot.sources.tables import hand_over, scan
+from backglot.sources.tables import Scratch, scan
 
 GRAM = 4  # words of an anchor
 BITMAP_BITS = 28  # 2**28 bits: 32 MB, whatever the corpus
-CROWDED = 8_000  # distinct segments of an anchor above which their windows are compared by digest
+CROWDED = 160_000  # words of an anchor's distinct segments above which their windows are compared by digest
+SEGMENT_WINDOWS = 4_096  # windows of a segment at most; a longer run of one anchor is several segments
 SHARD_WORDS = 4_000  # words of a task's current automaton
 WORD_BYTES = 6
 _U = np.uint64
@@ -62,13 +64,18 @@ def _anchored(column: pa.Array, span: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _runs(anchors: np.ndarray, valid: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of every run of windows of one text with one anchor."""
+    """First and last window of every run of windows of one text with one anchor, long runs in pieces.
+
+    Pieces of a run share ``span - 1`` words, so each window lies in one.
+    """
     place = np.flatnonzero(valid)
     if not len(place):
         return place, place
     new = np.ones(len(place), bool)
     new[1:] = (anchors[place[1:]] != anchors[place[:-1]]) | (text[place[1:]] != text[place[:-1]]) | (np.diff(place) > 1)
     heads = np.flatnonzero(new)
+    since = np.arange(len(place)) - np.repeat(heads, np.diff(np.append(heads, len(place))))
+    heads = np.flatnonzero(since % SEGMENT_WINDOWS == 0)
     tails = np.append(heads[1:], len(place)) - 1
     return place[heads], place[tails]
 
@@ -276,7 +283,7 @@ def version(text: str) -> Column:
     return F.unhex(F.md5(text)).alias("version")
 
 
-def repeated_windows(docs: DataFrame, span: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, span: int, scratch: Scratch) -> DataFrame:
     """``(doc, version, begins)`` of ``(doc, text)``: first words of windows that a smaller document holds.
 
     Several rows per document and text; ``version`` tells the texts of one document apart.
@@ -292,20 +299,23 @@ def repeated_windows(docs: DataFrame, span: int) -> DataFrame:
 
     segments = docs.mapInArrow(lambda b: segment_batches(b, span, shared), f"doc {kind}, key bigint, words binary")
     distinct = segments.groupBy("key", "words").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
-    distinct = hand_over(distinct, "segments")
-    crowded = hand_over(distinct.groupBy("key").count().where(F.col("count") > CROWDED).select("key"), "crowded")
+    distinct = scratch.keep(distinct, "segments")
+    words = F.sum(F.octet_length("words") / WORD_BYTES).alias("total")
+    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n"), words).where((F.col("n") > 1) & (F.col("total") > CROWDED))
+    crowded = scratch.keep(crowded.select("key"), "crowded")
     dealt = distinct.join(crowded, "key", "left_anti").select("key", "words", "least", "most").repartition("key").sortWithinPartitions("key")
     matched = dealt.mapInArrow(lambda b: match_batches(b, span), f"d1 bigint, d2 bigint, leasts array<{kind}>")
 
     schema = f"d1 bigint, d2 bigint, at int, w1 bigint, w2 bigint, least {kind}, most {kind}"
-    windows = hand_over(distinct.join(crowded, "key", "left_semi").select("words", "least", "most").mapInArrow(lambda b: window_batches(b, span), schema), "windows")
-    least = hand_over(windows.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("most").alias("m")).where("first < m").drop("m"), "least")
+    windows = scratch.keep(distinct.join(crowded, "key", "left_semi").select("words", "least", "most").mapInArrow(lambda b: window_batches(b, span), schema), "windows")
+    least = scratch.keep(windows.groupBy("w1", "w2").agg(F.min("least").alias("first"), F.max("most").alias("m")).where("first < m").drop("m"), "least")
     met = windows.join(least, ["w1", "w2"]).where("first < most")
     placed = met.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "first")).alias("found"))
     # Windows that no smaller document holds are null.
     at = lambda i: F.filter("found", lambda f: f["at"] == i)
     full = F.transform(F.sequence(F.lit(0), F.array_max(F.col("found.at"))), lambda i: F.get(at(i), F.lit(0))["first"])
-    results = hand_over(matched.union(placed.select("d1", "d2", full.alias("leasts"))), "leasts")
+    results = scratch.keep(matched.union(placed.select("d1", "d2", full.alias("leasts"))), "leasts")
+    scratch.drop(distinct, crowded, windows, least)
 
     schema = f"doc {kind}, version binary, start int, d1 bigint, d2 bigint"
     places = docs.select("doc", version("text"), "text").mapInArrow(lambda b: place_batches(b, span, shared), schema)
@@ -333,8 +343,10 @@ def cut_batches(batches: Iterator[pa.RecordBatch], span: int, build) -> Iterator
 
 def _with_windows(docs: DataFrame, span: int, key: str, text: str) -> DataFrame:
     """``docs`` as ``(row, text, begins)``, each row beside the windows that it loses."""
-    found = repeated_windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), span)
-    found = hand_over(found.groupBy("doc", "version").agg(F.flatten(F.collect_list("begins")).alias("begins")), "begins")
+    scratch = Scratch(docs.sparkSession)
+    found = repeated_windows(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), span, scratch)
+    found = scratch.keep(found.groupBy("doc", "version").agg(F.flatten(F.collect_list("begins")).alias("begins")), "begins")
+    scratch.drop_others(found)
     rows = docs.select(F.col(key).alias("doc"), F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row"), F.col(text).alias("text"))
     return rows.select("*", version("text")).join(found, ["doc", "version"], "left").select("row", "text", "begins")
 

@@ -40,7 +40,7 @@ def test_query(spark):
     assert compare(spark, connect(SF), "op6", query, sql, SF) == ""
 
 
-@pytest.mark.parametrize("crowded", [8000, 3])
+@pytest.mark.parametrize("crowded", [160_000, 30])
 def test_overlapping_passages(spark, monkeypatch, crowded):
     monkeypatch.setattr(substrings, "CROWDED", crowded)
     draw = random.Random(9)
@@ -59,7 +59,7 @@ def test_overlapping_passages(spark, monkeypatch, crowded):
 
 def test_odd_inputs(spark):
     text = " ".join(f"w{i}" for i in range(20))
-    rows = [(1, None), (2, ""), (3, " \n"), (5, text), (4, "pre " + text), (5, text), (None, text), (6, "x " * 20_000), (7, text.replace(" ", "\t"))]
+    rows = [(1, None), (2, ""), (3, " \n"), (5, text), (4, "pre " + text), (5, text), (None, text), (6, "x " * 20_000), (8, "x " * 15_000), (7, text.replace(" ", "\t"))]
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, start int, doc string")
     same(substrings.removal_digests(docs).collect(), brute(rows, 13))
     cut = substrings.remove_repeats(docs).collect()
@@ -76,3 +76,28 @@ def test_one_id_on_different_texts(spark):
     same(substrings.removal_digests(docs).collect(), brute(rows, 13))
     cut = substrings.remove_repeats(docs).collect()
     assert sorted(r["text"] for r in cut if r["doc_id"] == 2) == ["", clean, clean, "short one"]
+
+
+def test_long_runs_are_cut_into_segments_that_still_match(spark, monkeypatch):
+    """Passages of one anchor that start at different words: their pieces differ, their windows do not."""
+    unit = [f"u{i}" for i in range(7)]
+    long_ = (unit * 1_500)[: 9_000]
+    rows = [(1, " ".join(long_)), (2, " ".join(["pre"] + long_[3:8_000] + ["post"])), (3, "other " + " ".join(f"z{i}" for i in range(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(substrings.removal_digests(docs).collect(), brute(rows, 13))
+
+
+def test_only_what_the_result_reads_is_left(spark):
+    import os
+
+    from backglot.llm import neardup
+    from backglot.session import scratch_path
+
+    base = os.path.dirname(scratch_path(spark, "x"))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (7 + i % 3)}" for j in range(40))) for i in range(30)], "doc_id long, text string")
+    for run in (lambda: substrings.removal_digests(docs), lambda: neardup.near_duplicates(docs)):
+        before = set(os.listdir(base))
+        result = run()
+        left = set(os.listdir(base)) - before
+        assert len(left) == 1, left
+        assert result.count() == 30
