@@ -4,14 +4,16 @@
   then vertices move to the part that holds most of their neighbours, as long as it has room.
 * A small network learns the part from the vector. It indexes every row (its most probable part) and routes every
   query to its most probable parts; how many is calibrated for the target recall on rows held out of the fitting.
-* Parts are stored in blocks of bounded size, so a part, or one vector with a third of all rows, spreads over many
-  tasks. A query meets the blocks of its parts, each task ranks one block, and the best of all blocks are merged.
+* A task holds a bounded group of a part's queries with their best rows so far and streams the part's rows past them, so it
+  hands on ``k`` rows per query and part. A part of very many rows (or one vector with a third of all rows) is streamed in
+  stretches of ``STRETCH_ROWS`` by several tasks. The best of all parts are merged.
+* A query probes on beyond the calibrated number of parts until they hold ``k`` rows of other ids.
 
 Scores are exactly rounded double-precision inner products of the original vectors, so equal vectors tie exactly.
 
 Defined results for odd inputs: vectors that are null, zero, of another length than most of the sample, or hold null or
-non-finite components, and rows without an id, take no part; rows of a query's own id are no candidates; repeated rows
-of another id are candidates each; without queries or candidates the result is empty; other columns are not read.
+non-finite components, and rows without an id, take no part; of several rows of a query id the least vector asks; rows of a
+query's own id are no candidates; repeated rows of another id are candidates each; without queries or candidates the result is empty; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ from backglot.sources.tables import hand_over, scan
 
 SAMPLE_ROWS = 8_000  # vectors that parts and network are fitted on
 HELD_SHARE = 5  # one drawn vector of so many is held out of the fitting, for the calibration
-PART_ROWS = 4_000  # rows a part should have
-PARTS = 64  # most parts that the sample can support
+PART_SAMPLE = 500  # vectors of the sample that a part is learned from
+GROUP_QUERIES = 2_048  # queries that a task holds
+STRETCH_ROWS = 1 << 18  # rows that a task streams past them
 BLOCK_ROWS = 2_048  # rows ranked at once
-TARGET_RECALL = 0.97  # of the calibration
+TARGET_RECALL = 0.95  # of the calibration
 NEIGHBOURS = 10
 
 
@@ -141,37 +144,53 @@ def calibrate(router: Router, x: np.ndarray, k: int, target: float) -> int:
     return int(np.searchsorted(share, target) + 1)
 
 
-def fit_router(x: np.ndarray, n: int, k: int) -> tuple[Router, int]:
-    """Router for ``n`` rows, and the parts to probe: fitted on most of the drawn rows, calibrated on the others alone."""
+def fit_router(x: np.ndarray, k: int) -> tuple[Router, int, int]:
+    """Router, number of parts, and parts to probe: fitted on most of the drawn rows, calibrated on the others alone."""
     held = np.arange(len(x)) % HELD_SHARE == HELD_SHARE - 1
     own = x[~held]
-    parts = int(min(PARTS, max(1, round(n / PART_ROWS)), len(own)))
+    parts = max(1, len(own) // PART_SAMPLE)
     router = Router(own, balanced_parts(own, nearest(own, NEIGHBOURS), parts), parts)
-    return router, calibrate(router, x[held], k, TARGET_RECALL)
+    return router, parts, calibrate(router, x[held], k, TARGET_RECALL)
 
 
 def exact(q: np.ndarray, v: np.ndarray) -> float:
     return math.fsum((q * v).tolist())
 
 
-def best_of_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple]:
-    """``(query_id, vec_id, score)`` of the ``k`` nearest rows of a block, ties to the smaller id."""
-    score = queries @ rows.T
-    score[query_ids[:, None] == ids[None, :]] = -np.inf
-    slack = 1e-9 * (1 + np.abs(rows).max() * np.abs(queries).max() * rows.shape[1])
-    for q, own in enumerate(score):
-        low = np.partition(own, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
-        near = np.flatnonzero((own >= low - slack) & np.isfinite(own))
-        # Equal rows have equal scores: compute each once.
-        known: dict[bytes, float] = {}
-        found = []
-        for i in near:
-            mark = rows[i].tobytes()
-            if mark not in known:
-                known[mark] = exact(queries[q], rows[i])
-            found.append((-known[mark], int(ids[i])))
-        for negative, i in sorted(found)[:k]:
-            yield int(query_ids[q]), i, -negative
+class BestRows:
+    """The nearest rows so far of a group of queries, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
+        self.ids, self.queries, self.k = ids, queries, k
+        self.found: list[list[tuple[float, int]]] = [[] for _ in ids]  # (-score, id), ascending
+        self.least = np.full(len(ids), -np.inf)
+        self.reach = np.abs(queries).max(axis=1, initial=0) * queries.shape[1]
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Rank a block of rows: by matrix product first, those that may be among the best by exact products."""
+        score = self.queries @ rows.T
+        score[self.ids[:, None] == ids[None, :]] = -np.inf
+        slack = 1e-9 * (1 + np.abs(rows).max() * self.reach)
+        low = self.least.copy()
+        if len(ids) > self.k:
+            low = np.maximum(low, np.partition(score, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        near = (score >= (low - slack)[:, None]) & np.isfinite(score)
+        for q in np.flatnonzero(near.any(axis=1)).tolist():
+            known: dict[bytes, float] = {}  # equal rows have equal scores: compute each once
+            new = []
+            for i in np.flatnonzero(near[q]).tolist():
+                mark = rows[i].tobytes()
+                if mark not in known:
+                    known[mark] = exact(self.queries[q], rows[i])
+                new.append((-known[mark], int(ids[i])))
+            self.found[q] = sorted(self.found[q] + new)[: self.k]
+            if len(self.found[q]) == self.k:
+                self.least[q] = -self.found[q][-1][0]
+
+    def table(self) -> pa.RecordBatch:
+        rows = [(int(q), i, -negative) for q, found in zip(self.ids, self.found) for negative, i in found]
+        columns = [pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -185,13 +204,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     schema = "query_id long, rank int, vec_id long, score double"
     given = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     given = given.where(F.col("id").isNotNull() & usable(F.col("v")))
-    n = given.count()
     sample = given.select("v", F.xxhash64("id", "v").alias("h")).orderBy("h").limit(SAMPLE_ROWS * HELD_SHARE // (HELD_SHARE - 1)).select("v").toArrow().column("v").to_pylist()
     if not sample:
         return spark.createDataFrame([], schema)
     size = Counter(map(len, sample)).most_common(1)[0][0]
     x = np.array([s for s in sample if len(s) == size], np.float64)
-    router, probes = fit_router(x, n, k)
+    router, parts, probes = fit_router(x, k)
     shared = spark.sparkContext.broadcast(router)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +217,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
             if not batch.num_rows:
                 continue
             ranked = shared.value.ranked(_matrix(batch.column("v"))).astype(np.int32)
-            routed = pa.array([r[:probes] if a else r[:0] for r, a in zip(ranked, batch.column("asks").to_pylist())], pa.list_(pa.int32()))
+            routed = pa.array([r if a else r[:0] for r, a in zip(ranked, batch.column("asks").to_pylist())], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("v"), pa.array(ranked[:, 0]), routed], ["id", "v", "part", "routes"]
             )
@@ -207,39 +225,52 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
     kind = dict(given.dtypes)["v"]
     fit = given.where(F.size("v") == size).withColumn("v", F.col("v").cast("array<double>") if kind != "array<double>" else F.col("v"))
     routed = hand_over(fit.mapInArrow(route, "id long, v array<double>, part int, routes array<int>"), "routed")
-    sizes = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most PARTS rows
-    blocks = {p: math.ceil(c / BLOCK_ROWS) for p, c in sizes.items()}
-    number = F.create_map(*[F.lit(x) for p, b in blocks.items() for x in (p, b)])
-
-    rows = routed.select("part", F.pmod(F.xxhash64("id", "v"), number[F.col("part")]).cast("int").alias("block"), "id", "v")
-    # A vector of very many rows falls into blocks by its ids, so blocks stay near BLOCK_ROWS.
-    asks = routed.where(F.size("routes") > 0).select("id", "v", F.explode("routes").alias("part"))
-    asks = asks.select("part", F.explode(F.sequence(F.lit(0), number[F.col("part")] - 1)).alias("block"), "id", "v")
-    both = rows.withColumn("side", F.lit(0)).union(asks.withColumn("side", F.lit(1)))
-    tasks = max(1, sum(blocks.values()))
-    dealt = both.repartition(tasks, "part", "block").sortWithinPartitions("part", "block", "side")
+
+    def per_part(rows: DataFrame, of: int) -> tuple[Column, Column]:
+        """Counts of rows by part, and how many pieces of ``of`` rows they make, as columns; at most as many as parts."""
+        counts = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+        numbered = [F.lit(x) for p in range(parts) for x in (p, counts.get(p, 0))]
+        pieces = [F.lit(x) for p in range(parts) for x in (p, max(1, math.ceil(counts.get(p, 0) / of)))]
+        return F.create_map(*numbered), F.create_map(*pieces)
+
+    sizes, stretches = per_part(routed, STRETCH_ROWS)
+    one = routed.where(F.size("routes") > 0).groupBy("id").agg(F.min(F.struct("v", "routes")).alias("q"), F.count(F.lit(1)).alias("own"))
+    upto = lambda m: F.aggregate(F.slice("routes", 1, m), F.lit(0).cast("long"), lambda total, p: total + sizes[p])
+    short = F.filter(F.sequence(F.lit(1), F.size("routes")), lambda m: upto(m) < k + F.col("own"))
+    probed = F.slice("routes", F.lit(1), F.greatest(F.lit(probes), F.size(short) + 1))
+    asks = one.select("id", "q.*", "own").select("id", "v", F.explode(probed).alias("part"))
+    asks = hand_over(asks, "asks")
+    _, groups = per_part(asks, GROUP_QUERIES)
+
+    every = lambda pieces: F.explode(F.sequence(F.lit(0), pieces[F.col("part")] - 1))
+    piece = lambda pieces: F.pmod(F.xxhash64("id", "v"), pieces[F.col("part")]).cast("int")
+    asking = asks.select("part", piece(groups).alias("group"), every(stretches).alias("stretch"), "id", "v", F.lit(0).alias("side"))
+    rows = routed.select("part", every(groups).alias("group"), piece(stretches).alias("stretch"), "id", "v", F.lit(1).alias("side"))
+    # A vector of very many rows falls into stretches by its ids, so stretches stay near STRETCH_ROWS.
+    dealt = asking.union(rows).repartition("part", "group", "stretch").sortWithinPartitions("part", "group", "stretch", "side")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        rows: list = []
-        current, block = None, None
+        current, best, ids, held = None, None, [], []
         for batch in batches:
             v = _matrix(batch.column("v"))
             own, side = batch.column("id").to_numpy(), batch.column("side").to_numpy()
-            mark = batch.column("part").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
-            edges = np.flatnonzero(np.r_[True, (mark[1:] != mark[:-1]) | (side[1:] != side[:-1])])
+            mark = np.stack([batch.column(c).to_numpy() for c in ("part", "group", "stretch")], axis=1)
+            new = np.r_[True, (mark[1:] != mark[:-1]).any(axis=1) | (side[1:] != side[:-1])]
+            edges = np.flatnonzero(new)
             for a, b in zip(edges, [*edges[1:], len(mark)]):
-                if mark[a] != current:
-                    current, ids, rows, block = mark[a], [], [], None
+                if tuple(mark[a]) != current:
+                    if best:
+                        yield best.table()
+                    current, best, ids, held = tuple(mark[a]), None, [], []
                 if side[a] == 0:
                     ids.append(own[a:b])
-                    rows.append(v[a:b])
-                elif rows:
-                    block = block or (np.concatenate(ids), np.concatenate(rows))
-                    for i in range(a, b, 512):
-                        found = list(best_of_block(*block, own[i : min(b, i + 512)], v[i : min(b, i + 512)], k))
-                        columns = [pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-                        yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score"])
+                    held.append(v[a:b])
+                elif ids:
+                    best = best or BestRows(np.concatenate(ids), np.concatenate(held), k)
+                    for i in range(a, b, BLOCK_ROWS):
+                        best.meet(own[i : min(b, i + BLOCK_ROWS)], v[i : min(b, i + BLOCK_ROWS)])
+        if best:
+            yield best.table()
 
     found = dealt.mapInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -30,8 +30,10 @@ def grouped(rows):
 
 
 def test_recall_and_exact_scores(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PART_ROWS", 150)
+    monkeypatch.setattr(ann, "PART_SAMPLE", 150)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(ann, "STRETCH_ROWS", 100)
+    monkeypatch.setattr(ann, "GROUP_QUERIES", 16)
     want = brute([(r["vec_id"], r["embedding"]) for r in scan(spark, SF, "embeddings").collect()], lambda q: q % 20 == 0, 20)
     got = grouped(ann.op9_nearest_neighbours(spark, SF).collect())
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
@@ -58,7 +60,7 @@ def test_odd_inputs(spark):
 
 
 def test_one_vector_of_very_many_rows(spark, monkeypatch):
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "STRETCH_ROWS", 100)
     draw = np.random.RandomState(0)
     rows = [(i, [1.0] * 8 if i % 3 == 0 else draw.randn(8).tolist()) for i in range(1200)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -91,6 +93,25 @@ def test_calibrated_on_rows_held_out_of_fitting(monkeypatch):
     monkeypatch.setattr(ann, "calibrate", spy)
     monkeypatch.setattr(ann, "Router", Fitted)
     x = np.random.RandomState(5).randn(1500, 16)
-    _, probes = ann.fit_router(x, 64_000, 20)
+    _, parts, probes = ann.fit_router(x, 20)
+    assert parts == 2
     held, fitted = ({r.tobytes() for r in seen[c]} for c in ("held", "fitted"))
-    assert len(held) == 300 and len(fitted) == 1200 and not held & fitted and 1 <= probes <= 16
+    assert len(held) == 300 and len(fitted) == 1200 and not held & fitted and 1 <= probes <= parts
+
+
+def test_repeated_query_rows_ask_once(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 9.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.9, 0.0]), (3, [0.8, 0.0]), (4, [0.7, 0.0]), (5, [0.6, 0.0])]
+    got = grouped(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, 4).collect())
+    assert {q: [(r, i) for r, i, _ in found] for q, found in got.items()} == {0: [(r, r) for r in (1, 2, 3, 4)]}  # [0, 9] is the least vector
+    assert [s for *_, s in got[0]] == [0.0] * 4
+
+
+def test_probes_until_there_are_enough_candidates(spark, monkeypatch):
+    """One part holds all but a few rows of another direction, which ask for more neighbours than their part has."""
+    monkeypatch.setattr(ann, "PART_SAMPLE", 50)
+    monkeypatch.setattr(ann, "calibrate", lambda *_: 1)
+    draw = np.random.RandomState(1)
+    rows = [(100 + i, [1.0 + x, x]) for i, x in enumerate(draw.randn(200) / 50)] + [(i, [-1.0 - i / 10, 0.0]) for i in range(5)]
+    vectors = spark.createDataFrame([(int(i), [float(y) for y in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = grouped(ann.search(vectors, F.col("vec_id") < 5, 20).collect())
+    assert got.keys() == set(range(5)) and all(len(found) == 20 for found in got.values())
