@@ -121,12 +121,14 @@ def labelled_sample(
     """Features and labels of at most ``rows`` labelled documents, the least by a hash of their id.
 
     ``usable`` is a condition on ``doc_id`` of the labels. Of repeated labels of a document the largest counts, of
-    repeated documents any. Only ids travel as a broadcast, at most ``rows``, and only feature numbers reach the driver.
+    repeated documents the text with the least hash. Only ids travel as a broadcast, at most ``rows``, and only feature
+    numbers of one row per id reach the driver.
     """
     ship_package(docs.sparkSession)
     known = labels.where(usable & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,7 +140,7 @@ def labelled_sample(
 
     kind = dict(texts.dtypes)
     got = texts.mapInArrow(work, f"doc_id {kind['doc_id']}, label {kind['label']}, found array<int>").toArrow()
-    got = got.sort_by("doc_id").slice(0, rows).combine_chunks()
+    got = got.sort_by("doc_id").combine_chunks()
     if not len(got):
         return Rows(np.zeros(0, np.int32), np.zeros(1, np.int64)), np.zeros(0)
     lists = got.column("found").combine_chunks()
@@ -154,8 +156,12 @@ def labelled_sample(
 def apply_scores(
     docs: DataFrame, features: Callable[[pa.Array], Features], score: Callable[[int, np.ndarray, np.ndarray, dict], np.ndarray], model: dict
 ) -> DataFrame:
-    """``docs`` with ``score``: a function of the number of texts, the indicators of ``model['keep']``, and the model."""
+    """``docs`` with ``score``: a function of the number of texts, the indicators of ``model['keep']``, and the model.
+
+    A column of that name is replaced.
+    """
     spark = docs.sparkSession
+    docs = docs.drop("score")
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
 

@@ -41,11 +41,11 @@ def draw_voters(rows: Rows, y: np.ndarray) -> np.ndarray:
 def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.97, rounds: int = 12) -> np.ndarray:
     """Posterior of the hidden class per row of ``votes`` (rows x voters, 0 or 1).
 
-    Abstaining is no evidence by itself; one more voter votes "clean" where all others abstain. The label ``given``
-    with a row is a voter too: it ties the hidden class to what labels mean. Its accuracy is estimated in each class,
-    up to ``trust``.
+    Per class each voter has a rate at which it votes, so both its vote and its silence are evidence; what correlated voters
+    say beyond their class is discounted. The label ``given`` with a row is a voter too: it ties the hidden class to
+    what labels mean. Its accuracy is estimated in each class, up to ``trust``.
     """
-    votes = np.column_stack([votes, votes.sum(1) == 0]).astype(float)
+    votes = votes.astype(float)
     posterior = np.where(given > 0.5, trust, 1 - trust)
     for _ in range(rounds):
         share = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
@@ -57,9 +57,10 @@ def label_model(votes: np.ndarray, given: np.ndarray, trust: float = 0.97, round
         overlap = (rest.T @ rest) / np.outer(scale, scale)
         discount = 1 / np.where(overlap > 2 / np.sqrt(len(votes)), overlap, 0).sum(1)  # less is chance
         evidence = np.log(rates[0] / rates[1]) * discount
+        silence = np.log((1 - rates[0]) / (1 - rates[1])) * discount
         kept = [np.clip(w @ g / w.sum(), 0.6, trust) for w, g in ((posterior, given), (1 - posterior, 1 - given))]
         tie = np.where(given > 0.5, np.log(kept[0] / (1 - kept[1])), np.log((1 - kept[0]) / kept[1]))
-        posterior = sigmoid(np.log(share / (1 - share)) + votes @ evidence + tie)
+        posterior = sigmoid(np.log(share / (1 - share)) + votes @ (evidence - silence) + silence.sum() + tie)
     return posterior
 
 
