@@ -102,23 +102,37 @@ class PairRanks:
 
 
 def fold_merges(words: Column, unfinished: Column, ranks: PairRanks) -> Column:
-    """Ids of words given as arrays of their bytes' ranks: the pair of the least rank is merged, leftmost first, until none is left."""
+    """Ids of words given as arrays of their bytes' ranks: the pair of the least rank is merged, leftmost first, until none is left.
 
-    def merge_once(table: Column, parts: Column) -> Column:
-        pair = lambda i: ranks.rank(table, F.get(parts, i), F.get(parts, i + 1))
-        pairs = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), pair)
-
-        def joined(least: Column, at: Column) -> Column:
-            return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(least), F.slice(parts, at + 2, F.size(parts)))
-
-        def best(found: Column) -> Column:
-            place = lambda least: bind(F.array_position(found, least).cast("int"), lambda at: joined(least, at))
-            return bind(F.array_min(found), lambda least: F.when(least.isNull(), parts).otherwise(place(least)))
-
-        return F.when(F.size(parts) < 2, parts).otherwise(bind(pairs, best))
+    The fold carries the ranks of all pairs beside the parts; a merge makes two new pairs at most, and only those are looked up.
+    """
+    kind = "struct<parts:array<bigint>,found:array<bigint>>"
+
+    def started(table: Column, word: Column) -> Column:
+        pair = lambda i: ranks.rank(table, F.get(word, i), F.get(word, i + 1))
+        found = F.transform(F.sequence(F.lit(0), F.size(word) - 2), pair)
+        return F.struct(word.alias("parts"), found.alias("found")).cast(kind)
+
+    def merged(table: Column, state: Column, least: Column, at: Column) -> Column:
+        parts, found = state["parts"], state["found"]
+        none = F.array().cast("array<bigint>")
+        before = F.when(at > 1, F.array(ranks.rank(table, F.get(parts, at - 2), least))).otherwise(none)
+        after = F.when(at < F.size(found), F.array(ranks.rank(table, least, F.get(parts, at + 1)))).otherwise(none)
+        left = F.greatest(at - 2, F.lit(0))
+        return F.struct(
+            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(least), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+            F.concat(F.slice(found, F.lit(1), left), before, after, F.slice(found, at + 2, F.size(parts))).alias("found"),
+        ).cast(kind)
+
+    def merge_once(table: Column, state: Column) -> Column:
+        place = lambda least: bind(
+            F.array_position(state["found"], least).cast("int"), lambda at: merged(table, state, least, at)
+        )
+        return bind(F.array_min(state["found"]), lambda least: F.when(least.isNull(), state).otherwise(place(least)))
 
     def fold(table: Column, word: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(2), F.size(word)), word, lambda parts, _: merge_once(table, parts))
+        steps = F.sequence(F.lit(2), F.size(word))
+        return F.aggregate(steps, started(table, word), lambda state, _: merge_once(table, state), lambda state: state["parts"])
 
     def each(table: Column) -> Column:
         return F.zip_with(words, unfinished, lambda w, open_: F.when(open_ & (F.size(w) > 1), fold(table, w)).otherwise(w))
