@@ -86,3 +86,30 @@ def test_nulls(spark):
         docs = stage(spark, docs, SF)
         assert sorted(map(str, docs.collect())) == sorted(map(str, spark.createDataFrame(rows, docs.schema).collect()))
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], scan(spark, SF, "documents").schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == FIELDS and docs.collect() == []
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect() == []
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark):
+    """Repeated rows stay beside each other; other columns pass through, whatever their names."""
+    words = " ".join(f"w{i * 7919 % 50_021}" for i in range(40_000))
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, words, "en", "s", len(words)), (2, passage, "en", "s", len(passage)), (2, passage, "en", "s", len(passage)), (3, "x " * 30_000, None, None, 60_000)]
+    schema = scan(spark, SF, "documents").schema
+    plain = spark.createDataFrame(rows, schema)
+    names = ["row", "score", "doc", "begins", "version", "component_id", "label", "ids", "found"]
+    from pyspark.sql import functions as F
+
+    docs = plain.withColumns({n: F.lit(n) for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == FIELDS + names
+        assert sorted((r["doc_id"], r["text"]) for r in docs.collect()) == sorted((r[0], r[1]) for r in rows)
+        assert all(r[n] == n for r in docs.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4
