@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backglot.functions.languages import LANGUAGES, MISSING_KEY, is_target_language, is_translatable, with_language
+from backglot.functions.languages import LANGUAGES, MISSING_KEY, WORD_CHARS, is_target_language, is_translatable, with_language
 from backglot.functions.lexing import comment_part, stage0_lexer
 from backglot.operators import memory as mem
 from backglot.operators import substitution as sub
@@ -120,6 +121,23 @@ def script_flag(spark: SparkSession, folder: str) -> DataFrame:
     return _words(spark, folder).select("word", *flags)
 
 
+# Letters that stand for "aeiost" in words of other scripts, and a digit of the script for "n" where it has its own.
+SCRIPTS = {"hi": ("अआइईउऊ", "०"), "bn": ("অআইঈউঊ", "০"), "zh-CN": ("一丁七万丈三", ""), "el": ("αεηιοω", ""), "ku": ("ابتثجح", "٠")}
+
+
+def _spelled(letters: str, digit: str) -> tuple[str, str]:
+    return "aeiost" + ("n" if digit else ""), letters + digit
+
+
+def script_flag_scripts(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of all documents spelled with letters and digits of five other scripts, and whether they show each script."""
+    words = _words(spark, folder).select("word")
+    spelled = [(t, F.translate("word", *_spelled(*SCRIPTS[t])).alias("spelled")) for t in SCRIPTS]
+    rows = [words.select("word", F.lit(t).alias("script"), column) for t, column in spelled]
+    flags = [is_target_language(F.col("spelled"), t).alias(f"is_{t[:2]}") for t in SCRIPTS]
+    return reduce(DataFrame.unionByName, rows).select("word", "script", "spelled", *flags)
+
+
 def translatable_words(spark: SparkSession, folder: str) -> DataFrame:
     return _words(spark, folder).where(is_translatable(F.col("word"), TARGET))
 
@@ -289,6 +307,16 @@ SELECT doc_id, ln, p, type, coalesce(repl, value) AS value FROM typed LEFT JOIN
         f"WITH {PARTS}, {TOKENS1}, {WORD_SQL} SELECT word, {q.is_target('word', 'en')} AS is_en,"
         f" {q.is_target('word', 'es')} AS is_es, {q.is_target('word', 'fr')} AS is_fr FROM words",
     ),
+    "script_flag_scripts": (
+        script_flag_scripts,
+        f"""WITH {PARTS}, {TOKENS1}, {WORD_SQL}, spelled AS ({" UNION ALL ".join(
+            f"SELECT word, '{t}' AS script, translate(word, '{_spelled(*SCRIPTS[t])[0]}', '{_spelled(*SCRIPTS[t])[1]}') AS spelled FROM words"
+            for t in SCRIPTS
+        )}) SELECT word, script, spelled, {", ".join(
+            f"(regexp_matches(spelled, '^\\p{{Nd}}+$') OR regexp_matches(regexp_replace(spelled, '\\p{{Nd}}', '', 'g'), '[{WORD_CHARS[t]}]')) AS is_{t[:2]}"
+            for t in SCRIPTS
+        )} FROM spelled""",
+    ),
     "translatable_words": (
         translatable_words,
         f"WITH {PARTS}, {TOKENS1}, {WORD_SQL} SELECT word, uses FROM words WHERE {q.is_translatable('word', TARGET)}",
