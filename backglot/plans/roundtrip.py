@@ -132,9 +132,3 @@ def all_summaries(first: DataFrame, second: DataFrame) -> DataFrame:
     """Summaries of both stages from their stored states; no details are read."""
     both = all_details(first, second)
     return reports.finish_summary(reports.merge_states(both, ["stage", *CELL]), ["stage", *CELL])
-
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents through a colliding dictionary and back, scored, averaged by language."""
-    pairs = hand_over(inputs.pairs(spark, folder, "lang"), "pairs")
-    return reports.evaluation_summary(metrics.evaluate_pairs(pairs, text_profile), ["lang"])
