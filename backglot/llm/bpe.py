@@ -20,7 +20,6 @@ import base64
 import hashlib
 import heapq
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import functions as F
 
 from backglot.functions.expr import bind
 from backglot.llm.arrow import ragged, text_slices
+from backglot.llm.units import PATTERN, split_units
 from backglot.session import ship_package
 from backglot.sources.tables import scan
 
@@ -40,12 +40,6 @@ LONG_WORD = 40  # bytes; longer words are merged by the heap
 TABLE_WORDS = 400_000  # distinct words a task keeps before it starts afresh
 LONG_UNIT = 200  # longer stretches of text are coded, but not kept
 
-PATTERN = (
-    public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}")
-    .replace(r"\s", r"\p{White_Space}")
-    .replace(r"\S", r"\P{White_Space}")
-)
-
 
 def read_ranks(path: str) -> list[bytes]:
     """Byte strings by rank, from a rank file."""
@@ -173,8 +167,6 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 _BLOCK = "docs array<struct<key:{key},n:int>>, codes array<int>, words array<array<bigint>>, unfinished array<boolean>, fresh boolean"
-_UNEVEN = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r"(?= \S)")
 
 
 class Coder:
@@ -214,17 +206,8 @@ class Coder:
         self.open.append(open_)
 
     def codes(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _UNEVEN.search(text):
-            units = [u for u in _CUT.split(text) if u]
-        else:
-            head, *rest = text.split(" ")
-            units = [" " + u for u in rest]
-            if head:
-                units.insert(0, head)
         known = self.units
-        return b"".join([known[u] if u in known else self.unit(u) for u in units])
+        return b"".join([known[u] if u in known else self.unit(u) for u in split_units(text)])
 
 
 def word_blocks(docs: DataFrame, pieces, key: str, text: str) -> DataFrame:

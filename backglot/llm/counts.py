@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backglot.llm.arrow import text_slices
+from backglot.llm.units import PATTERN, UNEVEN, split_units
 from backglot.session import ship_package
 from backglot.sources.tables import scan
 
@@ -31,15 +32,7 @@ TABLE_ENTRIES = 300_000  # units whose piece counts a task keeps; beyond, it sta
 BATCH = 4096  # pre-tokens encoded at once
 LONG_UNIT = 200  # longer units are counted, but not kept
 
-# The library's pattern with its meaning of white space spelled out.
-_PRE_TOKEN = regex.compile(
-    public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}")
-    .replace(r"\s", r"\p{White_Space}")
-    .replace(r"\S", r"\P{White_Space}")
-)
-_UNEVEN = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r"(?= \S)")
-_SPACES = re.compile(r"\s")
+_PRE_TOKEN = regex.compile(PATTERN)
 
 
 class PieceCounter:
@@ -65,8 +58,8 @@ class PieceCounter:
             return found, len(parts) - 1
         if not text:
             return Counter(), 0
-        if _UNEVEN.search(text):
-            return Counter(u for u in _CUT.split(text) if u), 0
+        if UNEVEN.search(text):
+            return Counter(split_units(text)), 0
         head, *rest = text.split(" ")
         found = Counter({f" {u}": n for u, n in Counter(rest).items()})
         if head:

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from backglot.llm import coder
 from backglot.llm.arrow import text_slices
-from backglot.llm.counts import _CUT, _UNEVEN, BATCH, LONG_UNIT, TABLE_ENTRIES, VOCABULARY, PieceCounter
+from backglot.llm.counts import BATCH, LONG_UNIT, TABLE_ENTRIES, VOCABULARY, PieceCounter
+from backglot.llm.units import split_units
 from backglot.session import scratch_path, ship_package, shuffle_partitions
 from backglot.sources.tables import scan
 
@@ -35,15 +36,6 @@ SCHEMA = "shard int, segment int, base long, keys array<{key}>, lengths array<in
 class UnitEncoder(PieceCounter):
     """Ids of texts by a tokenizers vocabulary; the ids of a unit of text are found once per task's table."""
 
-    def parts(self, text: str) -> list[str]:
-        """The units of a text without special strings, in order."""
-        if not text:
-            return []
-        if _UNEVEN.search(text):
-            return [u for u in _CUT.split(text) if u]
-        head, *rest = text.split(" ")
-        return [head, *(f" {u}" for u in rest)] if head else [f" {u}" for u in rest]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         split = []
@@ -51,9 +43,9 @@ class UnitEncoder(PieceCounter):
             if self.special is not None and any(s in text for s in self.marks):
                 marks = self.special.findall(text)
                 pieces = self.special.split(text)
-                split.append([u for i, p in enumerate(pieces) for u in (self.parts(p) + marks[i : i + 1])])
+                split.append([u for i, p in enumerate(pieces) for u in (split_units(p) + marks[i : i + 1])])
             else:
-                split.append(self.parts(text))
+                split.append(split_units(text))
         if len(self.known) > TABLE_ENTRIES:
             self.known = {}
         table = self.known
