@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1_000  # rows handed to a Python task at once: texts are long, and a batch is held several times over
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -47,10 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application.
+    """Send this package to the Python workers, once per application, and bound the rows of their batches.
 
-    Only operators with Python tasks need it; everything else runs in the JVM.
+    Only operators with Python tasks need it; everything else runs in the JVM. A smaller bound of the session stays.
     """
+    given = int(spark.conf.get(BATCH_CONF))
+    if given <= 0 or given > BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     context = spark.sparkContext
     if any(f.endswith("backglot.zip") for f in context.listFiles):
         return
