@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,14 @@ _WORD = _U(0x2545F4914F6CDD1D)
 _STEP = _random.randint(1, 1 << 62, 64).astype(_U) * _U(4) + _U(3)
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: workers live on, and their heaps would stay as large as their largest slice."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most ``limit`` bytes of text, but one row at least; null texts become empty."""
     text = pc.fill_null(batch.column(column), "")
@@ -33,6 +42,7 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
