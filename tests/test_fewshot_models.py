@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
+from backglot.operators import fewshot as fs
 from backglot.plans import fewshot_queries as fq
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +28,20 @@ def test_two_models_with_different_answers(spark, tmp_path):
 def test_every_model_goes_back_as_often(spark):
     counts = Counter(r["model"] for r in fq.stage2_backward(spark, SF).collect())
     assert counts["first"] == counts["second"] == 200 * 5  # documents, sizes
+
+
+def test_manifest_digests_whole_prompts(spark, tmp_path):
+    """Two documents with one text and model are one request; its id is the digest of the prompt that is sent."""
+    tables = {
+        "documents": ("doc_id long, text string, source string", [(1, "one", "s"), (2, "one", "s"), (3, None, "s"), (4, "one", "t")]),
+        "benchmark": ("item_id long, text string", [(1, "zeta")]),
+    }
+    for name, (kinds, rows) in tables.items():
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    shot = f"\nExample 1:\nOriginal code:\nzeta\nComplete translation:\natez\n{fs.EXAMPLE_RULE}\n"
+    want = set()
+    for size, examples in ((0, ""), (1, shot)):
+        prompt = fs.PROMPT_TEMPLATE.format(source="English", target="Spanish", examples=examples, code="one")
+        digest = hashlib.sha256(prompt.encode()).hexdigest()
+        want |= {("s", size, digest, 2, 1), ("t", size, digest, 1, 4), ("s", size, None, 1, 3)}
+    assert {tuple(r) for r in fq.request_manifest(spark, str(tmp_path)).collect()} == want
