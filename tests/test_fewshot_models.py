@@ -45,3 +45,23 @@ def test_manifest_digests_whole_prompts(spark, tmp_path):
         digest = hashlib.sha256(prompt.encode()).hexdigest()
         want |= {("s", size, digest, 2, 1), ("t", size, digest, 1, 4), ("s", size, None, 1, 3)}
     assert {tuple(r) for r in fq.request_manifest(spark, str(tmp_path)).collect()} == want
+
+
+def test_texts_stay_out_of_the_answer_join_and_equal_outputs_go_back_once(spark, tmp_path, monkeypatch):
+    tables = {
+        "documents": ("doc_id long, text string, source string", [(1, "one", "s"), (2, None, "s"), (2, "two", "s")]),
+        "benchmark": ("item_id long, text string", [(1, "zeta")]),
+        "conversations": ("conv_id long, turn long, role string, text string", [(1, 0, "user", "uno")]),
+    }
+    for name, (kinds, rows) in tables.items():
+        spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{name}.parquet")
+    joined, taken_back = [], []
+    join, substitute = fs.lookup_join, fq.substitute_documents
+    monkeypatch.setattr(fs, "lookup_join", lambda facts, *rest: joined.append(facts.columns) or join(facts, *rest))
+    monkeypatch.setattr(fq, "substitute_documents", lambda df, key, text, *rest: taken_back.append((text, df.count())) or substitute(df, key, text, *rest))
+    rows = fq.stage2_backward(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["partial_back"], r["status"]) for r in rows) == {
+        (1, "uno", "answered"): 2, (1, "one", "missing"): 2, (2, None, "missing"): 4, (2, "two", "missing"): 4,
+    }
+    assert len(joined) == 2 and not any({"text", "partial", "partial_back"} & set(columns) for columns in joined)
+    assert taken_back == [("text", 3), ("translated", 4)]
