@@ -1,13 +1,13 @@
-"""Byte-level BPE: Spark higher-order functions fold ranked merges over the byte arrays of distinct words.
+"""Byte-level BPE: ranked merges over the byte arrays of distinct words, for all new words of a slice at once.
 
-A task reads its documents in order. Texts are cut into pre-tokens ("words"); a word that the task meets for the first
-time is handed on once, documents are codes into the list of distinct words. A word starts as the array of its bytes'
-ranks; ``fold_merges`` runs in the JVM and merges its pair of least rank again and again. The ranks of pairs are one
-literal array, in which each pair lies in one of two slots, so a look-up reads at most two cells. Then the task joins
-codes and folded words to ids. All steps are narrow, so nothing is shuffled and no key can be hot.
+A task reads its documents in order. Texts are cut into units and these into pre-tokens ("words"); a word that the task
+meets for the first time starts as the array of its bytes' ranks, and ``merge_words`` merges its pair of least rank again
+and again, one merge of every unfinished word a step. The ranks of pairs are a broadcast array, in which each pair lies in
+one of two slots, so a look-up reads at most two cells. A unit's ids are kept, so a text is joined from its units' ids. All
+steps are narrow, so nothing is shuffled and no key can be hot.
 
-Words that are pieces themselves need no fold. Words above ``LONG_WORD`` bytes take the same merges in the same order
-from a heap, because an array fold needs quadratic time in the word's length.
+Words that are pieces themselves need no merge. Words above ``LONG_WORD`` bytes take the same merges in the same order
+from a heap.
 
 Defined results for odd inputs: a null or empty text has no ids and decodes to no bytes; repeated rows give
 repeated results; an empty table gives an empty result; other columns are not read. Bytes that are not UTF-8
@@ -19,17 +19,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backglot.functions.expr import bind
 from backglot.llm.arrow import ragged, text_slices
 from backglot.llm.units import PATTERN, split_units
 from backglot.session import ship_package
@@ -37,8 +35,10 @@ from backglot.sources.tables import scan
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_WORD = 40  # bytes; longer words are merged by the heap
-TABLE_WORDS = 400_000  # distinct words a task keeps before it starts afresh
-LONG_UNIT = 200  # longer stretches of text are coded, but not kept
+TABLE_WORDS = 400_000  # distinct words or units a task keeps before it starts afresh
+LONG_UNIT = 200  # longer stretches of text are encoded, but not kept
+WIDTHS = (8, 16, LONG_WORD)  # words are merged beside words of about their length
+NEVER = 1 << 30  # where no merge is possible
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -52,7 +52,7 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class PairRanks:
-    """Rank of two adjacent pieces' concatenation, as one literal: each pair lies in one of its two slots.
+    """Rank of two adjacent pieces' concatenation, broadcast as one array: each pair lies in one of its two slots.
 
     A cell holds ``left << 32 | right << 16 | rank``, or -1.
     """
@@ -62,10 +62,10 @@ class PairRanks:
             raise ValueError("ranks of more than 65,536 pieces do not fit a cell")
         rank = {p: i for i, p in enumerate(pieces)}
         pairs = [(rank[p[:k]] << 16 | rank[p[k:]], i) for p, i in rank.items() for k in range(1, len(p)) if p[:k] in rank and p[k:] in rank]
-        self.slots = 1 << max(8, (3 * len(pairs)).bit_length())
-        table = spark.createDataFrame([(k,) for k, _ in pairs], "pair long")
-        homes = {r[0]: (r[1], r[2]) for r in table.select("pair", *self._homes(F.col("pair"))).collect()}
-        held: list = [None] * self.slots
+        slots = 1 << max(8, (3 * len(pairs)).bit_length())
+        homes = [x.tolist() for x in pair_homes(np.array([k for k, _ in pairs], np.int64), slots)]
+        homes = dict(zip([k for k, _ in pairs], zip(*homes)))
+        held: list = [None] * slots
         for moving in pairs:
             at = homes[moving[0]][0]
             for _ in range(500):
@@ -76,62 +76,69 @@ class PairRanks:
                 at = b if at == a else a
             else:
                 raise ValueError("the pair table needs more slots")
-        self.table = F.from_json(F.lit(json.dumps([-1 if c is None else c[0] << 16 | c[1] for c in held])), "array<bigint>")
+        self.table = spark.sparkContext.broadcast(np.array([-1 if c is None else c[0] << 16 | c[1] for c in held], np.int64))
 
-    def _homes(self, pair: Column) -> tuple[Column, Column]:
-        mask = F.lit(self.slots - 1)
-        return F.hash(pair).bitwiseAND(mask), F.hash(pair, F.lit(7)).bitwiseAND(mask)
 
-    def rank(self, table: Column, left: Column, right: Column) -> Column:
-        """Rank of the pair, or null; ``table`` stands for the literal, which so occurs once in a plan."""
+def pair_homes(pairs: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two slots of every pair."""
+    keys, shift = pairs.astype(np.uint64), np.uint64(64 - (slots.bit_length() - 1))
+    return tuple(((keys * np.uint64(odd)) >> shift).astype(np.int64) for odd in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
 
-        def look(pair: Column) -> Column:
-            def cell(at: Column, rest: Column) -> Column:
-                return bind(F.get(table, at), lambda c: F.when(F.shiftright(c, 16) == pair, c.bitwiseAND(F.lit(65535))).otherwise(rest))
 
-            first, second = self._homes(pair)
-            return cell(first, cell(second, F.lit(None).cast("bigint")))
+def pair_ranks(table: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Ranks of pairs, -1 where the two are no piece together."""
+    pairs = left.astype(np.int64) << 16 | right
+    first, second = pair_homes(pairs, len(table))
+    one, other = table[first], table[second]
+    return np.where(one >> 16 == pairs, one & 65535, np.where(other >> 16 == pairs, other & 65535, -1))
 
-        return bind(left * F.lit(65536).cast("bigint") + right, look)
 
+def merge_words(words: list[list[int]], table: np.ndarray) -> list[bytes]:
+    """Little-endian 32-bit ids of words given as their bytes' ranks: the pair of the least rank is merged, leftmost first, until none is left.
 
-def fold_merges(words: Column, unfinished: Column, ranks: PairRanks) -> Column:
-    """Ids of words given as arrays of their bytes' ranks: the pair of the least rank is merged, leftmost first, until none is left.
-
-    The fold carries the ranks of all pairs beside the parts; a merge makes two new pairs at most, and only those are looked up.
+    Words stand side by side in columns. Parts keep the place of their first byte and know the part after and before them; a
+    merge makes two new pairs at most, and only those are looked up.
     """
-    kind = "struct<parts:array<bigint>,found:array<bigint>>"
-
-    def started(table: Column, word: Column) -> Column:
-        pair = lambda i: ranks.rank(table, F.get(word, i), F.get(word, i + 1))
-        found = F.transform(F.sequence(F.lit(0), F.size(word) - 2), pair)
-        return F.struct(word.alias("parts"), found.alias("found")).cast(kind)
-
-    def merged(table: Column, state: Column, least: Column, at: Column) -> Column:
-        parts, found = state["parts"], state["found"]
-        none = F.array().cast("array<bigint>")
-        before = F.when(at > 1, F.array(ranks.rank(table, F.get(parts, at - 2), least))).otherwise(none)
-        after = F.when(at < F.size(found), F.array(ranks.rank(table, least, F.get(parts, at + 1)))).otherwise(none)
-        left = F.greatest(at - 2, F.lit(0))
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), at - 1), F.array(least), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-            F.concat(F.slice(found, F.lit(1), left), before, after, F.slice(found, at + 2, F.size(parts))).alias("found"),
-        ).cast(kind)
-
-    def merge_once(table: Column, state: Column) -> Column:
-        place = lambda least: bind(
-            F.array_position(state["found"], least).cast("int"), lambda at: merged(table, state, least, at)
-        )
-        return bind(F.array_min(state["found"]), lambda least: F.when(least.isNull(), state).otherwise(place(least)))
-
-    def fold(table: Column, word: Column) -> Column:
-        steps = F.sequence(F.lit(2), F.size(word))
-        return F.aggregate(steps, started(table, word), lambda state, _: merge_once(table, state), lambda state: state["parts"])
-
-    def each(table: Column) -> Column:
-        return F.zip_with(words, unfinished, lambda w, open_: F.when(open_ & (F.size(w) > 1), fold(table, w)).otherwise(w))
-
-    return bind(ranks.table, each)
+    out: list[bytes] = [b""] * len(words)
+    least = 0
+    for width in WIDTHS:
+        chosen = [i for i, w in enumerate(words) if least < len(w) <= width]
+        least = width
+        if not chosen:
+            continue
+        n = np.array([len(words[i]) for i in chosen])
+        count, place = len(chosen), np.arange(width + 1)[:, None]
+        parts = np.full((width + 1, count), -1, np.int64)
+        parts.T[np.arange(width + 1) < n[:, None]] = np.concatenate([words[i] for i in chosen])
+        after = np.where(place + 1 < n, place + 1, width) + np.zeros((1, count), np.int64)
+        before = place - 1 + np.zeros((1, count), np.int64)
+        found = np.full((width + 1, count), NEVER, np.int32)  # rank and place of the pair that begins here
+        at, column = np.nonzero(place + 1 < n)
+
+        def look(at: np.ndarray, column: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
+            ranks = pair_ranks(table, left, right)
+            found[at, column] = np.where(ranks < 0, NEVER, ranks << 6 | at)
+
+        look(at, column, parts[at, column], parts[at + 1, column])
+        open_ = np.arange(count)
+        while len(open_):
+            best = np.minimum.reduce(found if len(open_) == count else found[:, open_], axis=0)
+            open_, best = open_[best < NEVER], best[best < NEVER]
+            at, rank = (best & 63).astype(np.int64), (best >> 6).astype(np.int64)
+            gone = after[at, open_]
+            follows = after[gone, open_]
+            parts[at, open_], parts[gone, open_], found[gone, open_] = rank, -1, NEVER
+            after[at, open_], before[follows, open_], found[at, open_] = follows, at, NEVER
+            more = follows < width
+            look(at[more], open_[more], rank[more], parts[follows[more], open_[more]])
+            more = before[at, open_] >= 0
+            ahead = before[at[more], open_[more]]
+            look(ahead, open_[more], parts[ahead, open_[more]], rank[more])
+        whole = parts.T >= 0
+        raw, ends = parts.T[whole].astype("<i4").tobytes(), np.cumsum(4 * whole.sum(1)).tolist()
+        for i, a, b in zip(chosen, [0, *ends], ends):
+            out[i] = raw[a:b]
+    return out
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -166,74 +173,39 @@ def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_BLOCK = "docs array<struct<key:{key},n:int>>, codes array<int>, words array<array<bigint>>, unfinished array<boolean>, fresh boolean"
-
-
 class Coder:
-    """Codes of a task's words, and the words that are new."""
+    """Ids of texts; the ids of the words and units that a task has met are kept."""
 
-    def __init__(self, pieces: list[bytes]):
-        self.ranks = {p: i for i, p in enumerate(pieces)}
+    def __init__(self, pieces: list[bytes], table: np.ndarray):
+        self.ranks, self.table = {p: i for i, p in enumerate(pieces)}, table
         self.bytes = [self.ranks[bytes([i])] for i in range(256)]
         self.find = regex.compile(PATTERN).findall
-        self.clear()
-
-    def clear(self) -> None:
-        self.words: dict[str, int] = {}
+        self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
 
-    def unit(self, unit: str) -> bytes:
-        """Codes of the words of one unit: a stretch of text that ends before a single space, which no word spans."""
-        words = self.words
-        for w in (found := self.find(unit)):
-            if w not in words:
-                words[w] = len(words)
-                coded = w.encode()
-                own = self.ranks.get(coded)
-                if own is not None:
-                    self.ready([own], False)
-                elif len(coded) > LONG_WORD:
-                    self.ready(heap_merges(coded, self.ranks), False)
-                else:
-                    self.ready([self.bytes[b] for b in coded], True)
-        coded = np.array([words[w] for w in found], "<i4").tobytes()
-        if len(unit) <= LONG_UNIT:
-            self.units[unit] = coded
-        return coded
-
-    def ready(self, ids: list[int], open_: bool) -> None:
-        self.new.append(ids)
-        self.open.append(open_)
-
-    def codes(self, text: str) -> bytes:
-        known = self.units
-        return b"".join([known[u] if u in known else self.unit(u) for u in split_units(text)])
-
-
-def word_blocks(docs: DataFrame, pieces, key: str, text: str) -> DataFrame:
-    """Documents as codes into the distinct words of their task; a block brings the words not met before."""
-    kind = dict(docs.dtypes)[key]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = None
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-        for batch in batches:
-            for part in text_slices(batch):
-                coder = coder or Coder(pieces.value)
-                fresh = not coder.words or len(coder.words) > TABLE_WORDS
-                if fresh:
-                    coder.clear()
-                coder.new, coder.open = [], []
-                coded = [coder.codes(value) for value in part.column("text").to_pylist()]
-                rows = pa.StructArray.from_arrays([part.column("key"), pa.array([len(c) // 4 for c in coded], pa.int32())], ["key", "n"])
-                codes = pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [one(rows), one(codes), one(pa.array(coder.new, pa.list_(pa.int64()))), one(pa.array(coder.open, pa.bool_())), pa.array([fresh])],
-                    ["docs", "codes", "words", "unfinished", "fresh"],
-                )
-
-    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return given.mapInArrow(work, _BLOCK.format(key=kind))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of every text. No word spans two units."""
+        if max(len(self.words), len(self.units)) > TABLE_WORDS:
+            self.words, self.units = {}, {}
+        split = [split_units(text) for text in texts]
+        units, words = self.units, self.words
+        cut = {u: self.find(u) for found in split for u in found if u not in units}
+        waiting: dict[str, list[int]] = {}
+        for w in {w for found in cut.values() for w in found if w not in words}:
+            coded = w.encode()
+            own = self.ranks.get(coded)
+            if own is not None:
+                words[w] = np.array([own], "<i4").tobytes()
+            elif len(coded) > LONG_WORD:
+                words[w] = np.array(heap_merges(coded, self.ranks), "<i4").tobytes()
+            else:
+                waiting[w] = [self.bytes[b] for b in coded]
+        words.update(zip(waiting, merge_words(list(waiting.values()), self.table)))
+        extra: dict[str, bytes] = {}
+        for u, found in cut.items():
+            (units if len(u) <= LONG_UNIT else extra)[u] = b"".join([words[w] for w in found])
+        ids = (lambda u: units[u] if u in units else extra[u]) if extra else units.__getitem__
+        return [b"".join(map(ids, found)) for found in split]
 
 
 def encode(docs: DataFrame, pieces: list[bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -247,33 +219,22 @@ def decode(ids: Iterator[int] | np.ndarray, pieces: list[bytes]) -> bytes:
 
 
 def _joined(docs, pieces, key, text, schema, build, names) -> DataFrame:
-    """Per row what ``build`` makes of the ids (numpy arrays) of a block's documents."""
+    """Per row what ``build`` makes of the ids (numpy arrays) of a slice's documents."""
     spark = docs.sparkSession
     ship_package(spark)
-    shared = spark.sparkContext.broadcast(pieces)
+    shared, table = spark.sparkContext.broadcast(pieces), PairRanks(spark, pieces).table
     kind = dict(docs.dtypes)[key]
-    blocks = word_blocks(docs, shared, key, text)
-    folded = fold_merges(F.col("words"), F.col("unfinished"), PairRanks(spark, pieces))
-    blocks = blocks.select("docs", "codes", "fresh", folded.alias("folded"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
+        coder = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                block = batch.slice(i, 1)
-                if block.column("fresh")[0].as_py():
-                    words = []
-                new = block.column("folded").flatten()
-                raw = new.flatten().to_numpy().astype("<i4").tobytes()
-                ends = np.cumsum(new.value_lengths().to_numpy(zero_copy_only=False)).tolist() if len(new) else []
-                words += [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
-                codes = block.column("codes").flatten().to_numpy()
-                rows = block.column("docs").flatten()
-                edge = np.concatenate([[0], np.cumsum(rows.field("n").to_numpy())]).astype(np.int64)
-                ids = [np.frombuffer(b"".join(map(words.__getitem__, codes[a:b].tolist())), "<i4") for a, b in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays([rows.field("key"), *build(ids)], ["key", *names])
-
-    return blocks.mapInArrow(work, f"key {kind}, {schema}").withColumnRenamed("key", key)
+            for part in text_slices(batch):
+                coder = coder or Coder(shared.value, table.value)
+                ids = [np.frombuffer(x, "<i4") for x in coder.encode(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("key"), *build(ids)], ["key", *names])
+
+    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return given.mapInArrow(work, f"key {kind}, {schema}").withColumnRenamed("key", key)
 
 
 def _shas(ids: list[np.ndarray], pieces: list[bytes]) -> pa.Array:

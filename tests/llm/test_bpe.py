@@ -64,3 +64,16 @@ def test_query(spark, pieces, library):
 def test_more_pieces_than_a_cell_holds_raise(spark):
     with pytest.raises(ValueError, match="65,536"):
         bpe.PairRanks(spark, [i.to_bytes(3, "big") for i in range(65_537)])
+
+
+def test_words_merge_side_by_side_as_alone(spark, pieces, library):
+    """Words of all lengths at once, among them some that hold several pairs of one rank."""
+    draw = random.Random(6)
+    words = [bytes(draw.choices(b"abcdeth\xc3\xa9\xf0\x9f", k=draw.randint(2, bpe.LONG_WORD))) for _ in range(500)]
+    words += [b"ab" * 20, b"a" * 40, b"th" * 8, b"\xff\xfe"]
+    ranks = {p: i for i, p in enumerate(pieces)}
+    words = [w for w in words if w not in ranks]
+    table = bpe.PairRanks(spark, pieces).table.value
+    got = bpe.merge_words([[ranks[bytes([b])] for b in w] for w in words], table)
+    assert [memoryview(x).cast("i").tolist() for x in got] == [library._encode_single_piece(w) for w in words]
+    assert bpe.merge_words([], table) == []
