@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from backglot.operators import positions, reports, stages
+from backglot.plans import pipeline_queries
+from backglot.plans.roundtrip import ROW
 from backglot.session import scratch_path
 
 KINDS = "run long, model string"
@@ -86,6 +88,22 @@ def test_slices_read_only_their_files(spark):
     assert positions.stored_slice(spark, path, 10, 0).count() == 0
 
 
+def test_large_tables_have_no_more_ranges_than_allowed(spark):
+    path = scratch_path(spark, "positions")
+    positions.store_positions(spark.range(1000).select(F.col("id").alias("k")), "k", path, range_rows=1)
+    stored = spark.read.parquet(path)
+    assert stored.select("pos_range").distinct().count() <= positions.MOST_RANGES
+    assert sorted(r["k"] for r in positions.stored_slice(spark, path, 500, 10).collect()) == list(range(500, 510))
+
+
+def test_texts_are_stored_once_per_run_not_per_cell(spark):
+    run = pipeline_queries.staged(spark, "/root/testdata/sf0.001", scratch_path(spark, "staged"))
+    run.run(until="stage2")
+    assert not {"original", "partial"} & set(run.table("stage2").columns)
+    rows = run.table("stage2").count()
+    assert run.table("stage2").join(run.table("partial").select(*ROW, "original", "partial"), ROW).count() == rows > 0
+
+
 def test_summary_of_batches_equals_summary_of_all(spark):
     rows = [(i % 3, i / 7, i % 2 == 0, i / 11, None if i % 5 == 0 else i / 13, i / 17, i / 19) for i in range(60)]
     kinds = "run int, bleu_score double, syntax_valid boolean, structure_score double, semantic_score double, token_match double, overall_score double"
