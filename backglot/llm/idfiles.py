@@ -11,52 +11,114 @@ ordered by text; an empty table gives an empty file and an empty result; other c
 
 from __future__ import annotations
 
-import zlib
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backglot.llm import coder
-from backglot.llm.arrow import text_slices
+from backglot.llm.arrow import text_bytes, text_slices
 from backglot.llm.counts import BATCH, LONG_UNIT, TABLE_ENTRIES, VOCABULARY, PieceCounter
-from backglot.llm.units import split_units
+from backglot.llm.units import unit_starts
 from backglot.session import scratch_path, ship_package, shuffle_partitions
 from backglot.sources.tables import scan
 
 END_ID = 2
 SEGMENT_IDS = 1 << 20
+SLICE = 1 << 21  # bytes of text encoded at once
+JOINED = 32  # new units that go to the library as one text
+TABLE_IDS = 1 << 22  # ids that a task's table holds; beyond, it starts afresh
 SCHEMA = "shard int, segment int, base long, keys array<{key}>, lengths array<int>, payload binary"
 
 
 class UnitEncoder(PieceCounter):
-    """Ids of texts by a tokenizers vocabulary; the ids of a unit of text are found once per task's table."""
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
-        split = []
-        for text in texts:
-            if self.special is not None and any(s in text for s in self.marks):
-                marks = self.special.findall(text)
-                pieces = self.special.split(text)
-                split.append([u for i, p in enumerate(pieces) for u in (split_units(p) + marks[i : i + 1])])
-            else:
-                split.append(split_units(text))
-        if len(self.known) > TABLE_ENTRIES:
-            self.known = {}
-        table = self.known
-        wanted = list({u for units in split for u in units if u not in table})
-        extra: dict[str, bytes] = {}
-        for i in range(0, len(wanted), BATCH):
-            part = wanted[i : i + BATCH]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (table if len(u) <= LONG_UNIT else extra)[u] = np.array(e.ids, "<u4").tobytes()
-        find = (lambda u: table[u] if u in table else extra[u]) if extra else table.__getitem__
-        return [b"".join(map(find, units)) for units in split]
+    """Ids of texts by a tokenizers vocabulary; the ids of a unit of text are found once per task's table.
+
+    The library takes a call's overhead for every text, so new units go to it joined: where a unit starts with a space, no
+    pre-token spans its start. Ids of a byte-level vocabulary stand for known numbers of bytes, which tell the units apart.
+    """
+
+    def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        super().__init__(vocabulary)
+        self.special_bytes = re.compile(self.special.pattern.encode()) if self.special is not None else None
+        self.joins = not any(c.isspace() for mark in self.marks for c in mark)  # joined units must not make up a special string
+        pieces = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(pieces.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(pieces.values())] = list(map(len, pieces))  # a byte-level piece has a character per byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.flat, self.sizes = {}, np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def special_spans(self, texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Starts and ends in ``data`` of the special strings inside texts, a row each."""
+        hit = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            hit |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        found = [(at[i] + m.start(), at[i] + m.end()) for i in np.flatnonzero(hit) for m in self.special_bytes.finditer(data[at[i] : at[i + 1]])]
+        return np.array(found, np.int64).reshape(-1, 2)
+
+    def library_ids(self, texts: list[str]) -> list[np.ndarray]:
+        parts = (texts[i : i + BATCH] for i in range(0, len(texts), BATCH))
+        return [np.array(e.ids, "<u4") for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def learn_units(self, units: list[str]) -> None:
+        """Put units into the table."""
+        tails = [u for u in units if u[0] == " " and len(u) > 1 and not u[1].isspace()] if self.joins else []
+        if tails:
+            texts = ["".join(tails[i : i + JOINED]) for i in range(0, len(tails), JOINED)]
+            ids = np.concatenate(self.library_ids(texts))
+            reached = np.append(0, np.cumsum(self.n_bytes[ids]))
+            edges = np.cumsum([0, *(len(u.encode()) for u in tails)])
+            at = np.searchsorted(reached, edges)
+            if reached[-1] == edges[-1] and (reached[at] == edges).all():
+                self.keep_units(tails, ids, np.diff(at))
+            else:  # the vocabulary changes texts
+                tails = []
+        rest = list(set(units).difference(tails)) if tails else units
+        if rest:
+            ids = self.library_ids(rest)
+            self.keep_units(rest, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def keep_units(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(units, range(len(self.sizes), len(self.sizes) + len(units))))
+        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and their number in every text."""
+        data, at = text_bytes(texts)
+        spans = self.special_spans(texts, data, at)
+        starts = unit_starts(data, np.union1d(at, spans))
+        if len(spans):  # a special string is a unit of its own
+            span = np.searchsorted(spans[:, 0], starts, side="right") - 1
+            starts = starts[(span < 0) | (starts == spans[span, 0]) | (starts >= spans[span, 1])]
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+        offsets = np.append(starts, len(data)).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > TABLE_ENTRIES or len(self.flat) > TABLE_IDS:
+            self.forget()
+        new = [u for u in distinct if u not in self.known]
+        if new:
+            self.learn_units(new)
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
+        for u in new:
+            if len(u) > LONG_UNIT:
+                del self.known[u]
+        sizes = self.sizes[place]
+        ends = np.cumsum(sizes)
+        shift = (np.cumsum(self.sizes) - self.sizes)[place] - ends + sizes
+        flat = self.flat[np.repeat(shift, sizes) + np.arange(ends[-1])]
+        return flat, np.diff(np.append(0, ends)[np.searchsorted(starts, at)])
 
 
 def write_ids(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
@@ -66,32 +128,40 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id",
     shared = spark.sparkContext.broadcast(vocabulary)
     kind = dict(docs.dtypes)[key]
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    ordered = given.repartitionByRange(shuffle_partitions(spark), "key", "text").sortWithinPartitions("key", "text")
-    end = np.array([end_id], "<u4").tobytes()
+    begins = F.substring("text", 1, 256)  # whole texts would go to the driver as samples
+    ordered = given.repartitionByRange(shuffle_partitions(spark), "key", begins).sortWithinPartitions("key", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = UnitEncoder(shared.value)
         shard = TaskContext.get().partitionId()
-        base, number, keys, ids, size = 0, 0, [], [], 0
+        base, number, size = 0, 0, 0
+        keys, lengths, ids = [], [], []
 
         def segment() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            lengths = [len(x) // 4 for x in ids]
-            one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, t))
+            one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(t))
             columns = [pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([base], pa.int64())]
-            columns += [one(keys, key_kind), one(lengths, pa.int32()), pa.array([coder.encode(flat)], pa.binary())]
+            columns += [one(pa.concat_arrays(keys), keys[0].type), one(pa.array(np.concatenate(lengths)), pa.int32())]
+            columns += [pa.array([coder.encode(np.concatenate(ids))], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["shard", "segment", "base", "keys", "lengths", "payload"])
 
         for batch in batches:
-            key_kind = batch.schema.field("key").type
-            for part in text_slices(batch):
-                for k, x in zip(part.column("key").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    keys.append(k)
-                    ids.append(x + end)
-                    size += len(x) // 4 + 1
+            for part in text_slices(batch, limit=SLICE):
+                found, sizes = encoder.encode(part.column("text"))
+                found = np.insert(found, np.cumsum(sizes), end_id)
+                sizes += 1
+                edge = np.append(0, np.cumsum(sizes))
+                start = 0
+                while start < part.num_rows:  # rows up to the one that fills the segment
+                    stop = min(int(np.searchsorted(edge, edge[start] + SEGMENT_IDS - size)), part.num_rows)
+                    keys.append(part.column("key").slice(start, stop - start))
+                    lengths.append(sizes[start:stop])
+                    ids.append(found[edge[start] : edge[stop]])
+                    size += int(edge[stop] - edge[start])
+                    start = stop
                     if size >= SEGMENT_IDS:
                         yield segment()
-                        base, number, keys, ids, size = base + size, number + 1, [], [], 0
+                        base, number, size = base + size, number + 1, 0
+                        keys, lengths, ids = [], [], []
         if ids:
             yield segment()
 
@@ -114,10 +184,11 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 lengths = row.column("lengths").flatten().to_numpy().astype(np.int64)
-                ids = coder.decode(row.column("payload")[0].as_py()).astype("<u4")
+                ids = coder.decode(row.column("payload")[0].as_buffer()).astype("<u4")
                 edge = np.concatenate([[0], np.cumsum(lengths)])
                 place = row.column("base")[0].as_py() + edge[:-1]
-                slices = pa.array([ids[a:b].tobytes() for a, b in zip(edge, edge[1:])], pa.binary())
+                bounds = pa.py_buffer((4 * edge).astype(np.int32))
+                slices = pa.Array.from_buffers(pa.binary(), len(lengths), [None, bounds, pa.py_buffer(ids)])
                 shard = pa.array(np.full(len(lengths), row.column("shard")[0].as_py(), np.int32))
                 yield pa.RecordBatch.from_arrays([shard, row.column("keys").flatten(), pa.array(place), pa.array(lengths), slices], names)
 

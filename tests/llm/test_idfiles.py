@@ -4,11 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from backglot.llm import idfiles
 from backglot.llm.counts import VOCABULARY
+from backglot.llm.units import split_units, unit_starts
 from backglot.session import scratch_path
 from backglot.sources.tables import scan
 
@@ -48,3 +50,35 @@ def test_odd_inputs_and_small_segments(spark, library, monkeypatch):
     path = scratch_path(spark, "ids")
     idfiles.write_ids(docs.limit(0), vocabulary, path)
     assert idfiles.read_ids(spark, path).collect() == []
+
+
+ODD = ["  two", "a  b  c 　d é ", " \x1cx \x85y", "end  ", "", " ", "  ", "a\n b \n\n c", " “quoted” — dash", "日本 語  z ​w"]
+
+
+def test_units_are_cut_alike_in_bytes():
+    texts = [*ODD, " ".join(ODD)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    units = [u.encode() for t in texts for u in split_units(t)]
+    starts = unit_starts(data, at)
+    assert list(starts) == list(np.cumsum([0, *map(len, units[:-1])]))
+
+
+def test_new_units_reach_the_library_joined(library):
+    with open(public_tokenizers.path(VOCABULARY), encoding="utf-8") as file:
+        encoder = idfiles.UnitEncoder(file.read())
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = Counting()
+    mark = "<|endoftext|>"
+    texts = [" ".join(f"w{i * i}ä x\n{i}" for i in range(2000)), *ODD, f"a  {mark}  b {mark}{mark} c", f"{mark} ", "x" * 500 + " " + "y" * 500]
+    for _ in range(2):
+        ids, sizes = encoder.encode(pa.array(texts))
+        assert np.array_equal(ids, [i for t in texts for i in library.encode(t, add_special_tokens=False).ids])
+        assert list(sizes) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(given) < 4000 / 16  # one text per unit before
