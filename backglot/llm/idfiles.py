@@ -25,23 +25,23 @@ from pyspark.sql import functions as F
 
 from backglot.llm import coder
 from backglot.llm.arrow import text_bytes, text_slices
-from backglot.llm.counts import BATCH, LONG_UNIT, TABLE_ENTRIES, VOCABULARY, PieceCounter
-from backglot.llm.units import unit_starts
+from backglot.llm.counts import BATCH, VOCABULARY, PieceCounter
+from backglot.llm.units import MAYBE_WHITE, unit_starts
 from backglot.session import scratch_path, ship_package, shuffle_partitions
 from backglot.sources.tables import scan
 
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-SLICE = 1 << 21  # bytes of text encoded at once
-JOINED = 32  # new units that go to the library as one text
-TABLE_IDS = 1 << 22  # ids that a task's table holds; beyond, it starts afresh
+TEXT_BYTES = 1 << 24  # bytes of text whose distinct units are encoded once
+SLICE = 1 << 21  # bytes of text whose ids are put together at once
+JOINED = 32  # units that go to the library as one text
 SCHEMA = "shard int, segment int, base long, keys array<{key}>, lengths array<int>, payload binary"
 
 
 class UnitEncoder(PieceCounter):
-    """Ids of texts by a tokenizers vocabulary; the ids of a unit of text are found once per task's table.
+    """Ids of texts by a tokenizers vocabulary; the ids of a unit of text are found once per call.
 
-    The library takes a call's overhead for every text, so new units go to it joined: where a unit starts with a space, no
+    The library takes a call's overhead for every text, so units go to it joined: where a unit starts with a space, no
     pre-token spans its start. Ids of a byte-level vocabulary stand for known numbers of bytes, which tell the units apart.
     """
 
@@ -53,10 +53,6 @@ class UnitEncoder(PieceCounter):
         pieces = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(pieces.values(), default=0) + 1, np.int64)
         self.n_bytes[list(pieces.values())] = list(map(len, pieces))  # a byte-level piece has a character per byte
-        self.forget()
-
-    def forget(self) -> None:
-        self.known, self.flat, self.sizes = {}, np.zeros(0, "<u4"), np.zeros(0, np.int64)
 
     def special_spans(self, texts: pa.Array, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Starts and ends in ``data`` of the special strings inside texts, a row each."""
@@ -66,34 +62,34 @@ class UnitEncoder(PieceCounter):
         found = [(at[i] + m.start(), at[i] + m.end()) for i in np.flatnonzero(hit) for m in self.special_bytes.finditer(data[at[i] : at[i + 1]])]
         return np.array(found, np.int64).reshape(-1, 2)
 
-    def library_ids(self, texts: list[str]) -> list[np.ndarray]:
-        parts = (texts[i : i + BATCH] for i in range(0, len(texts), BATCH))
-        return [np.array(e.ids, "<u4") for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-
-    def learn_units(self, units: list[str]) -> None:
-        """Put units into the table."""
-        tails = [u for u in units if u[0] == " " and len(u) > 1 and not u[1].isspace()] if self.joins else []
-        if tails:
-            texts = ["".join(tails[i : i + JOINED]) for i in range(0, len(tails), JOINED)]
-            ids = np.concatenate(self.library_ids(texts))
-            reached = np.append(0, np.cumsum(self.n_bytes[ids]))
-            edges = np.cumsum([0, *(len(u.encode()) for u in tails)])
-            at = np.searchsorted(reached, edges)
-            if reached[-1] == edges[-1] and (reached[at] == edges).all():
-                self.keep_units(tails, ids, np.diff(at))
-            else:  # the vocabulary changes texts
-                tails = []
-        rest = list(set(units).difference(tails)) if tails else units
-        if rest:
-            ids = self.library_ids(rest)
-            self.keep_units(rest, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
-
-    def keep_units(self, units: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(units, range(len(self.sizes), len(self.sizes) + len(units))))
-        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def library_ids(self, texts: list[str], batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and their number in every text."""
+        ids = [np.zeros(0, "<u4")]
+        for i in range(0, len(texts), batch):
+            ids += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts[i : i + batch], add_special_tokens=False)]
+        return np.concatenate(ids), np.fromiter(map(len, ids[1:]), np.int64, len(texts))
+
+    def unit_ids(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct units, where each unit's ids begin, and their number."""
+        data, at = text_bytes(units)
+        second = data[np.minimum(at[:-1] + 1, len(data) - 1)]
+        tail = (data[at[:-1]] == 32) & (np.diff(at) > 1) & ~MAYBE_WHITE[second] & self.joins
+        joined, edges = text_bytes(units.filter(pa.array(tail)))
+        bounds = np.append(edges[:-1:JOINED], edges[-1])
+        ids, _ = self.library_ids([str(joined[a:b], "utf-8") for a, b in zip(bounds, bounds[1:])], BATCH // JOINED)
+        reached = np.append(0, np.cumsum(self.n_bytes[ids]))
+        place = np.searchsorted(reached, edges)
+        if reached[-1] != edges[-1] or (reached[place] != edges).any():  # the vocabulary changes texts
+            tail[:], ids, place = False, ids[:0], place[:1]
+        other, sizes = self.library_ids(units.filter(pa.array(~tail)).to_pylist())
+        size = np.empty(len(units), np.int64)
+        size[tail], size[~tail] = np.diff(place), sizes
+        begin = np.empty(len(units), np.int64)
+        begin[tail], begin[~tail] = place[:-1], len(ids) + np.cumsum(sizes) - sizes
+        return np.concatenate([ids, other]), begin, size
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For stretches of texts: the first one, their ids one after another, and their number in every text."""
         data, at = text_bytes(texts)
         spans = self.special_spans(texts, data, at)
         starts = unit_starts(data, np.union1d(at, spans))
@@ -101,24 +97,35 @@ class UnitEncoder(PieceCounter):
             span = np.searchsorted(spans[:, 0], starts, side="right") - 1
             starts = starts[(span < 0) | (starts == spans[span, 0]) | (starts >= spans[span, 1])]
         if not len(starts):
-            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+            yield 0, np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
+            return
         offsets = np.append(starts, len(data)).astype(np.int32)
         units = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
-        distinct = units.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) > TABLE_ENTRIES or len(self.flat) > TABLE_IDS:
-            self.forget()
-        new = [u for u in distinct if u not in self.known]
-        if new:
-            self.learn_units(new)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[units.indices.to_numpy()]
-        for u in new:
-            if len(u) > LONG_UNIT:
-                del self.known[u]
-        sizes = self.sizes[place]
-        ends = np.cumsum(sizes)
-        shift = (np.cumsum(self.sizes) - self.sizes)[place] - ends + sizes
-        flat = self.flat[np.repeat(shift, sizes) + np.arange(ends[-1])]
-        return flat, np.diff(np.append(0, ends)[np.searchsorted(starts, at)])
+        ids, begin, size = self.unit_ids(units.dictionary)
+        which = units.indices.to_numpy()
+        edge = np.searchsorted(starts, at)  # of the texts' units
+        cuts = [*np.unique(np.searchsorted(at[:-1], np.arange(0, len(data), SLICE))), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            part = which[edge[a] : edge[b]]
+            sizes = size[part]
+            ends = np.append(0, np.cumsum(sizes))
+            yield a, ids[np.repeat(begin[part] - ends[:-1], sizes) + np.arange(ends[-1])], np.diff(ends[edge[a : b + 1] - edge[a]])
+
+
+def large_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Keys and texts in slices of at most ``TEXT_BYTES`` bytes of text, but one row at least."""
+    parts, size = [], 0
+    merged = lambda: tuple(pa.concat_arrays([p.column(c) for p in parts]) for c in ("key", "text"))
+    for batch in batches:
+        for part in text_slices(batch, limit=SLICE):
+            n = int(text_bytes(part.column("text"))[1][-1])
+            if parts and size + n > TEXT_BYTES:
+                yield merged()
+                parts, size = [], 0
+            parts.append(part)
+            size += n
+    if parts:
+        yield merged()
 
 
 def write_ids(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> None:
@@ -144,16 +151,15 @@ def write_ids(docs: DataFrame, vocabulary: str, path: str, key: str = "doc_id",
             columns += [pa.array([coder.encode(np.concatenate(ids))], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, ["shard", "segment", "base", "keys", "lengths", "payload"])
 
-        for batch in batches:
-            for part in text_slices(batch, limit=SLICE):
-                found, sizes = encoder.encode(part.column("text"))
+        for part_keys, texts in large_slices(batches):
+            for first, found, sizes in encoder.encode(texts):
                 found = np.insert(found, np.cumsum(sizes), end_id)
                 sizes += 1
                 edge = np.append(0, np.cumsum(sizes))
                 start = 0
-                while start < part.num_rows:  # rows up to the one that fills the segment
-                    stop = min(int(np.searchsorted(edge, edge[start] + SEGMENT_IDS - size)), part.num_rows)
-                    keys.append(part.column("key").slice(start, stop - start))
+                while start < len(sizes):  # rows up to the one that fills the segment
+                    stop = min(int(np.searchsorted(edge, edge[start] + SEGMENT_IDS - size)), len(sizes))
+                    keys.append(part_keys.slice(first + start, stop - start))
                     lengths.append(sizes[start:stop])
                     ids.append(found[edge[start] : edge[stop]])
                     size += int(edge[stop] - edge[start])

@@ -20,6 +20,7 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[s[0] for s in _SPACES if len(s) == 1]] = True
 _MAYBE = np.zeros(256, bool)  # bytes that longer white space starts with
 _MAYBE[[s[0] for s in _SPACES if len(s) > 1]] = True
+MAYBE_WHITE = _WHITE | _MAYBE
 _LONG = {n: [int.from_bytes(s) for s in _SPACES if len(s) == n] for n in (2, 3)}
 
 
