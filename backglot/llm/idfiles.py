@@ -31,7 +31,7 @@ from backglot.session import scratch_path, ship_package, shuffle_partitions
 from backglot.sources.tables import scan
 
 END_ID = 2
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 21
 TEXT_BYTES = 1 << 24  # bytes of text whose distinct units are encoded once
 SLICE = 1 << 21  # bytes of text whose ids are put together at once
 JOINED = 32  # units that go to the library as one text
