@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from backglot.operators import positions, reports, stages
-from backglot.plans import pipeline_queries
+from backglot.plans import pipeline_queries, roundtrip
 from backglot.plans.roundtrip import ROW
 from backglot.session import scratch_path
+from backglot.sources import tables
 
 KINDS = "run long, model string"
 
@@ -104,6 +105,50 @@ def test_texts_are_stored_once_per_run_not_per_cell(spark):
     assert run.table("stage2").join(run.table("partial").select(*ROW, "original", "partial"), ROW).count() == rows > 0
 
 
+def test_own_texts_are_stored_once_and_scratch_goes(spark):
+    """One model answers everything, the other one nothing: its rows keep their own texts, which no cell stores."""
+    path = scratch_path(spark, "staged")
+    corpus = spark.createDataFrame([(i, f"a b{i}") for i in range(8)], "doc_id long, text string")
+    words = spark.createDataFrame([("a", "x")], "word string, repl string")
+    memory = spark.createDataFrame([], "src string, tgt string, phrase string, translation string")
+    handed = []
+
+    def answers(requests):
+        given = requests.where("model = 'first'").select("model", "request_id", F.lit("done").alias("response")).distinct()
+        handed.append(tables.hand_over(given, "responses").inputFiles()[0].rsplit("/", 1)[0])
+        return spark.read.parquet(handed[-1])
+
+    cells = [(0, 2, 3, m, k) for m in ("first", "second") for k in (0, 2)]
+    grid = spark.createDataFrame(cells, "start_index long, stage1_samples long, stage2_samples long, model string, chunk_size long")
+    trip = roundtrip.RoundTrip(spark, corpus, words, memory, answers, range_rows=4)
+    run = stages.StagedRun(spark, path, grid, trip.stages(path))
+    run.run()
+    forward, back = run.table("stage2"), run.table("back2")
+    assert {(r["model"], r["translated"], r["status"]) for r in forward.collect()} == {("first", "done", "answered"), ("second", None, "missing")}
+    assert {(r["model"], r["partial_back"], r["back"]) for r in back.collect()} == {("first", "done", "done"), ("second", None, None)}
+    whole = roundtrip.stage2_texts(forward, run.table("partial"))
+    assert {r["translated"] for r in whole.where("model = 'second'").collect()} == {"x b2", "x b3", "x b4"}
+    details = roundtrip.details2_texts(run.table("details2"), run.table("partial"), back, run.table("own")).collect()
+    want = [(*c[3:], i, f"a b{i + 1}", *([f"x b{i + 1}"] * 2 if c[3] == "second" else ["done"] * 2)) for c in cells for i in (1, 2, 3)]
+    assert sorted((r["model"], r["chunk_size"], r["index"], r["original"], r["partial_back"], r["back"]) for r in details) == sorted(want)
+    assert len(handed) == 2 and not any(tables.exists(spark, p) for p in (*handed, f"{path}/positions"))
+    assert run.run() == {stage: 0 for stage in run.stages}
+
+
+def test_a_step_deletes_what_it_handed_over(spark):
+    with tables.step(spark):
+        with tables.step(spark):
+            inner = tables.hand_over(spark.range(9).repartition(3), "inner").inputFiles()[0]
+        outer = tables.hand_over(spark.range(9), "outer").inputFiles()[0]
+        assert not tables.exists(spark, inner) and tables.exists(spark, outer)
+        assert spark.conf.get(tables.SHUFFLE_CLEANUP) == "true"
+    assert not tables.exists(spark, outer) and spark.conf.get(tables.SHUFFLE_CLEANUP, None) != "true"
+    with pytest.raises(RuntimeError), tables.step(spark):
+        failed = tables.hand_over(spark.range(9), "failed").inputFiles()[0]
+        raise RuntimeError
+    assert tables.exists(spark, failed)
+
+
 def test_summary_of_batches_equals_summary_of_all(spark):
     rows = [(i % 3, i / 7, i % 2 == 0, i / 11, None if i % 5 == 0 else i / 13, i / 17, i / 19) for i in range(60)]
     kinds = "run int, bleu_score double, syntax_valid boolean, structure_score double, semantic_score double, token_match double, overall_score double"
